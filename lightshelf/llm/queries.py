@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lightshelf.llm import html_pages, matroska
+from lightshelf.llm import html_pages, lp_packing, matroska, token_counts
 from lightshelf.llm.common import table
+from lightshelf.llm.tokens import vocabulary_path
 
 
 def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.text_media(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), limit=512)
+
+
+def op5_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lp_packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("byte_bpe_50k.tiktoken"), capacity=2048, end_id=0)
+
+
 def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_pages.extract(table(spark, sf_dir, "pages"))
 
@@ -22,5 +31,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
+    "op4_token_counts": op4_token_counts,
+    "op5_lp_packing": op5_lp_packing,
     "op8_html_main_text": op8_html_main_text,
 }
