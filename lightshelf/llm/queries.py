@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lightshelf.llm import html_pages, lp_packing, matroska, token_counts
+from lightshelf.llm import html_pages, lp_packing, matroska, token_counts, vectors
 from lightshelf.llm.common import table
 from lightshelf.llm.tokens import vocabulary_path
 
@@ -23,6 +23,10 @@ def op5_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lp_packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("byte_bpe_50k.tiktoken"), capacity=2048, end_id=0)
 
 
+def op6_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_pages.extract(table(spark, sf_dir, "pages"))
 
@@ -33,5 +37,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op4_token_counts": op4_token_counts,
     "op5_lp_packing": op5_lp_packing,
+    "op6_embedding_near_duplicates": op6_embedding_near_duplicates,
     "op8_html_main_text": op8_html_main_text,
 }
