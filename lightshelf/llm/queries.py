@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lightshelf.llm import html_pages, langid, lp_packing, matroska, token_counts, vectors
+from lightshelf.llm import html_pages, langid, lp_packing, matroska, token_counts, toxicity, vectors
 from lightshelf.llm.common import table
 from lightshelf.llm.tokens import vocabulary_path
 
@@ -31,6 +31,10 @@ def op6_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_pages.extract(table(spark, sf_dir, "pages"))
 
@@ -43,5 +47,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_lp_packing": op5_lp_packing,
     "op6_embedding_near_duplicates": op6_embedding_near_duplicates,
+    "op7_toxicity": op7_toxicity,
     "op8_html_main_text": op8_html_main_text,
 }
