@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lightshelf.llm import html_pages, langid, lp_packing, matroska, token_counts, toxicity, vectors
+from lightshelf.llm import html_pages, langid, lp_packing, matroska, ngram_join, token_counts, toxicity, vectors
 from lightshelf.llm.common import table
 from lightshelf.llm.tokens import vocabulary_path
 
@@ -19,6 +19,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), percent=80)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), limit=512)
 
@@ -44,6 +48,7 @@ ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op2_language_id": op2_language_id,
+    "op3_ngram_join": op3_ngram_join,
     "op4_token_counts": op4_token_counts,
     "op5_lp_packing": op5_lp_packing,
     "op6_embedding_near_duplicates": op6_embedding_near_duplicates,
