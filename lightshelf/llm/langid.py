@@ -205,16 +205,16 @@ def predict_one(text: str | None, model: dict | None) -> tuple[str, float]:
     return model["classes"][i], float(p[i])
 
 
-def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score; columns of these names are replaced."""
+def predict(docs: DataFrame, model: dict | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with the predicted language and its score, as the columns named in `out` (which they replace)."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2^16 places times languages
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
+    @F.pandas_udf("struct<lang:string,score:double>")
     def guess(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([predict_one(t, held.value) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([predict_one(t, held.value) for t in texts], columns=["lang", "score"])
 
-    rest = docs.drop("lang_pred", "score", "_guess")
-    return rest.withColumn("_guess", guess(F.col(text))).select(*[rest[c] for c in rest.columns], "_guess.lang_pred", "_guess.score")
+    rest = docs.drop(*out)
+    return rest.withColumn("_guess", guess(F.col(text))).select(*[rest[c] for c in rest.columns], F.col("_guess.lang").alias(out[0]), F.col("_guess.score").alias(out[1]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -248,11 +248,12 @@ def second_pairs(postings: DataFrame, labels: DataFrame, tried: DataFrame, perce
 # --- verification ----------------------------------------------------------
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` with an id in `ids`; most others are left out before the shuffle by a bit table of fixed size."""
-    spark = docs.sparkSession
+def _maybe(ids: DataFrame) -> Column:
+    """Whether doc_id may be among `ids` (column doc): never false for those that are. A bit table of fixed size."""
+    spark = ids.sparkSession
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    bits = ids.select(F.col("doc").alias("doc_id")).select((place + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    numbered = ids.select((F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)) + 1).alias("p"))
+    bits = numbered.groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
     table = np.zeros(1 << FILTER_BITS, bool)
     width = 32768
     for r in bits.toPandas().itertuples():  # 2 MB at most
@@ -266,7 +267,19 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
         p = places.to_numpy()
         return pd.Series((held.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool))
 
-    return docs.where(maybe(place)).join(ids.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
+    return F.col("doc_id").isNotNull() & maybe(F.coalesce(place, F.lit(0).cast("bigint")))
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` with an id in `ids`; most others are left out before the shuffle."""
+    return docs.where(_maybe(ids)).join(ids.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` without an id in `ids`; most of them without a shuffle."""
+    maybe = _maybe(ids)
+    rest = docs.where(maybe).join(ids.withColumnRenamed("doc", "doc_id"), "doc_id", "left_anti")
+    return docs.where(~maybe).unionByName(rest.select(docs.columns))
 
 
 def candidate_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -339,3 +352,17 @@ def link_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     linked = members.where("mark is not null and doc_id is not null").join(by_class, "mark").select("doc_id", "n_shingles", "component_id")
     alone = members.where("mark is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumnRenamed("doc_id", id_col)
+
+
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """`docs` without the documents that link, directly or through others, with one of a smaller id.
+
+    Of rows that repeat an id one stays; rows with a null id stay.
+    """
+    found = stored(link_components(docs, percent))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("doc")).distinct()
+    again = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("doc")))
+    kept = without(docs, stored(gone))
+    if again.isEmpty():
+        return kept
+    return without(kept, again).unionByName(_only(kept, again).dropDuplicates(["doc_id"]).select(docs.columns))

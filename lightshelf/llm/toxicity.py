@@ -296,8 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None) ->
     return {"model": model_of(tables, [2, 3], [0, 1]), "fit": got}
 
 
-def score(docs: DataFrame, model: dict | None, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """`docs` with score and predicted; columns of these names are replaced."""
+def score(docs: DataFrame, model: dict | None, threshold: float = 0.7, text: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """`docs` with the score and the decision, as the columns named in `out` (which they replace)."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     @F.pandas_udf("double")
@@ -310,8 +310,8 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.7, text: str
             parts.append(probability(features(column, held.value["model"]), held.value["fit"]))
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    rest = docs.drop("score", "predicted")
-    return rest.withColumn("score", rate(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rest = docs.drop(*out)
+    return rest.withColumn(out[0], rate(F.col(text))).withColumn(out[1], (F.col(out[0]) >= threshold).cast("int"))
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
