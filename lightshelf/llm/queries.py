@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lightshelf.llm import html_pages, langid, lp_packing, matroska, ngram_join, token_counts, toxicity, vectors
+from lightshelf.llm import html_pages, id_matrices, langid, lp_packing, matroska, ngram_join, pieces, token_counts, toxicity, vectors
 from lightshelf.llm.common import table
 from lightshelf.llm.tokens import vocabulary_path
 
@@ -43,6 +43,14 @@ def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_id_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_matrices.matrices(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("byte_bpe_50k.tiktoken"), capacity=2048, end_id=0)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"), kind="bpe")
+
+
 ORACLE_SQL: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -54,4 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embedding_near_duplicates": op6_embedding_near_duplicates,
     "op7_toxicity": op7_toxicity,
     "op8_html_main_text": op8_html_main_text,
+    "op9_id_matrices": op9_id_matrices,
+    "op10_sentencepiece": op10_sentencepiece,
 }
