@@ -37,14 +37,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 24 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that each holds about `most_bytes` of `column`, and at least a row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16 << 20, most_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts record batches so that each holds about `most_bytes` of `column`, at least a row and at most `most_rows`."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = np.cumsum(size) // most_bytes
+        part = np.cumsum(size) // most_bytes + np.arange(n) // most_rows
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], n]):
             yield batch.slice(a, b - a)

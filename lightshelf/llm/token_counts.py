@@ -34,6 +34,8 @@ from lightshelf.llm.tokens import encode_pieces
 POSTINGS = "bucket int, batch bigint, words array<string>, n_docs array<int>, docs binary, freqs binary, doc_ids binary, n_bytes binary"
 SUMS = "batch bigint, docs binary, sums binary, doc_ids binary, n_bytes binary"
 FREQUENT = 100
+#: A frequency above this is kept as several entries.
+MOST = (1 << 16) - 1
 
 
 def _text_hash(words: pa.Array) -> np.ndarray:
@@ -45,15 +47,23 @@ def posting_lists(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator
     task = TaskContext.get()
     number = (task.partitionId() if task else 0) << 24
     schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("words", pa.list_(pa.string())), ("n_docs", pa.list_(pa.int32())), ("docs", pa.binary()), ("freqs", pa.binary()), ("doc_ids", pa.binary()), ("n_bytes", pa.binary())])
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 8 << 20, MOST):
         number += 1
         texts = plain_strings(batch.column("text"))
         n = len(texts)
         codes, offsets, names = spaced_words(texts, RUN_OF_THREE)
         key = np.sort(codes * n + np.repeat(np.arange(n), np.diff(offsets)))
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        freqs = np.diff(np.r_[first, len(key)]).astype(np.uint32)
-        code, docs = key[first] // n, (key[first] % n).astype(np.uint32)
+        freqs = np.diff(np.r_[first, len(key)])
+        code, docs = key[first] // n, (key[first] % n).astype(np.uint16)
+        del key
+        if freqs.max(initial=0) > MOST:
+            times = -(-freqs // MOST)
+            code, docs, rest = np.repeat(code, times), np.repeat(docs, times), np.cumsum(times) - 1
+            last = freqs - (times - 1) * MOST
+            freqs = np.full(len(code), MOST)
+            freqs[rest] = last
+        freqs = freqs.astype(np.uint16)
         n_docs = np.bincount(code, minlength=len(names))
         words = pa.array(names, pa.string())
         bucket = (_text_hash(words) + np.where(n_docs * FREQUENT > n, np.uint64(number), np.uint64(0))) % np.uint64(n_buckets)
@@ -81,25 +91,22 @@ def _ids(column: pa.Array) -> bytes:
 
 
 def joined_sums(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Counts the pieces of each pre-token of a bucket once; sums them over each posting list's documents."""
+    """Counts the pieces of each pre-token of the bucket (a partition is one) once; sums them over each posting list's documents."""
     schema = pa.schema([("batch", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("doc_ids", pa.binary()), ("n_bytes", pa.binary())])
     counted: dict[str, int] = {}
-    at = None
     for batch in batches:
         for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
             if row["words"] is None:
                 yield pa.RecordBatch.from_pylist([{"batch": row["batch"], "docs": None, "sums": None, "doc_ids": row["doc_ids"], "n_bytes": row["n_bytes"]}], schema)
                 continue
-            if row["bucket"] != at:  # rows come bucket by bucket
-                at, counted = row["bucket"], {}
             new = [w for w in row["words"] if w not in counted]
             counted.update(zip(new, encode_pieces(new, path)[1].tolist()))
             pieces = np.fromiter(map(counted.__getitem__, row["words"]), np.int64, len(row["words"]))
-            docs = np.frombuffer(row["docs"], np.uint32)
-            weight = np.repeat(pieces, row["n_docs"]) * np.frombuffer(row["freqs"], np.uint32)
+            docs = np.frombuffer(row["docs"], np.uint16)
+            weight = np.repeat(pieces, row["n_docs"]) * np.frombuffer(row["freqs"], np.uint16)
             total = np.bincount(docs, weight).astype(np.int64)
             there = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pylist([{"batch": row["batch"], "docs": there.astype(np.uint32).tobytes(), "sums": total[there].tobytes(), "doc_ids": None, "n_bytes": None}], schema)
+            yield pa.RecordBatch.from_pylist([{"batch": row["batch"], "docs": there.astype(np.uint16).tobytes(), "sums": total[there].tobytes(), "doc_ids": None, "n_bytes": None}], schema)
 
 
 def _added(rows: pd.DataFrame) -> pd.DataFrame:
@@ -109,7 +116,7 @@ def _added(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(n, np.int64)
     for docs, sums in zip(rows.docs, rows.sums):
         if docs is not None:
-            total[np.frombuffer(docs, np.uint32)] += np.frombuffer(sums, np.int64)
+            total[np.frombuffer(docs, np.uint16)] += np.frombuffer(sums, np.int64)
     there = np.frombuffer(head.doc_ids[:n], bool)
     ids = pd.array(np.frombuffer(head.doc_ids[n:], np.int64), "Int64")
     ids[~there] = pd.NA
@@ -119,10 +126,10 @@ def _added(rows: pd.DataFrame) -> pd.DataFrame:
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each document, tokens as by the tokenizer file at `path`."""
     spark = docs.sparkSession
-    # a bucket holds the pre-tokens of some 40 MB of texts where the session has 100 shuffle partitions a GB
-    n_buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    # few buckets: a batch's sums are sent once for each; many enough that a bucket's pre-tokens fit in a task
+    n_buckets = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
     lists = docs.select("doc_id", "text").mapInArrow(lambda it: posting_lists(it, n_buckets), POSTINGS)
-    dealt = lists.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = lists.repartitionById(n_buckets, "bucket")
     sums = dealt.mapInArrow(lambda it: joined_sums(it, path), SUMS)
     counted = sums.groupBy("batch").applyInPandas(_added, "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
