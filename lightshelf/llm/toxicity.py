@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lightshelf.llm.common import plain_strings, slices
+from lightshelf.llm.common import maybe_among, plain_strings, slices, stored
 
 ORDERS = 5
 #: Orders up to this one are continuation counts of both classes together.
@@ -262,9 +262,10 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None) ->
     """Model of the labelled documents (doc_id joined to labels.toxic) for which `learnable` holds."""
     learnable = ~held_out() if learnable is None else learnable
     marks = labels.where(learnable & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").where("text is not null")
+    # most texts without a label are left out before the shuffle; the labelled ones are written once
+    read = docs.select("doc_id", "text").where("text is not null").where(maybe_among(marks.select(F.col("doc_id").alias("doc"))))
     fold = F.xxhash64("doc_id", F.lit(29)).bitwiseAND(1)
-    rows = rows.select("text", "doc_id", "toxic", (F.col("toxic") * 2 + fold).cast("int").alias("side"))
+    rows = stored(read.join(marks, "doc_id").select("text", "doc_id", "toxic", (F.col("toxic") * 2 + fold).cast("int").alias("side")))
     tables = gram_tables(word_counts(rows))
     sizes = {r.side: r.n for r in rows.groupBy("side").agg(F.count("*").alias("n")).collect()}
     if not (sizes.get(0, 0) + sizes.get(1, 0)) or not (sizes.get(2, 0) + sizes.get(3, 0)):
