@@ -117,8 +117,18 @@ def keep_best_apart(df: DataFrame, by: list[str], seconds: float, n: int | None
     return df.groupBy(*by).applyInPandas(choose, schema)
 
 
-def grouped(df: DataFrame, by: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return df.groupBy(*by).applyInPandas(run, schema)
+def grouped(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """`run` on each group of many small ones: groups are dealt to buckets by hash, and a bucket's groups run in one call.
+
+    Buckets are a few for each shuffle partition, which is sized to the data.
+    """
+    n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [run(g.drop(columns="_bucket")) for _, g in rows.groupby(keys, sort=True, dropna=False)]
+        return pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
+
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(n))).groupBy("_bucket").applyInPandas(each, schema)
 
 
 def even_parts(df: DataFrame, order: list[Column], k: int, by: list[str] | None = None, out: str = "part") -> DataFrame:

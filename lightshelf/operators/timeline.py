@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lightshelf.functions import scalar as S
 from lightshelf.functions import vectors as V
-from lightshelf.operators.ranking import cut_at_gaps
+from lightshelf.operators.ranking import cut_at_gaps, grouped
 
 
 def chapters(photos: DataFrame, by: list[str], hours: float, least: int, place: str = "place_name") -> DataFrame:
@@ -100,7 +100,8 @@ def burst_stacks(photos: DataFrame, seconds: float = 5.0, most_distance: float =
         return pd.DataFrame(out, columns=["stack_id", "id", "is_top", "place"])
 
     by = ["user_id", "_run"] if "user_id" in photos.columns else ["_run"]
-    return cut.groupBy(*by).applyInPandas(stack, "stack_id bigint, id bigint, is_top boolean, place int")
+    several = cut.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).where("_n > 1").drop("_n")
+    return grouped(several.select(*by, "id", "taken_ts", "score", vector), by, stack, "stack_id bigint, id bigint, is_top boolean, place int")
 
 
 def flanked(photos: DataFrame, by: list[str], minutes: float) -> DataFrame:
@@ -161,7 +162,10 @@ def infer_locations_cascade(photos: DataFrame, by: list[str], minutes: float = 3
                 last = i
         return pd.DataFrame(out, columns=["id", "lat", "lon", "confidence", "hop"])
 
-    return cut.groupBy(*by, "_run").applyInPandas(fold, "id bigint, lat double, lon double, confidence double, hop int")
+    w = Window.partitionBy(*by, "_run")
+    there = F.count(F.when(F.col("gps_lat").isNotNull() & F.col("gps_lon").isNotNull(), 1)).over(w)
+    useful = cut.withColumn("_a", there).withColumn("_n", F.count("*").over(w)).where("_a > 0 and _a < _n").drop("_a", "_n")
+    return grouped(useful, [*by, "_run"], fold, "id bigint, lat double, lon double, confidence double, hop int")
 
 
 def _km(a: tuple, b: tuple) -> float:

@@ -267,7 +267,7 @@ def n20(spark, sf):
     return f.join(chosen, "cluster_id", "left").select("face_id", F.when(F.col("_c"), 500).otherwise(F.col("person_id")).alias("person_id"))
 
 
-@add("n23_photo_detail", FP + "SELECT p.photo_id, p.day, coalesce(string_agg(concat(f.face_id, '=', coalesce(n.name, '?')), ';' ORDER BY f.face_id), '') AS faces FROM face_photos p LEFT JOIN faces f USING (photo_id) LEFT JOIN persons n USING (person_id) WHERE p.photo_id < 200 GROUP BY 1, 2")
+@add("n23_photo_detail", FP + "SELECT p.photo_id, p.day, coalesce(string_agg(CASE WHEN f.face_id IS NOT NULL THEN concat(f.face_id, '=', coalesce(n.name, '?')) END, ';' ORDER BY f.face_id), '') AS faces FROM face_photos p LEFT JOIN faces f USING (photo_id) LEFT JOIN persons n USING (person_id) WHERE p.photo_id < 200 GROUP BY 1, 2")
 def n23(spark, sf):
     own = faces(spark, sf).where("photo_id < 200").join(persons(spark, sf), "person_id", "left")
     one = own.groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("face_id", F.coalesce("name", F.lit("?")).alias("name")))).alias("f"))
