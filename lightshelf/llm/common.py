@@ -8,9 +8,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +53,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16
 
 
 def plain_strings(column: pa.Array) -> pa.Array:
-    """Strings of one chunk, nulls as empty ones."""
+    """Strings of one chunk, nulls as empty ones, in memory of their own.
+
+    A slice shares its parent's memory, which some string kernels do not allow for.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    filled = pc.fill_null(column, "").cast(pa.large_string())
+    return filled.take(pa.array(np.arange(len(filled)), pa.int64()))
 
 
 #: White space for the patterns below: what any of the libraries' \s may match.
@@ -107,4 +113,30 @@ def ragged(values_at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(values_at - (ends - lengths), lengths)
 
 
+#: Places of the bit table by which rows outside of a set of ids are left out before a shuffle, as a power of two.
+FILTER_BITS = 24
+
+
+def maybe_among(ids: DataFrame) -> Column:
+    """Whether doc_id may be among `ids` (column doc): never false for those that are. A bit table of fixed size."""
+    spark = ids.sparkSession
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    numbered = ids.select((F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)) + 1).alias("p"))
+    bits = numbered.groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    table = np.zeros(1 << FILTER_BITS, bool)
+    width = 32768
+    for r in bits.toPandas().itertuples():  # 2 MB at most
+        got = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+        at = (r.bucket - 1) * width  # numbers count from 1
+        table[at : at + width] |= got[: len(table) - at].astype(bool)
+    held = spark.sparkContext.broadcast(np.packbits(table))
+
+    @F.pandas_udf("boolean")
+    def maybe(places: pd.Series) -> pd.Series:
+        p = places.to_numpy()
+        return pd.Series((held.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return F.col("doc_id").isNotNull() & maybe(F.coalesce(place, F.lit(0).cast("bigint")))
+
+
 LETTER = re.compile(r"[^\W\d_]")

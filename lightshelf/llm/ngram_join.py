@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lightshelf.llm.common import plain_strings, slices, stored
+from lightshelf.llm.common import maybe_among, plain_strings, slices, stored
 from lightshelf.llm.components import components
 
 WIDTH = 5
@@ -54,8 +54,6 @@ WIDTH = 5
 TABLE_BITS, BLOCK_BITS = 21, 14
 #: Prefix shingles of one packed part.
 PART = 400_000
-#: Places of the filter by which documents outside of all candidates are left unread, as a power of two.
-FILTER_BITS = 24
 BATCH_BYTES = 12 << 20
 
 
@@ -67,7 +65,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def shingles(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's word shingles."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    low = pc.ascii_lower(texts)
+    for c in "\t\n\x0b\x0c\r":
+        low = pc.replace_substring(low, c, " ")
+    split = pc.split_pattern(low, " ")
     offsets = np.asarray(split.offsets, np.int64)
     words = split.flatten().dictionary_encode()
     names = words.dictionary
@@ -248,36 +249,14 @@ def second_pairs(postings: DataFrame, labels: DataFrame, tried: DataFrame, perce
 # --- verification ----------------------------------------------------------
 
 
-def _maybe(ids: DataFrame) -> Column:
-    """Whether doc_id may be among `ids` (column doc): never false for those that are. A bit table of fixed size."""
-    spark = ids.sparkSession
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    numbered = ids.select((F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)) + 1).alias("p"))
-    bits = numbered.groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    table = np.zeros(1 << FILTER_BITS, bool)
-    width = 32768
-    for r in bits.toPandas().itertuples():  # 2 MB at most
-        got = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
-        at = (r.bucket - 1) * width  # numbers count from 1
-        table[at : at + width] |= got[: len(table) - at].astype(bool)
-    held = spark.sparkContext.broadcast(np.packbits(table))
-
-    @F.pandas_udf("boolean")
-    def maybe(places: pd.Series) -> pd.Series:
-        p = places.to_numpy()
-        return pd.Series((held.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool))
-
-    return F.col("doc_id").isNotNull() & maybe(F.coalesce(place, F.lit(0).cast("bigint")))
-
-
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of `docs` with an id in `ids`; most others are left out before the shuffle."""
-    return docs.where(_maybe(ids)).join(ids.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
+    return docs.where(maybe_among(ids)).join(ids.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of `docs` without an id in `ids`; most of them without a shuffle."""
-    maybe = _maybe(ids)
+    maybe = maybe_among(ids)
     rest = docs.where(maybe).join(ids.withColumnRenamed("doc", "doc_id"), "doc_id", "left_anti")
     return docs.where(~maybe).unionByName(rest.select(docs.columns))
 

@@ -121,8 +121,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np
         yield names, np.concatenate(counts)
 
 
-def gram_tables(words: DataFrame) -> np.ndarray:
-    """Counts by what, order, side and place for the n-grams of all words; every table has a fixed size.
+def gram_tables(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by what, order, side and place for the n-grams of all words, and those shared; every table has a fixed size.
 
     What: the n-gram's count, its context's count and the distinct followers of
     the context (orders above SHARED, for each side); the distinct left
@@ -164,20 +164,24 @@ def gram_tables(words: DataFrame) -> np.ndarray:
 
     # at most 3 tables of 2^18 places for each order, whatever the corpus
     rows = types.mapInArrow(places, f"key bigint, {SUMS4}").groupBy("key").agg(*[F.sum(c).cast("float").alias(c) for c in NS]).toPandas()
-    out = np.zeros((5, ORDERS + 1, 4, 1 << BITS), np.float32)
+    own = np.zeros((3, ORDERS - SHARED, 4, 1 << BITS), np.float32)
+    shared = np.zeros((3, SHARED, 1 << BITS), np.float32)  # followers, extensions, middles
     at = rows.key.to_numpy()
+    what, order, place = at >> 40, at >> 32 & 255, at & (1 << 32) - 1
+    high = order > SHARED
     for i, c in enumerate(NS):
-        out[at >> 40, at >> 32 & 255, i, at & (1 << 32) - 1] = rows[c].to_numpy()
-    return out
+        own[what[high], order[high] - SHARED - 1, i, place[high]] = rows[c].to_numpy()[high]
+    shared[what[~high] - FOLLOWERS, order[~high] - 1, place[~high]] = rows["n0"].to_numpy()[~high]
+    return own, shared
 
 
-def model_of(tables: np.ndarray, toxic: list[int], ordinary: list[int]) -> dict:
+def model_of(tables: tuple[np.ndarray, np.ndarray], toxic: list[int], ordinary: list[int]) -> dict:
     """Counts of two classes, each the sum of the sides named, over the shared lower orders."""
-    own = np.stack([tables[: FOLLOWERS + 1, SHARED + 1 :, sides].sum(axis=2) for sides in (toxic, ordinary)], axis=1)
-    lowest = tables[EXTENSIONS, 1, 0]
+    own, (followers, extensions, middles) = tables
+    lowest = extensions[0]
     return {
-        "own": own, "unigram": (lowest + 0.5) / (lowest.sum() + 0.5 * 4096),
-        "shared": {k: (tables[EXTENSIONS, k, 0].copy(), tables[MIDDLES, k, 0].copy(), tables[FOLLOWERS, k, 0].copy()) for k in range(2, SHARED + 1)},
+        "own": np.stack([own[:, :, sides].sum(axis=2) for sides in (toxic, ordinary)], axis=1), "unigram": (lowest + 0.5) / (lowest.sum() + 0.5 * 4096),
+        "shared": {k: (extensions[k - 1], middles[k - 1], followers[k - 1]) for k in range(2, SHARED + 1)},
     }
 
 
@@ -266,12 +270,12 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None) ->
     read = docs.select("doc_id", "text").where("text is not null").where(maybe_among(marks.select(F.col("doc_id").alias("doc"))))
     fold = F.xxhash64("doc_id", F.lit(29)).bitwiseAND(1)
     rows = stored(read.join(marks, "doc_id").select("text", "doc_id", "toxic", (F.col("toxic") * 2 + fold).cast("int").alias("side")))
-    tables = gram_tables(word_counts(rows))
     sizes = {r.side: r.n for r in rows.groupBy("side").agg(F.count("*").alias("n")).collect()}
     if not (sizes.get(0, 0) + sizes.get(1, 0)) or not (sizes.get(2, 0) + sizes.get(3, 0)):
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, min(1.0, (FIT_ROWS / 2 * 1.1 + 50) / n))]), F.col("side"))
     unit = F.xxhash64("doc_id", F.lit(31)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    tables = gram_tables(word_counts(rows))
     half = [model_of(tables, [2 + f], [f]) for f in (1, 0)]  # each without the fold that it scores
     held = docs.sparkSession.sparkContext.broadcast(half)  # of fixed size
 

@@ -21,11 +21,13 @@ def photos(spark, sf):
     return library(spark, sf, "photos")
 
 
-BEST = [F.col("score").desc_nulls_last(), F.col("id")]
+def best_first():
+    return [F.col("score").desc_nulls_last(), F.col("id")]
+
 
 for _kind, _n in (("month", 7), ("day", 10)):
     add(f"w01_representatives_{_kind}", P + f"SELECT bucket, id, rn FROM (SELECT substr(day, 1, {_n}) AS bucket, id, CAST(row_number() OVER (PARTITION BY substr(day, 1, {_n}) ORDER BY score DESC NULLS LAST, id) AS INT) AS rn FROM photos) WHERE rn <= 3")(
-        lambda spark, sf, n=_n: ranking.top_per_group(photos(spark, sf).select(F.substring("day", 1, n).alias("bucket"), "id", "score"), ["bucket"], BEST, 3).select("bucket", "id", "rn")
+        lambda spark, sf, n=_n: ranking.top_per_group(photos(spark, sf).select(F.substring("day", 1, n).alias("bucket"), "id", "score"), ["bucket"], best_first(), 3).select("bucket", "id", "rn")
     )
 
 
@@ -36,7 +38,7 @@ def w04(spark, sf):
 
 @add("w08_rank_in_cluster", P + "SELECT id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC NULLS LAST, id) AS INT) AS rank_in_cluster FROM photos")
 def w08(spark, sf):
-    return photos(spark, sf).select("id", F.row_number().over(Window.partitionBy("user_id").orderBy(*BEST)).alias("rank_in_cluster"))
+    return photos(spark, sf).select("id", F.row_number().over(Window.partitionBy("user_id").orderBy(*best_first())).alias("rank_in_cluster"))
 
 
 _ANCHOR = "PARTITION BY user_id ORDER BY taken_ts, id"
@@ -75,7 +77,7 @@ def o02(spark, sf):
 
 @add("o04_dedupe_by_hash", P + "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY coalesce(nullif(file_hash, ''), concat('id:', id)) ORDER BY score DESC NULLS LAST, id) AS rn FROM photos) WHERE rn = 1")
 def o04(spark, sf):
-    return ranking.dedupe_by_hash(photos(spark, sf), BEST).select("id")
+    return ranking.dedupe_by_hash(photos(spark, sf), best_first()).select("id")
 
 
 @add("o05_best_buckets", P + "SELECT locality, id FROM photos WHERE score IS NOT NULL AND locality IN (SELECT locality FROM photos GROUP BY 1 ORDER BY max(score) DESC NULLS LAST, locality LIMIT 5)")
@@ -85,7 +87,7 @@ def o05(spark, sf):
 
 @add("o07_over_fetch", P + "SELECT day, id FROM (SELECT day, id, row_number() OVER (PARTITION BY day ORDER BY score DESC NULLS LAST, id) AS rn FROM photos) WHERE rn <= 18")
 def o07(spark, sf):
-    return ranking.top_per_group(photos(spark, sf).select("day", "id", "score"), ["day"], BEST, 18).select("day", "id")
+    return ranking.top_per_group(photos(spark, sf).select("day", "id", "score"), ["day"], best_first(), 18).select("day", "id")
 
 
 @add("o09_manual_order", "SELECT o_custkey AS collection_id, o_orderkey AS photo_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS INT) AS place FROM orders")
@@ -149,7 +151,7 @@ def t03(spark, sf):
 
 @add("t04_ranked_near_duplicates")
 def t04(spark, sf):
-    near = ranking.top_per_group(photos(spark, sf).select("id", F.substring("day", 1, 7).alias("bucket"), "taken_ts", "score", "file_hash"), ["bucket"], BEST, 60).drop("rn")
+    near = ranking.top_per_group(photos(spark, sf).select("id", F.substring("day", 1, 7).alias("bucket"), "taken_ts", "score", "file_hash"), ["bucket"], best_first(), 60).drop("rn")
     return ranking.keep_best_apart(near, ["bucket"], 45.0, 10, same=["file_hash"]).select("bucket", "id")
 
 
