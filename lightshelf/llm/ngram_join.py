@@ -54,7 +54,7 @@ WIDTH = 5
 TABLE_BITS, BLOCK_BITS = 21, 14
 #: Prefix shingles of one packed part.
 PART = 400_000
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 3 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
