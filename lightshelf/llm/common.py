@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,25 +117,22 @@ FILTER_BITS = 24
 
 
 def maybe_among(ids: DataFrame) -> Column:
-    """Whether doc_id may be among `ids` (column doc): never false for those that are. A bit table of fixed size."""
-    spark = ids.sparkSession
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    numbered = ids.select((F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)) + 1).alias("p"))
-    bits = numbered.groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    table = np.zeros(1 << FILTER_BITS, bool)
-    width = 32768
-    for r in bits.toPandas().itertuples():  # 2 MB at most
-        got = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
-        at = (r.bucket - 1) * width  # numbers count from 1
-        table[at : at + width] |= got[: len(table) - at].astype(bool)
-    held = spark.sparkContext.broadcast(np.packbits(table))
-
-    @F.pandas_udf("boolean")
-    def maybe(places: pd.Series) -> pd.Series:
-        p = places.to_numpy()
-        return pd.Series((held.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool))
-
-    return F.col("doc_id").isNotNull() & maybe(F.coalesce(place, F.lit(0).cast("bigint")))
+    """Whether doc_id may be among `ids` (column doc): never false for those that are.
+
+    A bit table of fixed size: at most 512 bitmaps of 4 KB, whatever the number of ids.
+    """
+
+    def at(column: str) -> tuple[Column, Column]:
+        place = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)) + 1
+        return F.call_function("bitmap_bucket_number", place), F.call_function("bitmap_bit_position", place)
+
+    bucket, position = at("doc")
+    bitmaps = stored(ids.select(bucket.alias("bucket"), position.alias("position")).groupBy("bucket").agg(F.call_function("bitmap_construct_agg", F.col("position")).alias("bits")))
+    held = bitmaps.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits")))).scalar()
+    bucket, position = at("doc_id")
+    byte = F.substring(F.try_element_at(held, bucket), (position / 8).cast("int") + 1, F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (position % 8).cast("int"))
+    return F.col("doc_id").isNotNull() & F.coalesce(bit == 1, F.lit(False))
 
 
 LETTER = re.compile(r"[^\W\d_]")
