@@ -16,9 +16,10 @@ links connect, without ever writing all pairs of a group:
    size are compared with one of them: that in whose prefix the shingle stands
    first, i.e. with the fewest rarer shingles of its own.  Length and positional
    filters apply; each pair is kept once.
-4. Verification.  Sets of candidate documents only are made again from their
-   texts; a suffix filter (set sizes in ranges of the hash) precedes the exact
-   intersection.
+4. Verification.  A suffix filter comes first: the elements of a set in each of
+   64 ranges of the hash, 128 bytes a document, bound the intersection of a pair.
+   For the pairs that are left, sets are made again from the texts and compared
+   exactly.
 5. Pairs, second round.  Lists whose documents are not yet one component are
    joined with themselves, for documents of different components, under the same
    filters, without pairs already tried.  After it, every pair that passes the
@@ -99,26 +100,34 @@ def shingles(texts: pa.Array) -> list[np.ndarray]:
 
 # --- sets and frequencies --------------------------------------------------
 
-SETS = "doc_id bigint, n_shingles bigint, mark binary, block int, task int, counts binary"
+SETS = "doc_id bigint, n_shingles bigint, mark binary, ranges binary, block int, task int, counts binary"
+#: Ranges of the hash in which the suffix filter counts a set's elements (as a power of two), and the highest count kept.
+RANGE_BITS, MOST_IN_RANGE = 6, (1 << 16) - 1
+
+
+def range_counts(s: np.ndarray) -> bytes:
+    """How many elements of a set lie in each range of the hash."""
+    counts = np.bincount((s >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS)
+    return np.minimum(counts, MOST_IN_RANGE).astype("<u2").tobytes()
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, then the task's frequency table in blocks."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("mark", pa.binary()), ("block", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("mark", pa.binary()), ("ranges", pa.binary()), ("block", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
     table = np.zeros(1 << TABLE_BITS, np.uint32)
     for batch in slices(batches, "text", BATCH_BYTES):
         sets = shingles(plain_strings(batch.column("text")))
         marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         n = len(sets)
         none = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), *none], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array([range_counts(s) if len(s) else None for s in sets], pa.binary()), *none], schema=schema)
         if n:
             table += np.bincount((np.concatenate(sets) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table)).astype(np.uint32)
     task = TaskContext.get()
     blocks = [b for b in np.minimum(table, (1 << 16) - 1).astype(np.uint16).reshape(-1, 1 << BLOCK_BITS)]
     there = [i for i, b in enumerate(blocks) if b.any()]
     m = len(there)
-    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(there, pa.int32()), pa.array([task.partitionId() if task else 0] * m, pa.int32()), pa.array([blocks[i].tobytes() for i in there], pa.binary())], schema=schema)
+    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(there, pa.int32()), pa.array([task.partitionId() if task else 0] * m, pa.int32()), pa.array([blocks[i].tobytes() for i in there], pa.binary())], schema=schema)
 
 
 def _added(wide: bool):
@@ -227,9 +236,9 @@ def _pair(x: str = "x", y: str = "y") -> list[Column]:
 def first_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Each list's documents of similar size with one of them, and those of neighbouring sizes with each other."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) if percent < 100 else F.col("n")).cast("int")
-    banded = postings.withColumn("band", band)
+    banded = postings.withColumn("band", F.coalesce(band, F.lit(0)))
     best = F.min(F.struct((F.col("pos") / F.col("n")).alias("share"), "doc", "n", "pos"))
-    pivots = banded.groupBy("h", "band").agg(best.alias("p"), F.count("*").alias("m")).select("h", "band", "m", "p.doc", "p.n", "p.pos")
+    pivots = banded.groupBy("h", "band").agg(best.alias("p"), F.count("*").alias("m")).select("h", "band", "m", "p.doc", "p.n", "p.pos").where("m > 0")  # all three uses read the same columns, so that one shuffle serves them
     star = banded.alias("x").join(pivots.where("m > 1").alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")))
     star = star.where((F.col("x.doc") != F.col("y.doc")) & _fits(percent)).select(*_pair())
     near = pivots.alias("x").join(pivots.withColumn("up", F.col("band") - 1).alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.up")))
@@ -262,26 +271,41 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc and its set (sorted hashes as bytes) for the documents in `ids`."""
+    """doc and its set (sorted hashes as bytes) for the documents in `ids`, and few others that the join with pairs leaves out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
             sets = [s.tobytes() for s in shingles(plain_strings(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc", "items"])
 
-    return _only(docs.select("doc_id", "text"), ids).mapInArrow(run, "doc bigint, items binary")
+    return docs.select("doc_id", "text").where(maybe_among(ids)).mapInArrow(run, "doc bigint, items binary")
+
+
+def possible(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Suffix filter on rows of range counts: elements of one range can only meet there."""
+    need = -(-percent * (x.sum(axis=1) + y.sum(axis=1)) // (100 + percent))
+    unknown = (x == MOST_IN_RANGE).any(axis=1) | (y == MOST_IN_RANGE).any(axis=1)
+    return unknown | (np.minimum(x, y).sum(axis=1) >= need)
+
+
+def plausible(pairs: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the suffix filter leaves; `ranges` has doc and its range counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, 1 << RANGE_BITS).astype(np.int64) for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array(possible(x, y, percent), pa.bool_()))
+
+    one = pairs.join(ranges.select(F.col("doc").alias("a"), F.col("ranges").alias("x")), "a")
+    both = one.join(ranges.select(F.col("doc").alias("b"), F.col("ranges").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Exact test of two sorted sets; the suffix filter first."""
+    """Exact test of two sorted sets."""
     need = -(-percent * (len(x) + len(y)) // (100 + percent))
     if min(len(x), len(y)) < need:
         return False
-    # elements in each of 16 ranges of the hash: those of one range can only meet there
-    ranges = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60)).astype(np.uint64)
-    cx, cy = (np.diff(np.searchsorted(s, ranges), prepend=0, append=len(s)) for s in (x, y))
-    if np.minimum(cx, cy).sum() < need:
-        return False
     both = np.sort(np.concatenate([x, y]), kind="stable")
     return int(np.count_nonzero(both[1:] == both[:-1])) >= need
 
@@ -299,6 +323,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+
+
+def links_of(pairs: DataFrame, docs: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs that are similar, by the suffix filter and then exactly."""
+    left = stored(plausible(pairs, ranges, percent))
+    return stored(verified(left, stored(candidate_sets(docs, _ids(left))), percent))
+
+
 # --- the operator ----------------------------------------------------------
 
 
@@ -318,13 +352,12 @@ def link_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     repeated = dealt.mapInArrow(_repeated, POSTINGS)
     postings = stored(repeated.join(classes.select("doc"), "doc", "left_semi"))
     tried = stored(first_pairs(postings, percent))
-    ids = tried.select(F.col("a").alias("doc")).unionByName(tried.select(F.col("b").alias("doc"))).distinct()
-    links = stored(verified(tried, stored(candidate_sets(docs, ids)), percent))
+    ranges = rows.where("ranges is not null and doc_id is not null").select(F.col("doc_id").alias("doc"), "ranges")
+    links = links_of(tried, docs, ranges, percent)
     labels = components(links)
     more = stored(second_pairs(postings, labels, tried, percent))
     if not more.isEmpty():
-        ids = more.select(F.col("a").alias("doc")).unionByName(more.select(F.col("b").alias("doc"))).distinct()
-        found = stored(verified(more, stored(candidate_sets(docs, ids)), percent))
+        found = links_of(more, docs, ranges, percent)
         if not found.isEmpty():
             labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     by_class = classes.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("mark", F.coalesce("component", "doc").alias("component_id"))

@@ -179,7 +179,10 @@ def test_filters_never_drop_similar_sets():
         x = np.unique(rng.integers(0, 2**63, 40).astype(np.uint64))
         y = np.unique(np.concatenate([rng.permutation(x)[: rng.integers(20, 41)], rng.integers(0, 2**63, rng.integers(0, 12)).astype(np.uint64)]))
         both = len(np.intersect1d(x, y))
-        assert ngram_join.similar(x, y, 80) == (100 * both >= 80 * (len(x) + len(y) - both))
+        links = 100 * both >= 80 * (len(x) + len(y) - both)
+        assert ngram_join.similar(x, y, 80) == links
+        cx, cy = (np.frombuffer(ngram_join.range_counts(s), "<u2").astype(np.int64)[None] for s in (x, y))
+        assert ngram_join.possible(cx, cy, 80)[0] or not links
 
 
 def test_components_of_a_chain(spark):
