@@ -159,7 +159,10 @@ def train(sample: pd.DataFrame, idf: np.ndarray, epochs: int = 3) -> dict:
     """Model of the labelled sample (text, lang, and `aside` for rows that calibrate)."""
     classes = sorted(sample.lang.unique())
     number = {c: i for i, c in enumerate(classes)}
-    rows = [(*vector(t, idf), number[c], bool(a)) for t, c, a in zip(sample.text, sample.lang, sample.aside)]
+    rows = []
+    for t, c, a in zip(sample.text, sample.lang, sample.aside):
+        places, x = vector(t, idf)
+        rows.append((places.astype(np.uint16), x.astype(np.float32), number[c], bool(a)))  # 6 bytes a feature
     model = FollowTheLeader(len(classes))
     learn = [r for r in rows if not r[3]] or rows
     for epoch in range(epochs):

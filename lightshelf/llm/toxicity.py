@@ -277,7 +277,9 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None) ->
     unit = F.xxhash64("doc_id", F.lit(31)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
     tables = gram_tables(word_counts(rows))
     half = [model_of(tables, [2 + f], [f]) for f in (1, 0)]  # each without the fold that it scores
+    full = model_of(tables, [2, 3], [0, 1])
     held = docs.sparkSession.sparkContext.broadcast(half)  # of fixed size
+    del tables, half  # tens of megabytes that the driver need not keep
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -298,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None) ->
     n1 = sizes.get(2, 0) + sizes.get(3, 0)
     n0 = sizes.get(0, 0) + sizes.get(1, 0)
     got["w"][0] += math.log(n1 / n0) - math.log(y.sum() / (len(y) - y.sum()))
-    return {"model": model_of(tables, [2, 3], [0, 1]), "fit": got}
+    return {"model": full, "fit": got}
 
 
 def score(docs: DataFrame, model: dict | None, threshold: float = 0.7, text: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
