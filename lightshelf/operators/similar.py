@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lightshelf.functions import vectors as V
@@ -80,17 +80,21 @@ def radius_pairs(df: DataFrame, radius: float, vector: str = "embedding", id_col
     return sent.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "low", "high").groupBy("low", "high").applyInPandas(compare, "a bigint, b bigint, distance double")
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Sets the checkpoint folder if there is none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lightshelf-"))
+
+
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and its component (smallest node reachable) for the nodes of edges a-b.
 
     Each round, nodes take the smallest label around them and labels jump to
     their own labels; labels are checkpointed, so lost executors cost a round.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lightshelf-"))
+    checkpoints(edges.sparkSession)
     both = edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node").checkpoint()
     for _ in range(most_rounds):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lightshelf.functions import scalar as S
+from lightshelf.operators import similar
 from lightshelf.plans.vocabulary import EXTENSIONS
 
 NUMBERED_COPY = r"(?i) \(\d+\)\.[a-z0-9]+$"
@@ -66,14 +69,40 @@ def gazetteer(spark: SparkSession, places: str, admins: str, classes: tuple[str,
 
 
 def nearest_place(points: DataFrame, places: DataFrame, cell: float = 0.5, id_col: str = "id") -> DataFrame:
-    """For each point (id, lat, lon) the nearest place in its own or a neighbouring grid cell."""
-    at = lambda c: F.floor(F.col(c) / cell).cast("int")
-    shift = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    spread = places.select("name", F.col("lat").alias("plat"), F.col("lon").alias("plon")).withColumn("_dx", F.explode(shift)).withColumn("_dy", F.explode(shift))
-    spread = spread.withColumn("_x", at("plat") + F.col("_dx")).withColumn("_y", at("plon") + F.col("_dy"))
-    pairs = points.select(id_col, "lat", "lon").withColumn("_x", at("lat")).withColumn("_y", at("lon")).join(spread, ["_x", "_y"])
-    d = S.haversine_km("lat", "lon", "plat", "plon")
-    return pairs.withColumn("km", d).groupBy(id_col).agg(F.min(F.struct(F.round("km", 9).alias("km"), "name")).alias("p")).select(id_col, F.col("p.name").alias("place"), F.col("p.km").alias("km"))
+    """For each point (id, lat, lon) the nearest place and its distance; NULL for points without coordinates.
+
+    Distinct spots meet the places of their own and the neighbouring grid cells.
+    A hit counts only if it is nearer than anything outside of these cells can
+    be; other spots go on to cells of twice the size, at last to all places.
+    """
+    similar.checkpoints(points.sparkSession)
+    known = places.where("lat is not null and lon is not null").select("name", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    spots = points.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").select("lat", "lon").distinct()
+    sure = None
+    while True:
+        every = cell >= 60
+        # lat and lon are those of the spot; outside of the block either differs by a cell at least
+        beyond = F.lit(S.EARTH_KM) * F.asin(F.cos(F.radians("lat")) * F.lit(math.sin(math.radians(cell))))
+        hits = _in_block(spots, known, None if every else cell).withColumn("_sure", F.lit(every) | F.coalesce(F.col("p.km") < beyond - 1e-6, F.lit(False))).checkpoint()
+        near = hits.where("_sure").select("lat", "lon", "p")
+        sure = near if sure is None else sure.unionByName(near)
+        spots = hits.where("not _sure").select("lat", "lon")
+        if every or spots.isEmpty():
+            break
+        cell *= 2
+    return points.select(id_col, "lat", "lon").join(sure, ["lat", "lon"], "left").select(id_col, F.col("p.name").alias("place"), F.col("p.km").alias("km"))
+
+
+def _in_block(spots: DataFrame, known: DataFrame, cell: float | None) -> DataFrame:
+    """Each spot (lat, lon) with its nearest place `p` (km, name) in its own and the neighbouring cells, or of all if no cell is given."""
+    around = int(360 // cell) if cell else 1
+    row = lambda c: F.floor(F.col(c) / cell) if cell else F.lit(0)
+    column = lambda c: F.floor(F.pmod(F.col(c), F.lit(360.0)) / (360.0 / around)) % around if cell else F.lit(0)
+    shift = F.array(*[F.lit(i) for i in ((-1, 0, 1) if cell else (0,))])
+    spread = known.withColumn("_dx", F.explode(shift)).withColumn("_dy", F.explode(shift)).withColumn("_x", row("plat") + F.col("_dx")).withColumn("_y", F.pmod(column("plon") + F.col("_dy"), F.lit(around)))
+    pairs = spots.withColumn("_x", row("lat")).withColumn("_y", column("lon")).join(spread, ["_x", "_y"], "left")
+    d = F.round(S.haversine_km("lat", "lon", "plat", "plon"), 9)
+    return pairs.groupBy("lat", "lon").agg(F.min(F.when(F.col("plat").isNotNull(), F.struct(d.alias("km"), "name"))).alias("p"))
 
 
 def book_manifest(cells: DataFrame) -> DataFrame:
