@@ -98,7 +98,7 @@ def match_in_time(distances: DataFrame, faces: DataFrame, sightings: DataFrame,
     ranked = top_per_group(distances, ["face_id"], [F.col("distance"), F.col("person_id")], 2)
     best = ranked.groupBy("face_id").agg(F.min(F.when(F.col("rn") == 1, F.struct("person_id", "distance"))).alias("b"), F.min(F.when(F.col("rn") == 2, F.col("distance"))).alias("second"))
     clear = best.where((F.col("b.distance") <= most) & (F.col("second").isNull() | (F.col("second") - F.col("b.distance") >= margin))).select("face_id", "b.person_id", "b.distance")
-    timed = clear.join(faces.select("face_id", "taken_ts"), "face_id").join(sightings.select("person_id").distinct().withColumn("known", F.lit(True)), "person_id", "left")
+    timed = clear.join(faces.select("face_id", "taken_ts"), "face_id", "left").join(sightings.select("person_id").distinct().withColumn("known", F.lit(True)), "person_id", "left")
     free = timed.where("taken_ts is null or known is null").select("face_id", "person_id", "distance")
     checked = seen_near(timed.where("taken_ts is not null and known"), sightings, minutes).select("face_id", "person_id", "distance")
     return free.unionByName(checked)

@@ -157,10 +157,8 @@ def m16(spark, sf):
 
 @add("m18_review_selection", P + "SELECT p.user_id, p.id, coalesce(l.quality = 1, FALSE) AS selected FROM photos p LEFT JOIN labels l ON l.doc_id = p.id WHERE p.user_id IN (SELECT user_id FROM photos WHERE id < 50)")
 def m18(spark, sf):
-    p = photos(spark, sf)
-    scope = p.where("id < 50").select("user_id").distinct()
     saved = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("_s"))
-    return p.join(scope, "user_id", "left_semi").join(saved, "id", "left").select("user_id", "id", F.coalesce("_s", F.lit(False)).alias("selected"))
+    return photos(spark, sf).join(saved, "id", "left").select("user_id", "id", F.coalesce("_s", F.lit(False)).alias("selected"))
 
 
 @add("m19_relocation_plan", P + "SELECT id, target, count(*) OVER (PARTITION BY target) > 1 AS conflict FROM (SELECT id, concat('/lib/', substr(day, 1, 4), '/', day, '_u', user_id, '/', filename) AS target FROM photos)")

@@ -269,10 +269,10 @@ def n20(spark, sf):
 
 @add("n23_photo_detail", FP + "SELECT p.photo_id, p.day, coalesce(string_agg(CASE WHEN f.face_id IS NOT NULL THEN concat(f.face_id, '=', coalesce(n.name, '?')) END, ';' ORDER BY f.face_id), '') AS faces FROM face_photos p LEFT JOIN faces f USING (photo_id) LEFT JOIN persons n USING (person_id) WHERE p.photo_id < 200 GROUP BY 1, 2")
 def n23(spark, sf):
-    own = faces(spark, sf).where("photo_id < 200").join(persons(spark, sf), "person_id", "left")
+    own = faces(spark, sf).join(persons(spark, sf), "person_id", "left")
     one = own.groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("face_id", F.coalesce("name", F.lit("?")).alias("name")))).alias("f"))
     doc = F.concat_ws(";", F.transform("f", lambda x: F.concat(x["face_id"].cast("string"), F.lit("="), x["name"])))
-    return face_photos(spark, sf).where("photo_id < 200").join(one, "photo_id", "left").select("photo_id", "day", F.coalesce(doc, F.lit("")).alias("faces"))
+    return face_photos(spark, sf).join(one, "photo_id", "left").select("photo_id", "day", F.coalesce(doc, F.lit("")).alias("faces"))
 
 
 @add("n33_person_references", FP + "SELECT n.person_id, n.name, count(f.face_id) AS n_refs FROM persons n LEFT JOIN faces f ON f.person_id = n.person_id AND f.match_source = 'manual' GROUP BY 1, 2")

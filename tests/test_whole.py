@@ -1,5 +1,6 @@
 """Whole jobs: every row that a query is asked for, against brute force and SQL without cuts."""
 
+import datetime as dt
 import math
 import random
 
@@ -7,6 +8,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
+from lightshelf.operators import people  # noqa: E402
 from lightshelf.queries import every  # noqa: E402
 from lightshelf.queries.curation import _PLACES  # noqa: E402
 from lightshelf.sources import files  # noqa: E402
@@ -45,3 +47,44 @@ def test_nearest_place_of_every_point(spark):
 def test_n14_nearest_place(spark, duck):
     sql = with_library("photos").rstrip() + f", {_PLACES} SELECT id, arg_min(name, (d, name)) AS place, round(min(d), 6) AS km FROM (SELECT id, name, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(plat - gps_lat) / 2), 2) + cos(radians(gps_lat)) * cos(radians(plat)) * pow(sin(radians(plon - gps_lon) / 2), 2))), 9) AS d FROM photos, p WHERE place_name IS NULL AND gps_lat > 1) GROUP BY id"
     assert rows(FOUND.queries["n14_nearest_place"](spark, SF).toPandas()) == rows(duck.execute(sql).df())
+
+
+#: Queries and what their SQL has as restrictions to some ids, with what stands there without them.
+NO_IDS = {
+    "o01_sort_date_desc": [(" WHERE user_id < 20", "")],
+    "o01_sort_date_asc": [(" WHERE user_id < 20", "")],
+    "t14_overlap_days": [(" WHERE user_id < 25", "")],
+    "h27_interleave": [(" WHERE user_id < 40", "")],
+    "a36_nested_rows": [(" WHERE user_id < 5", "")],
+    "n23_photo_detail": [(" WHERE p.photo_id < 200", "")],
+    "n01_diagnose_faces": [("a.vec_id < 20 AND ", "")],
+    "v14_sharper_alternatives": [(" AND abs(a.vec_id - b.vec_id) <= 200", ""), (" WHERE a.vec_id % 20 = 0", "")],
+    "t09_identity_in_time": [(" WHERE event_id < 500", ""), (" WHERE user_id < 3", ""), ("s.user_id < 3 AND ", ""), ("c JOIN p", "c LEFT JOIN p"), ("WHERE person_id NOT IN", "WHERE p.ts IS NULL OR person_id NOT IN")],
+    "m18_review_selection": [(" WHERE p.user_id IN (SELECT user_id FROM photos WHERE id < 50)", "")],
+}
+
+
+def without_ids(name):
+    """The registered SQL of a query, for all ids."""
+    sql = FOUND.sql[name]
+    for old, new in NO_IDS[name]:
+        sql = sql.replace(old, new)
+    return sql
+
+
+@pytest.mark.parametrize("name", sorted(NO_IDS))
+def test_all_ids(spark, duck, name):
+    assert rows(FOUND.queries[name](spark, SF).toPandas()) == rows(duck.execute(without_ids(name)).df())
+
+
+def test_capped_scenes_of_all_users(spark, duck):
+    got = FOUND.queries["t10_capped_scenes"](spark, SF).toPandas()
+    want = duck.execute("SELECT user_id, greatest(count(DISTINCT day), least(20, sum(new))) AS n FROM (SELECT user_id, CAST(ts AS DATE) AS day, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) <= 2400000000 THEN 0 ELSE 1 END AS new FROM events) GROUP BY 1").df()
+    assert got.groupby("user_id").size().to_dict() == dict(zip(want.user_id, want.n))
+
+
+def test_identity_of_faces_without_a_photo(spark):
+    d = spark.createDataFrame([(1, 7, 1.0), (2, 7, 1.0)], "face_id long, person_id long, distance double")
+    f = spark.createDataFrame([(1, dt.datetime(2026, 1, 1, 10))], "face_id long, taken_ts timestamp")
+    s = spark.createDataFrame([(7, dt.datetime(2026, 1, 2))], "person_id long, taken_ts timestamp")
+    assert [r.face_id for r in people.match_in_time(d, f, s).collect()] == [2]
