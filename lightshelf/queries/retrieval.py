@@ -70,7 +70,7 @@ def r08(spark, sf):
 
 @add("r09_description_score", X + "SELECT id, CASE WHEN regexp_matches(lower(description), '(^|[^\\w])with([^\\w]|$)') AND regexp_matches(lower(description), '(^|[^\\w])thing([^\\w]|$)') THEN CAST(0.05 AS DOUBLE) WHEN NOT regexp_matches(lower(description), '(^|[^\\w])with([^\\w]|$)') AND NOT regexp_matches(lower(description), '(^|[^\\w])thing([^\\w]|$)') THEN CAST(-0.02 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS v FROM texts WHERE NOT regexp_matches(lower(description), '(^|[^\\w])(no|without) ')")
 def r09(spark, sf):
-    return library(spark, sf, "texts").where("not rlike(lower(description), '(^|[^\\\\w])(no|without) ')").select("id", search.description_score("description", "with thing").alias("v"))
+    return library(spark, sf, "texts").select("id", search.description_score("description", "with thing").alias("v"))
 
 
 @add("r02_semantic_search")

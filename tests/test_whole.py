@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import pytest
 
@@ -88,3 +89,34 @@ def test_identity_of_faces_without_a_photo(spark):
     f = spark.createDataFrame([(1, dt.datetime(2026, 1, 1, 10))], "face_id long, taken_ts timestamp")
     s = spark.createDataFrame([(7, dt.datetime(2026, 1, 2))], "person_id long, taken_ts timestamp")
     assert [r.face_id for r in people.match_in_time(d, f, s).collect()] == [2]
+
+
+def description_score(text):
+    """What r09 gives a text for 'with thing', by its rules read one by one."""
+    if not text:
+        return 0.0
+    text, cues = text.lower(), r"\b(?:no|without|absence of)\b"
+
+    def after(pattern, end, most):
+        """Whether a match of the pattern ends at most so many characters, all of one line, before `end`."""
+        return any(m.end() <= end and end - m.end() <= most and "\n" not in text[m.end() : end] for m in re.finditer(pattern, text, re.A))
+
+    hits = 0
+    for word in ("with", "thing"):
+        for cue in ("no ", "no visible ", "without ", "absence of "):
+            if any(not after(r"\bno other", m.start(), 9) for m in re.finditer(rf"\b{cue}{word}", text, re.A)):
+                return -0.04
+        found = [m.start() for m in re.finditer(rf"\b{word}\b", text, re.A)]
+        hits += any(not after(cues, at, 30) or after(r"\bno other\b", at, 30) for at in found)
+    return {0: -0.02, 1: 0.0, 2: 0.05}[hits]
+
+
+def test_description_score_of_all_texts(spark, tmp_path):
+    data = ["with a thing", "no thing here with it", "a room without things", "there is no other thing with it", "no one is with the thing", "with it. Not one single thing that anybody could have seen, then a thing", "nothing", "without\nwith thing", "no", "no chair. with", "", None]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(data)], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: r.v for r in FOUND.queries["r09_description_score"](spark, str(tmp_path)).collect()}
+    assert got == {i: description_score(t) for i, t in enumerate(data)}
+    assert -0.04 in got.values() and len(set(got.values())) == 4
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    assert {r.id: r.v for r in FOUND.queries["r09_description_score"](spark, SF).collect()} == {i: description_score(t) for i, t in texts.items()}
