@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lightshelf.llm import langid, lp_packing, ngram_join, toxicity
-from lightshelf.llm.common import stored, table
+from lightshelf.llm.common import fresh, stored, table
 from lightshelf.llm.tokens import vocabulary_path
 
 #: Least calibrated probability of the predicted language.
@@ -23,14 +23,16 @@ LEAST_LANGUAGE_SCORE = 0.5
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a predicted language of at least the least score."""
     model = langid.fit(docs, ~langid.held_out())
-    rated = langid.predict(docs, model, out=("_lang_pred", "_lang_score"))
-    return rated.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    lang, sure = (fresh(c, docs.columns) for c in ("_lang", "_sure"))
+    rated = langid.predict(docs, model, out=(lang, sure))
+    return rated.where((F.col(lang) != "und") & (F.col(sure) >= LEAST_LANGUAGE_SCORE)).drop(lang, sure)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are not predicted to be toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out=("_toxic_score", "_toxic")).where(F.col("_toxic") == 0).select(docs.columns)
+    rate, toxic = (fresh(c, docs.columns) for c in ("_rate", "_toxic"))
+    return toxicity.score(docs, model, out=(rate, toxic)).where(F.col(toxic) == 0).drop(rate, toxic)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, with marks before it until no column in `taken` begins so."""
+    while any(c.lower().startswith(name.lower()) for c in taken):
+        name = "_" + name
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16 << 20, most_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that each holds about `most_bytes` of `column`, at least a row and at most `most_rows`."""
     for batch in batches:

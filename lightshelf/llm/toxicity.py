@@ -9,19 +9,33 @@ passages: ratios are divided by the number of words, over the whole text and
 over the best window of 1, 3 and 10 words; a logistic regression on these
 length-normalised ratios gives the score.
 
-Counting is distributed: words per class over all labelled rows, then n-grams of
-the distinct words.  Counts are kept in tables of a fixed number of places,
-2^18 for each kind and order, so that the model that is sent to all tasks has a fixed
-size.  The regression is fitted on at most `FIT_ROWS` labelled rows of each
-class, scored by models that have not seen them (two folds).
+1. Words per class are counted over all labelled rows, then the n-grams of the
+   distinct words.  Counts are a table keyed by the 64-bit hash of the n-gram and
+   grow with the corpus; nothing is cut to a fixed number of places.
+2. Joins of the n-grams with their contexts and their shorter n-grams, order by
+   order, give two kinds of entries: the log ratio of each n-gram that was seen,
+   and the log ratio of the back-off weights of each context.  An n-gram has at
+   most as many partners in such a join as there are characters.
+3. A document's words need the entries of their n-grams.  If the measured size of
+   all entries is at most `MODEL_BYTES`, they are sent to all tasks; if it is
+   larger, the entries that a batch of documents needs are joined to the batch.
+   Both ways give the same scores.
+4. The regression is fitted on at most `FIT_ROWS` labelled rows of each class,
+   each scored by class counts of the half of the labelled rows that lacks it (the
+   shared counts know no labels and are those of all).
 
 Scores depend on the text alone; null and empty texts score as texts without any
-evidence.  A table without labels of both classes scores 0 throughout.
+evidence.  Rows that repeat are scored each, also those with a null id.  Very
+long texts are read in parts of words.  A table without labels of both classes
+scores 0 throughout.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +45,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lightshelf.llm.common import maybe_among, plain_strings, slices, stored
+from lightshelf.llm.common import fresh, maybe_among, plain_strings, quoted, slices, stored
 
 ORDERS = 5
 #: Orders up to this one are continuation counts of both classes together.
 SHARED = 2
 #: Distinct words whose n-grams are gathered at once.
 TOGETHER = 250_000
-BITS = 18
+#: Largest measured size of the entries that are sent to all tasks.
+MODEL_BYTES = 64 << 20
 DISCOUNT = 0.75
 #: Longer words are read in parts of this many characters.
 LONGEST = 40
 FIT_ROWS = 4000
 WINDOWS = (1, 3, 10)
 SPLIT = r"[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: The same white space for a text that is cut before it is split.
+_SPACE = re.compile("[\t\n\f\r \x85\xa0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -76,10 +93,6 @@ def _hashes(points: np.ndarray, within: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _place(h: np.ndarray) -> np.ndarray:
-    return ((h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
 def _within(lengths: np.ndarray) -> np.ndarray:
     """Place of each character in its word."""
     return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -104,9 +117,9 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "side").mapInArrow(run, "word string, n0 bigint, n1 bigint, n2 bigint, n3 bigint").groupBy("word").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)])
 
 
-COUNT, CONTEXT, FOLLOWERS, EXTENSIONS, MIDDLES = range(5)
-SUMS4 = "n0 bigint, n1 bigint, n2 bigint, n3 bigint"
 NS = ["n0", "n1", "n2", "n3"]
+#: Sides (2 * toxic + fold) that the toxic and the ordinary model count: of all rows, and without the rows of a fold.
+MODELS = {"full": ((2, 3), (0, 1)), "without0": ((3,), (1,)), "without1": ((2,), (0,))}
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray]]:
@@ -121,14 +134,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np
         yield names, np.concatenate(counts)
 
 
-def gram_tables(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by what, order, side and place for the n-grams of all words, and those shared; every table has a fixed size.
-
-    What: the n-gram's count, its context's count and the distinct followers of
-    the context (orders above SHARED, for each side); the distinct left
-    extensions of an n-gram and their sum over the n-grams with its context
-    (orders up to SHARED, under side 0).
-    """
+def gram_counts(words: DataFrame) -> DataFrame:
+    """k, gram, context, shorter, middle (hashes) and the counts `n0`..`n3` of all n-grams of 2 to ORDERS characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, n in _gathered(batches):
@@ -144,97 +151,235 @@ def gram_tables(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 middle = hashes[k - 3][at - 1] if k > 2 else np.zeros(len(at), np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (h, context, shorter, middle)), *map(pa.array, total)], ["k", "gram", "context", "shorter", "middle", *NS])
 
-    key = ["k", "gram", "context", "shorter", "middle"]
-    grams = words.mapInArrow(run, f"k int, gram bigint, context bigint, shorter bigint, middle bigint, {SUMS4}")
-    types = grams.groupBy(*key).agg(*[F.sum(c).alias(c) for c in NS])
+    grams = words.mapInArrow(run, "k int, gram bigint, context bigint, shorter bigint, middle bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint")
+    return grams.groupBy("k", "gram", "context", "shorter", "middle").agg(*[F.sum(c).alias(c) for c in NS])
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.column("k").to_numpy().astype(np.int64)
-            n = np.stack([batch.column(c).to_numpy() for c in NS], axis=1)
-            own, context, shorter, middle = (_place(batch.column(c).to_numpy().view(np.uint64)) for c in ("gram", "context", "shorter", "middle"))
-            once = np.zeros_like(n)
-            once[:, 0] = 1
-            for what, place, value, order, rows in (
-                (COUNT, own, n, k, k > SHARED), (CONTEXT, context, n, k, k > SHARED), (FOLLOWERS, context, (n > 0).astype(np.int64), k, k > SHARED),
-                (FOLLOWERS, context, once, k, k <= SHARED), (EXTENSIONS, shorter, once, k - 1, k - 1 <= SHARED), (MIDDLES, middle, once, k - 1, (k - 1 <= SHARED) & (k > 2)),
-            ):
-                u, back = np.unique((np.int64(what) << 40 | order << 32 | place)[rows], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), *(pa.array(np.bincount(back, value[rows, i], len(u)).astype(np.int64)) for i in range(4))], ["key", *NS])
-
-    # at most 3 tables of 2^18 places for each order, whatever the corpus
-    rows = types.mapInArrow(places, f"key bigint, {SUMS4}").groupBy("key").agg(*[F.sum(c).cast("float").alias(c) for c in NS]).toPandas()
-    own = np.zeros((3, ORDERS - SHARED, 4, 1 << BITS), np.float32)
-    shared = np.zeros((3, SHARED, 1 << BITS), np.float32)  # followers, extensions, middles
-    at = rows.key.to_numpy()
-    what, order, place = at >> 40, at >> 32 & 255, at & (1 << 32) - 1
-    high = order > SHARED
-    for i, c in enumerate(NS):
-        own[what[high], order[high] - SHARED - 1, i, place[high]] = rows[c].to_numpy()[high]
-    shared[what[~high] - FOLLOWERS, order[~high] - 1, place[~high]] = rows["n0"].to_numpy()[~high]
-    return own, shared
-
-
-def model_of(tables: tuple[np.ndarray, np.ndarray], toxic: list[int], ordinary: list[int]) -> dict:
-    """Counts of two classes, each the sum of the sides named, over the shared lower orders."""
-    own, (followers, extensions, middles) = tables
-    lowest = extensions[0]
-    return {
-        "own": np.stack([own[:, :, sides].sum(axis=2) for sides in (toxic, ordinary)], axis=1), "unigram": (lowest + 0.5) / (lowest.sum() + 0.5 * 4096),
-        "shared": {k: (extensions[k - 1], middles[k - 1], followers[k - 1]) for k in range(2, SHARED + 1)},
-    }
-
-
-def word_ratios(words: list[str], model: dict) -> np.ndarray:
-    """Log-likelihood of each word under the toxic model less that under the ordinary one."""
-    if not words:
-        return np.zeros(0)
+
+def shared_chances(grams: DataFrame) -> DataFrame:
+    """gram and its chance `p` for all n-grams of two characters, by continuation counts of both classes together."""
+    two, three = grams.where("k = 2"), grams.where("k = 3")
+    single = two.groupBy(F.col("shorter").alias("c")).agg(F.count("*").alias("ends"))
+    total = single.agg(F.coalesce(F.sum("ends"), F.lit(0)).alias("total"))
+    lowest = two.join(single, two.shorter == single.c, "left").crossJoin(F.broadcast(total))  # of one row
+    lowest = lowest.select("gram", "context", ((F.coalesce("ends", F.lit(0)) + 0.5) / (F.col("total") + 0.5 * 4096)).alias("p"))
+    before = three.groupBy(F.col("shorter").alias("gram")).agg(F.count("*").alias("n"))
+    around = three.groupBy(F.col("middle").alias("context")).agg(F.count("*").alias("all"))
+    kinds = two.groupBy("context").agg(F.count("*").alias("kinds"))
+    held = lowest.join(before, "gram", "left").join(around, "context", "left").join(kinds, "context")
+    smoothed = F.greatest(F.coalesce("n", F.lit(0)) - DISCOUNT, F.lit(0.0)) / F.col("all") + F.least(DISCOUNT * F.col("kinds") / F.col("all"), F.lit(1.0)) * F.col("p")
+    return held.select("gram", F.coalesce(smoothed, "p").alias("p"))
+
+
+def entries(grams: DataFrame) -> DataFrame:
+    """kind, key and for each of MODELS a value.
+
+    Kind 0: n-grams that were seen, with the log of their chance as toxic over
+    that as ordinary.  Kind 1: contexts, with the log of their back-off weights'
+    ratio, to be added to the shorter n-gram's value where an n-gram was not seen.
+    """
+    sides = [(f"{m}_{c}", of) for m, both in MODELS.items() for c, of in zip("to", both)]
+    lower = shared_chances(grams).select("gram", *[F.col("p").alias(f"p_{s}") for s, _ in sides])
+    out = []
+    for k in range(SHARED + 1, ORDERS + 1):
+        own = grams.where(F.col("k") == k).select("gram", "context", "shorter", *[sum((F.col(f"n{i}") for i in of[1:]), F.col(f"n{of[0]}")).alias(f"n_{s}") for s, of in sides])
+        contexts = own.groupBy("context").agg(*[F.sum(f"n_{s}").alias(f"all_{s}") for s, _ in sides], *[F.sum((F.col(f"n_{s}") > 0).cast("int")).alias(f"kinds_{s}") for s, _ in sides])
+        # a context that a class never had hands on the shorter n-gram's chance whole
+        weights = contexts.select("context", *[F.col(f"all_{s}") for s, _ in sides], *[F.when(F.col(f"all_{s}") > 0, F.least(DISCOUNT * F.col(f"kinds_{s}") / F.col(f"all_{s}"), F.lit(1.0))).otherwise(1.0).alias(f"w_{s}") for s, _ in sides])
+        weights = stored(weights)
+        joined = own.join(weights, "context").join(lower.withColumnRenamed("gram", "shorter"), "shorter")
+        chance = {s: F.when(F.col(f"all_{s}") > 0, F.greatest(F.col(f"n_{s}") - DISCOUNT, F.lit(0.0)) / F.col(f"all_{s}")).otherwise(0.0) + F.col(f"w_{s}") * F.col(f"p_{s}") for s, _ in sides}
+        lower = stored(joined.select("gram", *[x.alias(f"p_{s}") for s, x in chance.items()]))
+        for kind, df, key, of in ((0, lower, "gram", "p"), (1, weights, "context", "w")):
+            out.append(df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), *[F.log(F.greatest(F.col(f"{of}_{m}_t"), F.lit(1e-30)) / F.greatest(F.col(f"{of}_{m}_o"), F.lit(1e-30))).cast("float").alias(m) for m in MODELS]))
+    every = functools.reduce(DataFrame.unionByName, out)
+    return every.where(F.col("kind").eqNullSafe(0) | functools.reduce(Column.__or__, [F.col(m) != 0 for m in MODELS]))
+
+
+# --- entries to texts -------------------------------------------------------
+
+
+def needed(words: list[str]) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+    """The parts of all words: lengths, place in the part, hashes of each order, and the word that a part is of."""
     parts = [(i, w[k : k + LONGEST]) for i, w in enumerate(words) for k in range(0, max(1, len(w)), LONGEST)]
     points, lengths = _points([p for _, p in parts])
     within = _within(lengths)
-    hashes = [_place(h) for h in _hashes(points, within)]
-    p = np.repeat(model["unigram"][hashes[0]][None].astype(np.float64), 2, axis=0)
-    for k in range(2, ORDERS + 1):
+    return lengths, within, _hashes(points, within), np.array([i for i, _ in parts], np.int64)
+
+
+def needed_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and contexts of the words."""
+    _, within, hashes, _ = needed(words)
+    oks = [(k, np.flatnonzero(within >= k - 1)) for k in range(SHARED + 1, ORDERS + 1)]
+    return np.unique(np.concatenate([hashes[k - 1][ok] for k, ok in oks])), np.unique(np.concatenate([hashes[k - 2][ok - 1] for k, ok in oks]))
+
+
+class Entries:
+    """Entries as two sorted arrays of keys with a row of values for each key."""
+
+    def __init__(self, kinds: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
+        self.n = values.shape[1]
+        self.held = []
+        for kind in (0, 1):
+            rows = np.flatnonzero(kinds == kind)
+            mine = keys[rows].view(np.uint64)
+            order = np.argsort(mine)
+            self.held.append((mine[order], values[rows[order]]))
+
+    def find(self, kind: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is there, and its values (0 where it is not)."""
+        keys, values = self.held[kind]
+        if not len(keys):
+            return np.zeros(len(wanted), bool), np.zeros((len(wanted), self.n), np.float32)
+        code, distinct = pd.factorize(wanted)
+        at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+        there = keys[at] == distinct
+        return there[code], np.where(there[:, None], values[at], 0)[code]
+
+
+def word_ratios(words: list[str], known: Entries) -> np.ndarray:
+    """Log-likelihood of each word under the toxic model less that under the ordinary one, a column for each model."""
+    if not words:
+        return np.zeros((0, known.n))
+    lengths, within, hashes, word = needed(words)
+    ratio = np.zeros((len(within), known.n), np.float64)
+    for k in range(SHARED + 1, ORDERS + 1):
         ok = np.flatnonzero(within >= k - 1)
-        own, context = hashes[k - 1][ok], hashes[k - 2][ok - 1]
-        for c in range(2):
-            if k <= SHARED:
-                count, total, kinds = (t[x] for t, x in zip(model["shared"][k], (own, context, context)))
-            else:
-                count, total, kinds = (model["own"][what, c, k - SHARED - 1, x] for what, x in ((COUNT, own), (CONTEXT, context), (FOLLOWERS, context)))
-            seen = total > 0
-            safe = np.where(seen, total, 1).astype(np.float64)
-            lower = p[c, ok]
-            got = np.maximum(count - DISCOUNT, 0) / safe + np.minimum(DISCOUNT * kinds / safe, 1) * lower
-            p[c, ok] = np.where(seen, got, lower)
-    ratio = np.log(np.maximum(p[0], 1e-30)) - np.log(np.maximum(p[1], 1e-30))
-    ratio[within == 0] = 0
+        seen, value = known.find(0, hashes[k - 1][ok])
+        ratio[ok[seen]] = value[seen]
+        rest = ok[~seen]
+        ratio[rest] += known.find(1, hashes[k - 2][rest - 1])[1]
     by_part = np.add.reduceat(ratio, np.cumsum(lengths) - lengths)
-    return np.bincount([i for i, _ in parts], by_part, len(words))
+    return np.column_stack([np.bincount(word, by_part[:, i], len(words)) for i in range(known.n)])
 
 
-def features(texts: pa.Array, model: dict) -> np.ndarray:
-    """Length-normalised ratios of each text: the whole, and the best windows; all 0 for texts without words."""
+#: Longer texts are read in parts of about this many characters.
+PART = 1 << 21
+
+
+def _parts(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > PART:
+        cut = next((m.start() for m in _SPACE.finditer(text, at + PART)), len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def text_ratios(texts: pa.Array, known: Entries) -> list[np.ndarray]:
+    """For each text the ratios of its words, a column for each model."""
     codes, offsets, names = words_of(texts)
-    ratio = np.where([bool(w) for w in names], word_ratios(names, model), 0.0) if names else np.zeros(0)
+    ratio = word_ratios(names, known)
     real = np.array([bool(w) for w in names], bool)
-    out = np.zeros((len(texts), 1 + len(WINDOWS)))
-    for d, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         c = codes[a:b]
-        x = ratio[c[real[c]]] if b > a else ratio[:0]
+        out.append(ratio[c[real[c]]] if b > a else ratio[:0])
+    return out
+
+
+def features(texts: pa.Array, known: Entries) -> np.ndarray:
+    """Length-normalised ratios of each text: the whole, and the best windows; all 0 for texts without words.
+
+    Shape: texts, models, 1 + windows.
+    """
+    out = np.zeros((len(texts), known.n, 1 + len(WINDOWS)))
+    long = pc.greater(pc.utf8_length(texts), PART).to_numpy(zero_copy_only=False) if len(texts) else np.zeros(0, bool)
+    held = text_ratios(pc.if_else(pa.array(long), "", texts) if long.any() else texts, known)
+    for d in np.flatnonzero(long).tolist():
+        held[d] = np.concatenate([text_ratios(pa.array([part], pa.large_string()), known)[0] for part in _parts(texts[d].as_py())])
+    for d, x in enumerate(held):
         if not len(x):
             continue
-        total = np.concatenate([[0.0], np.cumsum(x)])
-        out[d, 0] = total[-1] / len(x)
+        total = np.concatenate([np.zeros((1, known.n)), np.cumsum(x, axis=0)])
+        out[d, :, 0] = total[-1] / len(x)
         for j, w in enumerate(WINDOWS):
             m = min(w, len(x))
-            out[d, 1 + j] = (total[m:] - total[:-m]).max() / m
+            out[d, :, 1 + j] = (total[m:] - total[:-m]).max(axis=0) / m
     return out
 
 
+def _small(table: DataFrame, models: list[str], most_bytes: int) -> Entries | None:
+    """The entries, if their measured size is at most `most_bytes`."""
+    if table.count() * (9 + 4 * len(models)) > most_bytes:
+        return None
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = (batch.column("kind").to_numpy().astype(np.int8), batch.column("key").to_numpy(), np.stack([batch.column(m).to_numpy() for m in models], axis=1).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], ["kind", "key", "value"])
+
+    rows = table.select("kind", "key", *models).mapInArrow(pack, "kind binary, key binary, value binary").toArrow()
+    kind, key, value = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("kind", np.int8), ("key", np.int64), ("value", np.float32)))
+    return Entries(kind, key, value.reshape(-1, len(models)))
+
+
+def _schema(df: DataFrame, columns: list[str]) -> str:
+    kinds = dict(df.dtypes)
+    return "".join(f"{quoted(c)} {kinds[c]}, " for c in columns)
+
+
+def feature_names(model: str, keep: list[str]) -> list[str]:
+    """Names of the feature columns of a model, none of which is in `keep`."""
+    return [f"{fresh('_' + model, keep)}{j}" for j in range(1 + len(WINDOWS))]
+
+
+def with_features(docs: DataFrame, table: DataFrame, models: list[str], text: str, keep: list[str], most_bytes: int) -> DataFrame:
+    """The columns `keep` of `docs` and, for each model, the columns that :func:`feature_names` gives."""
+    names = [c for m in models for c in feature_names(m, keep)]
+    schema = _schema(docs, keep) + ", ".join(f"{c} double" for c in names)
+    asked = text if text in keep else fresh("_text", keep)
+    read = docs.select(*[F.col(quoted(c)) for c in keep], *([] if text in keep else [F.col(quoted(text)).alias(asked)]))
+
+    def rated(batch: pa.RecordBatch, known: Entries) -> pa.RecordBatch:
+        f = features(plain_strings(batch.column(asked)), known).reshape(batch.num_rows, -1)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(np.ascontiguousarray(f[:, i])) for i in range(f.shape[1]))], [*keep, *names])
+
+    small = _small(table, models, most_bytes)
+    if small is not None:
+        held = docs.sparkSession.sparkContext.broadcast(small)  # of a measured size
+        del small
+        return read.mapInArrow(lambda batches: (rated(b, held.value) for b in slices(batches, asked, 6 << 20)), schema)
+
+    # too large to send everywhere: each batch of documents gets the entries that it needs
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, asked, 6 << 20):
+            whole = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.columns], schema=batch.schema)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema) as stream:
+                stream.write_batch(whole)
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "block"])
+
+    def opened(block: bytes) -> pa.RecordBatch:
+        return next(iter(pa.ipc.open_stream(block)))
+
+    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, block in zip(batch.column("batch").to_pylist(), batch.column("block").to_pylist()):
+                texts = plain_strings(opened(block).column(asked))
+                for kind, keys in enumerate(needed_keys(words_of(texts)[2] or [""])):
+                    n = len(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * n), pa.array(np.full(n, kind, np.int32)), pa.array(keys.view(np.int64))], ["batch", "kind", "key"])
+
+    def answered(rows: pd.DataFrame) -> pd.DataFrame:
+        there = rows.block.notna()
+        got = rows[~there]
+        known = Entries(got.kind.to_numpy(np.int64), got.key.to_numpy(np.int64), got[models].to_numpy(np.float32).reshape(-1, len(models)))
+        out = [rated(opened(b), known) for b in rows.block[there]]
+        return pa.Table.from_batches(out).to_pandas(types_mapper=pd.ArrowDtype)
+
+    packed = stored(read.mapInArrow(blocks, "batch string, block binary"))
+    replies = packed.mapInArrow(requests, "batch string, kind int, key bigint").join(table.select("kind", "key", *models), ["kind", "key"]).select("batch", "kind", "key", *models, F.lit(None).cast("binary").alias("block"))
+    heads = packed.select("batch", F.lit(-1).alias("kind"), F.lit(0).cast("bigint").alias("key"), *[F.lit(None).cast("float").alias(m) for m in models], "block")
+    return replies.unionByName(heads).groupBy("batch").applyInPandas(answered, schema)
+
+
+#: Factors of the features in the regression; there, ratios are bounded so that a single odd word cannot rule.
+FACTORS = (10.0, *(math.sqrt(w) for w in WINDOWS))
+BOUND = 15.0
+
+
 def squashed(f: np.ndarray) -> np.ndarray:
-    """Features for the regression: ratios bounded so that a single odd word cannot rule."""
-    return np.clip(np.column_stack([f[:, 0] * 10, *(f[:, 1 + j] * math.sqrt(w) for j, w in enumerate(WINDOWS))]), -15, 15)
+    return np.clip(f * FACTORS, -BOUND, BOUND)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 50) -> dict:
@@ -253,16 +398,20 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 50) ->
     return {"w": w, "mean": mean, "width": width}
 
 
-def probability(f: np.ndarray, fit: dict) -> np.ndarray:
-    z = np.clip((squashed(f) - fit["mean"]) / fit["width"] @ fit["w"][1:] + fit["w"][0], -35, 35)
-    return 1 / (1 + np.exp(-z))
+def probability(columns: list[Column], fit: dict) -> Column:
+    """The regression's score of a text with these features."""
+    z = F.lit(float(fit["w"][0]))
+    for x, factor, mean, width, w in zip(columns, FACTORS, fit["mean"], fit["width"], fit["w"][1:]):
+        bounded = F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), x * float(factor)))
+        z = z + (bounded - float(mean)) / float(width) * float(w)
+    return F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, most_bytes: int = MODEL_BYTES) -> dict | None:
     """Model of the labelled documents (doc_id joined to labels.toxic) for which `learnable` holds."""
     learnable = ~held_out() if learnable is None else learnable
     marks = labels.where(learnable & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -275,22 +424,14 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None) ->
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, min(1.0, (FIT_ROWS / 2 * 1.1 + 50) / n))]), F.col("side"))
     unit = F.xxhash64("doc_id", F.lit(31)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
-    tables = gram_tables(word_counts(rows))
-    half = [model_of(tables, [2 + f], [f]) for f in (1, 0)]  # each without the fold that it scores
-    full = model_of(tables, [2, 3], [0, 1])
-    held = docs.sparkSession.sparkContext.broadcast(half)  # of fixed size
-    del tables, half  # tens of megabytes that the driver need not keep
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            side = batch.column("side").to_numpy()
-            texts = plain_strings(batch.column("text"))
-            both = [features(texts, m) for m in held.value]
-            f = np.where((side % 2 == 0)[:, None], both[0], both[1])
-            yield pa.RecordBatch.from_arrays([pa.array((side // 2).astype(np.int32)), batch.column("u"), *(pa.array(f[:, i]) for i in range(f.shape[1]))], ["toxic", "u", *(f"f{i}" for i in range(f.shape[1]))])
-
-    columns = [f"f{i}" for i in range(1 + len(WINDOWS))]
-    sample = rows.withColumn("u", unit).where(F.col("u") < share).select("text", "side", "u").mapInArrow(scored, "toxic int, u double, " + ", ".join(f"{c} double" for c in columns)).toPandas()
+    table = stored(entries(stored(gram_counts(word_counts(rows)))))
+    models = ["without0", "without1"]
+    near = rows.withColumn("u", unit).where(F.col("u") < share)
+    sample = with_features(near, table, models, "text", ["side", "u"], most_bytes).toPandas()  # of bounded size
+    columns = [f"f{j}" for j in range(1 + len(WINDOWS))]
+    for c, a, b in zip(columns, *(feature_names(m, ["side", "u"]) for m in models)):
+        sample[c] = np.where(sample.side % 2 == 0, sample[a], sample[b])
+    sample["toxic"] = sample.side // 2
     sample = sample.sort_values(["toxic", "u", *columns]).groupby("toxic").head(FIT_ROWS)
     # both classes were sampled by themselves: shift the intercept back to their share of all rows
     x, y = squashed(sample[columns].to_numpy()), sample.toxic.to_numpy().astype(float)
@@ -300,28 +441,22 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None) ->
     n1 = sizes.get(2, 0) + sizes.get(3, 0)
     n0 = sizes.get(0, 0) + sizes.get(1, 0)
     got["w"][0] += math.log(n1 / n0) - math.log(y.sum() / (len(y) - y.sum()))
-    return {"model": full, "fit": got}
-
-
-def score(docs: DataFrame, model: dict | None, threshold: float = 0.7, text: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """`docs` with the score and the decision, as the columns named in `out` (which they replace)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    return {"table": table, "fit": got, "most_bytes": most_bytes}
 
-    @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        if held.value is None:
-            return pd.Series(np.zeros(len(texts)))
-        parts = []
-        for a in range(0, len(texts), 2000):
-            column = plain_strings(pa.array(texts.iloc[a : a + 2000], pa.large_string(), from_pandas=True))
-            parts.append(probability(features(column, held.value["model"]), held.value["fit"]))
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    rest = docs.drop(*out)
-    return rest.withColumn(out[0], rate(F.col(text))).withColumn(out[1], (F.col(out[0]) >= threshold).cast("int"))
+def score(docs: DataFrame, model: dict | None, threshold: float = 0.7, text: str = "text", out: tuple[str, str] = ("score", "predicted"), keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all, if not given) with the score and the decision, as the columns named in `out` (which they replace)."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in out]
+    kept = [F.col(quoted(c)) for c in keep]
+    if model is None:
+        rated = docs.select(*kept, F.lit(0.0).alias(out[0]))
+    else:
+        found = with_features(docs, model["table"], ["full"], text, keep, model["most_bytes"])
+        rated = found.select(*kept, probability([F.col(c) for c in feature_names("full", keep)], model["fit"]).alias(out[0]))
+    return rated.withColumn(out[1], (F.col(quoted(out[0])) >= threshold).cast("int"))
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     model = fit(docs, labels)
-    return score(docs.select("doc_id", held_out().alias("held_out"), "text"), model, threshold).drop("text")
+    return score(docs.select("doc_id", held_out().alias("held_out"), "text"), model, threshold, keep=["doc_id", "held_out"])

@@ -341,6 +341,67 @@ def test_toxicity_odd_texts(spark):
     assert toxicity.rate_documents(docs.where("false"), labels).count() == 0
 
 
+def kneser_ney_ratio(word, toxic, ordinary, everything):
+    """Log ratio of a word under two models, by counting strings in lists of words."""
+    counts = [defaultdict(int), defaultdict(int)]
+    for c, words in zip(counts, (toxic, ordinary)):
+        for w in words:
+            m = f"\x02{w}\x03"
+            for k in range(2, 6):
+                for i in range(len(m) - k + 1):
+                    c[m[i : i + k]] += 1
+    kinds = {f"\x02{w}\x03"[i : i + k] for w in everything for k in (2, 3) for i in range(len(w) + 3 - k)}
+    two, three = [g for g in kinds if len(g) == 2], [g for g in kinds if len(g) == 3]
+
+    def shared(g):
+        ends = sum(t[1] == g[1] for t in two)
+        low = (ends + 0.5) / (len(two) + 0.5 * 4096)
+        total = sum(t[1] == g[0] for t in three)
+        if not total:
+            return low
+        return max(sum(t[1:] == g for t in three) - 0.75, 0) / total + min(0.75 * sum(t[0] == g[0] for t in two) / total, 1) * low
+
+    def chance(g, c):
+        if len(g) == 2:
+            return shared(g)
+        after = {t: n for t, n in c.items() if len(t) == len(g) and t[:-1] == g[:-1]}
+        total = sum(after.values())
+        if not total:
+            return chance(g[1:], c)
+        return max(after.get(g, 0) - 0.75, 0) / total + min(0.75 * len(after) / total, 1) * chance(g[1:], c)
+
+    m = f"\x02{word}\x03"
+    return sum(np.log(chance(m[max(0, i - 4) : i + 1], counts[0]) / chance(m[max(0, i - 4) : i + 1], counts[1])) for i in range(1, len(m)))
+
+
+def test_entries_against_counted_strings(spark):
+    rng = random.Random(8)
+    sides = [["".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(40)] for _ in range(4)]
+    rows = spark.createDataFrame([(" ".join(w), i) for i, w in enumerate(sides)], "text string, side int")
+    table = toxicity.entries(toxicity.gram_counts(toxicity.word_counts(rows)))
+    known = toxicity._small(table, list(toxicity.MODELS), 1 << 30)
+    words = sides[0][:5] + sides[3][:5] + ["zebra", "abcabcabc", "a"]
+    got = toxicity.word_ratios(words, known)
+    for w, row in zip(words, got):
+        assert row == pytest.approx([kneser_ney_ratio(w, t, o, sum(sides, [])) for t, o in ((sides[2] + sides[3], sides[0] + sides[1]), (sides[3], sides[1]), (sides[2], sides[0]))], abs=1e-4)
+
+
+def test_toxicity_ways_and_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART", 500)
+    texts = [None, "", "vilestink you", "vilestink you", "a nice friend " * 200, "x" * 700 + " vilestink"]
+    train = documents(spark, ["you are a nice person and a friend"] * 20 + ["you are a vilestink person"] * 20)
+    model = toxicity.fit(train, train.select("doc_id", (F.col("doc_id") >= 20).cast("int").alias("toxic")))
+    docs = documents(spark, texts).withColumn("_full0", F.lit("clash")).withColumn("score", F.lit("clash")).withColumn("doc_id", F.when(F.col("doc_id") != 2, F.col("doc_id")))
+    few = toxicity.score(docs, model).toPandas()
+    many = toxicity.score(docs, model | {"most_bytes": 0}).toPandas()
+    assert few.columns.tolist() == many.columns.tolist() == [c for c in docs.columns if c != "score"] + ["score", "predicted"]
+    assert sorted(few.score) == sorted(many.score) and len(few) == len(texts) and (few["_full0"] == "clash").all()
+    by = dict(zip(few.text, few.score))
+    assert by["vilestink you"] > by[texts[4]]
+    monkeypatch.setattr(toxicity, "PART", 1 << 21)
+    assert sorted(toxicity.score(docs, model).toPandas().score) == sorted(few.score)
+
+
 # --- 8 ---
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
