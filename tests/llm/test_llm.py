@@ -412,9 +412,48 @@ four.<br><p>Five <aside>side note</aside> six.</p><form>Mail <input></form><p>Se
 def test_main_text():
     assert html_pages.main_text(PAGE) == "Head&line One two three four. Five six. Seven."
     for marked in html_pages.LABELLED:
-        before, rest = marked.split("[[")
-        main, after = rest.split("]]")
-        assert html_pages.main_text(before + main + after) == " ".join(re.sub(r"<[^>]+>", lambda m: "" if re.match(r"</?(b|i|a)>", m[0]) else " ", main).split())
+        main = " ".join(re.findall(r"\[\[(.*?)\]\]", marked))
+        assert html_pages.main_text(re.sub(r"\[\[|\]\]", "", marked)) == " ".join(re.sub(r"<[^>]+>", lambda m: "" if re.match(r"</?(b|i|a)>", m[0]) else " ", main).split())
+
+
+STORY = "<h1>The old mill</h1><p>It stood by the river for many years.</p><p>Now it is gone.</p>"
+STORY_TEXT = "The old mill It stood by the river for many years. Now it is gone."
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div style="overflow:hidden">{}</div>', '<div data-id="share">{}</div>', '<div class="content has-sidebar">{}</div>', '<article class="no-ads">{}</article>', "<div>{}</div>", "<main>{}</main>", "{}",
+        '<div class="page share"><article>{}</article></div>', "<table><tr><td><article>{}</article></td></tr></table>", "<div class=ad><article>{}</article>", '<body class="menu"><nav><a>One</a></nav><div>{}</div>',
+    ],
+)
+def test_main_text_whatever_holds_it(around):
+    page = f'<nav><ul><li><a>Start</a><li><a>More</a></ul></nav>{around.format(STORY)}<div class="comments"><p>I remember it well and miss it.</p></div><div hidden><p>not shown at all</p></div><footer><p>A small paper</p></footer>'
+    assert html_pages.main_text(page) == STORY_TEXT
+
+
+def test_weights_decide():
+    flat = dict.fromkeys(html_pages.WEIGHTS, 0.0) | {"word": 1.0}
+    assert "Menu" in html_pages.main_text(PAGE, flat) and "Nice one!" in html_pages.main_text(PAGE, flat)
+    assert html_pages.main_text(PAGE, html_pages.WEIGHTS | {"word": -100.0}) == ""
+    assert html_pages.main_text(PAGE, html_pages.WEIGHTS | {"flow": -40.0}) != html_pages.main_text(PAGE)
+
+
+def test_region_against_all_runs_of_pages():
+    rng = random.Random(4)
+    parts = ["<p>", "</p>", "<div>", "</div>", "<nav>", "</nav>", "<a>", "</a>", "one two", "three", "<aside>", "</aside>", "<div class='ad'>", "<article>", "</article>", "<script>x</script>"]
+    for _ in range(300):
+        scores, each = html_pages.token_scores(html_pages.Page("".join(rng.choice(parts) + " " for _ in range(rng.randint(0, 25)))), html_pages.WEIGHTS)
+        a, b = html_pages.best_run(scores)
+        most = max([sum(scores[i : j + 1]) for i in range(len(scores)) for j in range(i, len(scores))] + [0])
+        assert sum(scores[a : b + 1]) == pytest.approx(most) and all(x >= 0 for x in each)
+
+
+def test_deep_and_broken_pages():
+    deep = "<div>" * 30_000 + STORY + "</div>" * 30_000
+    assert html_pages.main_text(deep) == STORY_TEXT
+    assert html_pages.main_text("<p " * 20_000) == "<p " * 19_999 + "<p" and html_pages.main_text("<p>x</p><script>y > z") == html_pages.main_text("<p>x</p><!-- y > z") == "x"
+    assert html_pages.main_text("< p > a < b & c &lt; d") == "< p > a < b & c < d"
 
 
 def test_best_run_against_all_runs():
