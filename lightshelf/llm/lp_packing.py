@@ -5,22 +5,24 @@
    written once.
 2. Their length histogram, of at most `capacity` entries whatever the corpus,
    goes to the driver.  There the configuration program - fewest sequences so
-   that every length is covered - is solved by multiplicative weights: lengths
-   not yet covered gain weight, knapsack dynamic programming prices the best
-   fillings, and the average of the fillings is the fractional solution.
+   that every length is covered - is solved by multiplicative weights, whatever
+   the number of pieces: lengths lose weight as they are covered, and knapsack
+   dynamic programming prices the best fillings.
 3. It is rounded down to whole copies; what is left goes through the same
-   again, and the last few lengths are filled largest first, each with the
+   again, and the last lengths are filled largest first, each with the
    fullest completion that a subset-sum over the remaining lengths finds.
 4. Each piece's rank among those of its length picks its sequence and place.
    Ranks are counted within hash buckets and shifted by the buckets before, so
    that a length that a third of all pieces have is no single task's load.
 
 Defined results: null and empty texts are documents of one token (the end id);
-each input row is one document; rows that repeat are packed each.
+each input row is one document; rows that repeat are packed each, and so are
+rows with a null id.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -68,60 +70,87 @@ def token_pieces(docs: DataFrame, path: str, ranks: str | None, capacity: int, e
 
 #: Rounds of weights in one pass, fillings taken from one pricing, and the weights' step.
 ROUNDS, FILLINGS, STEP = 60, 96, 0.5
+#: Power of a size by which a piece is worth more at first.
+LARGE = 0.1
+#: Passes over what is left, and the share of it that a pass must use to be followed by another.
+PASSES, LEAST_USE = 12, 0.1
 
 
-def _knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value for each capacity when sizes may be used again, and the last size taken (-1: none). Sizes ascend."""
+def _knapsack(sizes: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Best value for each capacity when each size may be used `most` times.
+
+    Also the items (size number, copies) that the sizes were split into, and
+    for each capacity which items were taken when they were tried.
+    """
     best = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1, np.int64)
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(int(sizes[0]), capacity + 1):
-        k = fits[c]
-        got = best[c - sizes[:k]] + values[:k]
-        i = int(got.argmax())
-        if got[i] > best[c - 1]:
-            best[c], taken[c] = got[i], i
-        else:
-            best[c], taken[c] = best[c - 1], -2  # as with one less
-    return best, taken
-
-
-def _trace(sizes: np.ndarray, taken: np.ndarray, c: int) -> list[int]:
-    out = []
-    while c > 0:
-        i = taken[c]
-        if i == -1:
+    items: list[tuple[int, int]] = []
+    # large sizes first: of fillings that are worth the same, those with large ones stay
+    for i in np.flatnonzero((values > 0) & (most > 0))[::-1].tolist():
+        rest, copies = int(most[i]), 1
+        while rest > 0:
+            items.append((i, min(copies, rest)))
+            rest -= copies
+            copies *= 2
+    taken = np.zeros((len(items), capacity + 1), bool)
+    for row, (i, copies) in zip(taken, items):
+        size = int(sizes[i]) * copies
+        got = best[: capacity + 1 - size] + values[i] * copies
+        np.greater(got, best[size:] + 1e-15, out=row[size:])
+        np.maximum(best[size:], got, out=best[size:])
+    return best, items, np.ascontiguousarray(taken.T)
+
+
+def _trace(sizes: np.ndarray, items: list[tuple[int, int]], taken: np.ndarray, c: int) -> list[int]:
+    """Size numbers of the best filling of capacity `c`."""
+    out, end = [], len(items)
+    while end:
+        there = np.flatnonzero(taken[c, :end])
+        if not len(there):
             break
-        if i == -2:
-            c -= 1
-            continue
-        out.append(int(i))
-        c -= int(sizes[i])
+        end = int(there[-1])
+        i, copies = items[end]
+        out += [i] * copies
+        c -= int(sizes[i]) * copies
     return out
 
 
-def weighted_fillings(left: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
-    """Fractional solution of the covering program by multiplicative weights: fillings (sizes, descending) with counts."""
+def weighted_fillings(left: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], float], float]:
+    """Solution of the covering program by multiplicative weights: fillings (sizes, descending) with counts of at least 1.
+
+    Also the largest lower bound on the program's optimum that the prices gave:
+    no filling is worth more than the best one, so that all pieces' worth, over
+    the best filling's, is a bound.
+    """
     sizes = np.flatnonzero(left)
     need = left[sizes].astype(float)
     total = float((sizes * need).sum()) / capacity
-    per = total / (ROUNDS * FILLINGS)
-    weight, covered = np.ones(len(sizes)), np.zeros(len(sizes))
+    # as many fillings as sequences are needed, up to a bound; so each is used once at least
+    rounds = max(1, min(ROUNDS, math.ceil(total)))
+    some = max(1, min(FILLINGS, math.ceil(total / rounds)))
+    per = max(1.0, total / (rounds * some))
+    # large pieces are harder to place: they are worth more by size from the start
+    first = (sizes / capacity) ** LARGE
+    weight, covered = first, np.zeros(len(sizes))
     found: dict[tuple[int, ...], float] = {}
-    for _ in range(ROUNDS):
-        # a piece is worth its share of a sequence, more where its length lags behind
-        values = weight * sizes / capacity
-        best, taken = _knapsack(sizes, values, capacity)
-        worth = values + best[capacity - sizes] - 1e-9 * np.arange(len(sizes))
+    bound = total  # by prices that are the sizes
+    for _ in range(rounds):
+        # a piece is worth its share of a sequence, less the more of its length is covered
         behind = covered < need
-        for i in np.lexsort((-worth, ~behind))[:FILLINGS].tolist():
-            items = [i, *_trace(sizes, taken, capacity - int(sizes[i]))]
-            key = tuple(sorted((int(sizes[j]) for j in items), reverse=True))
+        values = np.where(behind, weight * sizes / capacity, 0.0)
+        most = np.minimum(need, capacity // sizes).astype(np.int64)
+        best, items, taken = _knapsack(sizes, values, most, capacity)
+        if best[capacity] <= 0:
+            break
+        bound = max(bound, float((values * need).sum()) / best[capacity])
+        worth = np.round(values + best[capacity - sizes], 9)
+        for i in np.lexsort((-sizes, -worth, ~behind))[:some].tolist():
+            chosen = [i, *_trace(sizes, items, taken, capacity - int(sizes[i]))]
+            key = tuple(sorted((int(sizes[j]) for j in chosen), reverse=True))
             found[key] = found.get(key, 0.0) + per
-            for j in items:
+            for j in chosen:
                 covered[j] += per
-        weight = np.exp(-STEP * covered / need * min(1.0, ROUNDS / 10))
-    return found
+        weight = first * np.exp(-STEP * covered / need * min(1.0, ROUNDS / 10))
+    return found, bound
 
 
 def fill_up(left: np.ndarray, free: int) -> list[int]:
@@ -145,29 +174,36 @@ def fill_up(left: np.ndarray, free: int) -> list[int]:
     return out
 
 
-def fillings(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings with whole numbers of copies that use every length exactly as often as the histogram (by length) has it."""
-    left = histogram.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    for _ in range(12):
+def taken_from_program(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Whole copies of the program's fillings, full ones first, as far as `left` has their lengths; takes them from `left`."""
+    out = []
+    for _ in range(PASSES):
         before = int(left.sum())
-        if before < 20 * max(1, np.count_nonzero(left)):
+        if not before:
             break
-        found = weighted_fillings(left, capacity)
+        found, _ = weighted_fillings(left, capacity)
         for key, x in sorted(found.items(), key=lambda kx: (-sum(kx[0]), -kx[1], kx[0])):
             if sum(key) * 200 < capacity * 199:
-                continue  # fillings with room left wait for the last step
+                break  # fillings with room left wait for the last step
             used = {size: key.count(size) for size in set(key)}
-            copies = min(int(x), *(int(left[s]) // k for s, k in used.items()))
+            copies = min(int(x + 1e-9), *(int(left[s]) // k for s, k in used.items()))
             if copies > 0:
                 out.append((key, copies))
                 for s, k in used.items():
                     left[s] -= copies * k
-        if int(left.sum()) > 0.9 * before:
+        if int(left.sum()) > (1 - LEAST_USE) * before:
             break
+    return out
+
+
+def fillings(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings with whole numbers of copies that use every length exactly as often as the histogram (by length) has it."""
+    left = histogram.astype(np.int64).copy()
+    out: list[tuple[tuple[int, ...], int]] = []
+    if left[capacity]:
+        out.append(((capacity,), int(left[capacity])))
+        left[capacity] = 0
+    out += taken_from_program(left, capacity)
     while left.any():
         largest = int(np.flatnonzero(left)[-1])
         left[largest] -= 1

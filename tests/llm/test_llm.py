@@ -253,6 +253,53 @@ def test_fillings_use_the_histogram(n):
     assert sum(c for _, c in found) <= -(-int((h * np.arange(201)).sum()) // 200) * 1.01 + 2
 
 
+def test_program_packs_few_documents():
+    docs = pd.read_parquet(f"{SF}/documents.parquet").text
+    ids, offsets = tokens.encode_texts(pa.array(docs, pa.large_string()), JSON, RANKS)
+    size = np.diff(offsets) + 1
+    h = np.bincount((size - 1) % 2048 + 1, minlength=2049)
+    h[2048] += ((size - 1) // 2048).sum()
+    assert h.sum() < 300
+    left = h.copy()
+    left[2048] = 0
+    _, bound = lp_packing.weighted_fillings(left, 2048)
+    before = int(left.sum())
+    lp_packing.taken_from_program(left, 2048)
+    assert before - left.sum() > before * 2 / 3  # the program gives the fillings of most pieces
+    assert sum(c for _, c in lp_packing.fillings(h, 2048)) <= np.ceil(bound) + h[2048] + 1
+
+
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying every set that the largest piece can be in."""
+    if not sizes:
+        return 0
+    first, rest = sizes[0], sizes[1:]
+    best = len(sizes)
+    for mask in range(1 << len(rest)):
+        inside = [x for k, x in enumerate(rest) if mask >> k & 1]
+        if first + sum(inside) <= capacity:
+            best = min(best, 1 + fewest([x for k, x in enumerate(rest) if not mask >> k & 1], capacity))
+    return best
+
+
+def test_program_against_all_packings():
+    rng = np.random.default_rng(12)
+    for _ in range(25):
+        sizes = sorted(rng.integers(1, 12, rng.integers(1, 8)).tolist(), reverse=True)
+        h = np.bincount(sizes, minlength=13)
+        least = fewest(sizes, 12)
+        left = h.copy()
+        left[12] = 0
+        assert (lp_packing.weighted_fillings(left, 12)[1] if left.any() else 0) + h[12] <= least + 1e-9
+        assert least <= sum(c for _, c in lp_packing.fillings(h, 12)) <= least + 1
+
+
+def test_packing_null_ids_and_columns(spark):
+    docs = documents(spark, ["a b c", None, "a b c"]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("length", F.lit("clash")).withColumn("_rank", F.lit("clash"))
+    out = lp_packing.pack(docs, JSON, RANKS, capacity=8).toPandas()
+    assert len(out) == 3 and out.doc_id.isna().all() and sorted(out.length) == [1, 4, 4] and out.sequence_id.nunique() == 2
+
+
 def test_best_fit_decreasing_against_a_list():
     rng = np.random.default_rng(2)
     for _ in range(60):
