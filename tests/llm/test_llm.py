@@ -220,10 +220,21 @@ def test_token_counts(spark):
     assert out.n_tokens.tolist() == [len(x) for x in want] and out.n_bytes.tolist() == [len((t or "").encode()) for t in texts]
     assert out.over_limit.tolist() == [len(x) > 512 for x in want]
     assert token_counts.count_tokens(docs.where("false"), JSON).count() == 0
+    once = [w for b in token_counts.requests(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b a", "b c"], "part": [0, 0]})]), 3) for row in b.column("words").to_pylist() for w in row]
+    assert sorted(once) == [" a", " b", " c", "a", "b"]
     nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
     assert token_counts.count_tokens(nulls, JSON).where("doc_id is null").count() == len(texts)
 
 
+def test_token_counts_of_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "BUCKET_BYTES", 100)
+    texts = random_texts(200) + ["the same words again"] * 50
+    docs = documents(spark, texts).withColumn("batch", F.lit("clash")).repartition(6)
+    docs = common.stored(docs)
+    out = token_counts.count_tokens(docs, JSON).toPandas().sort_values("doc_id")
+    assert out.n_tokens.tolist() == [len(x) for x in library_ids(texts)]
+
+
 def test_packing(spark):
     texts = ODD + random_texts(400)
     docs = documents(spark, texts).unionByName(documents(spark, texts).where("doc_id = 5"))
