@@ -7,6 +7,21 @@ from pyspark.sql import functions as F
 
 from lightshelf.llm.common import stored
 
+#: Rows (of two ids) up to which the smaller side of a join is sent to all tasks, and the parts that a label is cut into beyond.
+FEW, PARTS = 200_000, 16
+
+
+def _relabelled(labels: DataFrame, changes: DataFrame, n: int) -> DataFrame:
+    """`labels` with the column `new` of `changes` (n rows of `old`, `new`) where the label is `old`.
+
+    Most nodes may have one label: its join is no single task's.
+    """
+    if n <= FEW:
+        return labels.join(F.broadcast(changes), labels.label == changes.old, "left")  # of a measured size
+    salted = labels.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
+    spread = changes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return salted.join(spread, (salted.label == spread.old) & (salted.part == spread.part), "left").drop("part")
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """`node` and `component` (smallest node reachable) of all nodes of edges `a`-`b`; nodes without edges are not listed.
@@ -25,11 +40,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         seen = links.join(la, "a").join(lb, "b").where("la <> lb").select("la", "lb")
         # where two labels meet, the larger one and its nodes take the smaller
-        hooks = stored(seen.select(F.greatest("la", "lb").alias("root"), F.least("la", "lb").alias("low")).groupBy("root").agg(F.min("low").alias("low")))
-        if hooks.isEmpty():
+        hooks = stored(seen.select(F.greatest("la", "lb").alias("old"), F.least("la", "lb").alias("new")).groupBy("old").agg(F.min("new").alias("new")))
+        n = hooks.count()
+        if not n:
             return labels.withColumnRenamed("label", "component")
-        hooked = labels.join(hooks, labels.label == hooks.root, "left").select("node", F.least(F.coalesce("low", "label"), "label").alias("label"))
-        held = stored(hooked)
-        up = held.select(F.col("node").alias("root"), F.col("label").alias("up")).where("root <> up")
-        labels = stored(held.join(up, held.label == up.root, "left").select("node", F.coalesce("up", "label").alias("label")))
+        held = stored(_relabelled(labels, hooks, n).select("node", F.least(F.coalesce("new", "label"), "label").alias("label")))
+        up = held.where("node <> label").select(F.col("node").alias("old"), F.col("label").alias("new"))
+        # only nodes that are labels can be jumped over
+        up = stored(up.join(held.select(F.col("label").alias("old")).distinct(), "old", "left_semi"))
+        labels = stored(_relabelled(held, up, up.count()).select("node", F.coalesce("new", "label").alias("label")))
     raise RuntimeError("components: labels still change; raise most_rounds")

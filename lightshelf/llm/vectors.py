@@ -1,13 +1,15 @@
 """Embedding near-duplicates: int8 tile products with error bounds, full precision where it may matter.
 
 1. Rows with the same bytes form one class; each class is one vector with a
-   weight.  Vectors that are null, zero or hold null or non-finite parts are set
+   weight, the number of its distinct ids.  Vectors that are null, zero or hold null or non-finite parts are set
    aside and link with nothing.
 2. Classes are dealt to groups of a bounded size by a hash, and each group
    is packed into one row, in the precision of the input.
-3. Each pair of groups meets in one task, which makes unit vectors in double
-   precision, int8 codes and a bound on each vector's quantisation error, and
-   goes through the pair in tiles.  For unit vectors x = q + e
+3. Groups form strips of up to `SIDE` groups, and each pair of strips meets in
+   one task, so that a group is sent once for each strip and not for each group.
+   There, pairs of groups are made into unit vectors in double precision, int8
+   codes and a bound on each vector's quantisation error, one after the other,
+   and gone through in tiles.  For unit vectors x = q + e
    with code vectors q, |x.y - q.y'| <= |e_x| + |e_y| + |e_x||e_y| as |x| = |y| = 1
    (the codes' product differs by q_x.e_y + e_x.q_y + e_x.e_y, and |q| <= 1 + |e|).
    Only pairs whose bound reaches the threshold are computed again in double
@@ -19,7 +21,15 @@
 5. Components follow from these edges by label propagation.
 
 The number of tile products grows with the square of the distinct vectors: the
-method compares all pairs; nothing is dropped by hashing.
+method compares all pairs; nothing is dropped by hashing.  What is shuffled is
+the distinct vectors times the number of strips.
+
+Defined results: rows that cannot be compared (null or empty vectors, zero ones,
+null or non-finite parts) have no links and are their own component; so do
+vectors of another length than their partners.  A row that is given twice
+under one id is one vector and no link of its own; different vectors under one
+id are different vectors.  Rows with a null id link with nothing: 0 links, a
+null component, not kept.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +51,8 @@ from lightshelf.llm.components import components
 TILE = 1024
 #: Numbers in the vectors of a group (16 MB in double precision), and the least number of groups, for parallelism.
 GROUP_NUMBERS, LEAST_GROUPS = 1 << 21, 6
+#: Groups in a strip at most: a task holds two strips as they came, 8 MB a group in single precision.
+SIDE = 8
 #: Room for rounding in double precision when the codes' bound is compared.
 SLACK = 1e-9
 
@@ -80,10 +92,7 @@ def linked_pairs(a: dict, b: dict, threshold: float, same: bool) -> tuple[np.nda
         i, j = i[i < j], j[i < j]
     if not len(i):
         return i, j
-    if len(i) * 20 > bound.size:
-        exact = (a["units"] @ b["units"].T)[i, j]
-    else:
-        exact = np.concatenate([(a["units"][i[k : k + 65536]] * b["units"][j[k : k + 65536]]).sum(axis=1) for k in range(0, len(i), 65536)])
+    exact = np.concatenate([(a["units"][i[k : k + 65536]] * b["units"][j[k : k + 65536]]).sum(axis=1) for k in range(0, len(i), 65536)])
     keep = exact >= threshold
     return i[keep], j[keep]
 
@@ -124,8 +133,8 @@ NO_EDGES = pd.DataFrame({"id": [], "low": [], "links": []}).astype(np.int64)
 
 
 def _packed(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("id")
-    return pd.DataFrame({"grp": [int(rows.grp.iloc[0])], "dims": int(rows.dims.iloc[0]), "n": len(rows), "wide": bool(rows.wide.iloc[0]), "ids": [rows.id.to_numpy(np.int64).tobytes()], "weights": [rows.weight.to_numpy(np.int64).tobytes()], "raw": [b"".join(rows.raw)]})
+    rows = rows.sort_values("class")
+    return pd.DataFrame({"grp": [int(rows.grp.iloc[0])], "dims": int(rows.dims.iloc[0]), "n": len(rows), "wide": bool(rows.wide.iloc[0]), "ids": [rows["class"].to_numpy(np.int64).tobytes()], "weights": [rows.weight.to_numpy(np.int64).tobytes()], "raw": [b"".join(rows.raw)]})
 
 
 def tile_links(a: dict, b: dict | None, threshold: float) -> pd.DataFrame:
@@ -155,12 +164,7 @@ def tile_links(a: dict, b: dict | None, threshold: float) -> pd.DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
-    """One row per input row: id, n_links, component_id and kept.
-
-    Rows that cannot be compared (null, zero, null or non-finite parts) have no
-    links and are their own component; so do rows of another length than their
-    partners.  An empty table gives an empty result; ids should be unique.
-    """
+    """One row per input row: id, n_links, component_id and kept."""
     spark = vectors.sparkSession
     wide = "double" in dict(vectors.dtypes)[vector_col]
     width = 8 if wide else 4
@@ -180,25 +184,42 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "raw"])
 
     rows = stored(vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).mapInArrow(raw, "id bigint, raw binary"))
-    classes = stored(rows.where("raw is not null").groupBy("raw").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
+    there = rows.where("raw is not null and id is not null")
+    classes = stored(there.groupBy("raw").agg(F.min("id").alias("id"), F.countDistinct("id").alias("weight")))
+    # a vector's class is named by its bytes: ids may repeat
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()))
     bytes_ = classes.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
     n_groups = max(LEAST_GROUPS, -(-bytes_ // width // GROUP_NUMBERS))
-    grouped = classes.select("id", "weight", "raw", F.lit(wide).alias("wide"), (F.octet_length("raw") / width).cast("int").alias("dims"), F.pmod(F.xxhash64("id"), F.lit(n_groups)).cast("int").alias("grp"))
+    side = max(1, min(SIDE, n_groups // 3))
+    n_strips = -(-n_groups // side)
+    grouped = classes.select("class", "id", "weight", "raw", F.lit(wide).alias("wide"), (F.octet_length("raw") / width).cast("int").alias("dims"), F.pmod(F.xxhash64("class"), F.lit(n_groups)).cast("int").alias("grp"))
     packed = stored(grouped.groupBy("dims", "grp").applyInPandas(_packed, PACKED))
-    # each group is sent once to every pair of groups that it is part of
-    sent = packed.withColumn("partner", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).withColumn("low", F.least("grp", "partner")).withColumn("high", F.greatest("grp", "partner"))
-
-    def compare(key: tuple, pair: pd.DataFrame) -> pd.DataFrame:
-        held = [_unpacked(r) for r in pair.sort_values("grp").to_dict("records")]
-        if key[1] == key[2]:
-            return tile_links(held[0], None, threshold)
-        return tile_links(held[0], held[1], threshold) if len(held) == 2 else NO_EDGES
-
-    n_tasks = min(n_groups * (n_groups + 1) // 2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # each group is sent once for every strip
+    strip = (F.col("grp") / side).cast("int")
+    sent = packed.withColumn("partner", F.explode(F.sequence(F.lit(0), F.lit(n_strips - 1)))).withColumn("low", F.least(strip, "partner")).withColumn("high", F.greatest(strip, "partner"))
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = key[1], key[2]
+        held = rows.sort_values("grp").to_dict("records")
+        out = [NO_EDGES]
+        for x, first in enumerate(held):
+            if first["grp"] // side != low:
+                continue
+            a = _unpacked(first)
+            for second in held[x:]:
+                if second is first and low == high:
+                    out.append(tile_links(a, None, threshold))
+                elif second is not first and second["grp"] // side == high:
+                    out.append(tile_links(a, _unpacked(second), threshold))
+        return pd.concat(out).groupby(["id", "low"], as_index=False).links.sum().astype(np.int64)
+
+    n_tasks = min(n_strips * (n_strips + 1) // 2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     edges = stored(sent.repartition(n_tasks, "dims", "low", "high").groupBy("dims", "low", "high").applyInPandas(compare, EDGES))
     linked = edges.groupBy("id").agg(F.sum("links").alias("links"))
     found = components(edges.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
-    by_class = classes.join(linked, "id", "left").join(found.withColumnRenamed("node", "id"), "id", "left").select("raw", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    joined = rows.where("raw is not null").join(by_class, "raw").select("id", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.col("component").alias("component_id"))
-    alone = rows.where("raw is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
-    return joined.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    named = classes.join(linked.withColumnRenamed("id", "class"), "class", "left").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    lowest = named.groupBy("component").agg(F.min("id").alias("lowest"))
+    by_class = named.join(lowest, "component").select("raw", "weight", F.coalesce("links", F.lit(0)).alias("links"), "lowest")
+    joined = there.join(by_class, "raw").select("id", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.col("lowest").alias("component_id"))
+    alone = rows.where("raw is null or id is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
+    return joined.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

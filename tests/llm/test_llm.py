@@ -185,6 +185,18 @@ def test_filters_never_drop_similar_sets():
         assert ngram_join.possible(cx, cy, 80)[0] or not links
 
 
+def test_components_with_parted_labels(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW", 0)
+    rng = random.Random(6)
+    pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(100, i) for i in range(101, 140)]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert all(root[n] == c for n, c in got.items()) and set(got) == {x for a, b in pairs if a != b for x in (a, b)}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(99, 98)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
@@ -363,6 +375,28 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vectors_without_ids_or_with_repeated_ones(spark):
+    near, far = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    rows = [(1, near), (None, near), (4, near), (4, near), (7, [1.0, 0.0, 0.11]), (9, far), (9, [0.0, 0.0, 1.0]), (2, far + [0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("clash")).withColumn("raw", F.lit(0)).withColumn("class", F.lit(0))
+    out = sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect())
+    assert out == sorted([(1, 2, 1, True), (-1, 0, None, False), (4, 2, 1, False), (4, 2, 1, False), (7, 2, 1, False), (9, 0, 9, True), (9, 0, 9, True), (2, 0, 2, True)])
+
+
+@pytest.mark.parametrize("numbers", [64, 256])
+def test_strips_against_all_pairs(spark, monkeypatch, numbers):
+    monkeypatch.setattr(vectors, "GROUP_NUMBERS", numbers)
+    rng = np.random.default_rng(14)
+    base = rng.normal(size=(30, 8))
+    x = np.concatenate([base + rng.normal(size=(30, 8)) * 0.15 for _ in range(8)]).astype(np.float32)
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = vectors.near_duplicates(df).toPandas().sort_values("vec_id")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    close = u @ u.T >= 0.95
+    np.fill_diagonal(close, False)
+    assert out.n_links.tolist() == close.sum(1).tolist() and out.component_id.tolist() == vectors._roots(len(x), *np.nonzero(close)).tolist()
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(6)
     u = rng.normal(size=(300, 33))
