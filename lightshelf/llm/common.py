@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -14,6 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library, which has no such call
+    _LIBC = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,6 +50,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def schema_of(df: DataFrame, columns: list[str]) -> str:
+    """Columns of `df` with their types, as a schema in words, with a comma behind each."""
+    kinds = dict(df.dtypes)
+    return "".join(f"{quoted(c)} {kinds[c]}, " for c in columns)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """`name`, with marks before it until no column in `taken` begins so."""
     while any(c.lower().startswith(name.lower()) for c in taken):
@@ -50,7 +63,14 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16 << 20, most_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Hands memory that is no longer used back to the system: idle workers keep it otherwise, beside those at work."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20, most_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that each holds about `most_bytes` of `column`, at least a row and at most `most_rows`."""
     for batch in batches:
         n = batch.num_rows
@@ -61,6 +81,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], n]):
             yield batch.slice(a, b - a)
+            give_back()
 
 
 def plain_strings(column: pa.Array) -> pa.Array:

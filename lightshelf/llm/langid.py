@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lightshelf.llm.common import LETTER, slices
+from lightshelf.llm.common import LETTER, fresh, give_back, quoted, schema_of, slices
 
 BITS = 16
 SIZES = (1, 2, 3, 4)
@@ -47,13 +47,28 @@ def _codes() -> np.ndarray:
 CODES = _codes()
 
 
-def ngram_places(text: str) -> np.ndarray:
-    """Hashed places of all n-grams of one text, in order of size and position."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    low = np.where(points < 1 << 16, CODES[np.minimum(points, (1 << 16) - 1)], points).astype(np.uint32)
-    keep = np.ones(len(low), bool)
-    keep[1:] = (low[1:] != 32) | (low[:-1] != 32)
-    low = np.concatenate([[32], low[keep], [32]]).astype(np.uint32)
+#: N-grams of long texts are counted for this many places at a time.
+WINDOW = 1 << 20
+
+
+def plain_letters(text: str) -> np.ndarray:
+    """Code points in lower case, runs of other characters than letters as one space, a space at both ends."""
+    parts = [np.array([32], np.uint32)]
+    for a in range(0, len(text), WINDOW):
+        points = np.frombuffer(text[a : a + WINDOW].encode("utf-32-le", "replace"), np.uint32)
+        low = np.where(points < 1 << 16, CODES[np.minimum(points, (1 << 16) - 1)], points).astype(np.uint32)
+        keep = np.ones(len(low), bool)
+        keep[1:] = (low[1:] != 32) | (low[:-1] != 32)
+        # a run of spaces may reach over the cut
+        keep[0] = low[0] != 32 or not a or parts[-1][-1] != 32
+        if keep.any():
+            parts.append(low[keep])
+    parts.append(np.array([32], np.uint32))
+    return np.concatenate(parts)
+
+
+def ngram_places(low: np.ndarray) -> np.ndarray:
+    """Hashed places of all n-grams of plain letters, in order of size and position."""
     parts, rolled = [], np.zeros(len(low), np.uint32)
     for n in SIZES:
         m = len(low) - n + 1
@@ -66,7 +81,21 @@ def ngram_places(text: str) -> np.ndarray:
 
 
 def term_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.bincount(ngram_places(text), minlength=1 << BITS)
+    """Places of the text's n-grams and how often each is there."""
+    low = plain_letters(text)
+    if len(low) <= WINDOW:
+        counts = np.bincount(ngram_places(low), minlength=1 << BITS)
+    else:
+        counts = np.zeros(1 << BITS, np.int64)
+        for a in range(0, len(low), WINDOW):
+            counts += np.bincount(ngram_places(low[a : a + WINDOW]), minlength=1 << BITS)
+            # n-grams that begin before the next cut and end behind it
+            for n in SIZES[1:]:
+                edge = low[max(0, a + WINDOW - n + 1) : a + WINDOW + n - 1] if a + WINDOW < len(low) else low[:0]
+                if len(edge) >= n:
+                    own = ngram_places(edge)
+                    before = sum(len(edge) - k + 1 for k in SIZES if k < n)
+                    counts += np.bincount(own[before : before + len(edge) - n + 1], minlength=1 << BITS)
     places = np.flatnonzero(counts)
     return places, counts[places]
 
@@ -85,7 +114,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for text in batch.column("text").to_pylist():
                 if has_letter(text):
                     seen[:] = False
-                    seen[ngram_places(text)] = True
+                    seen[term_counts(text)[0]] = True
                     total += seen
                     n += 1
         places = np.flatnonzero(total)
@@ -196,7 +225,10 @@ def fit(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lan
         return None
     sample["aside"] = np.arange(len(sample)) % 5 == 4
     idf = np.log((1 + n) / (1 + counts)) + 1
-    return train(sample.reset_index(drop=True), idf)
+    model = train(sample.reset_index(drop=True), idf)
+    del sample, near, labelled, rows
+    give_back()
+    return model
 
 
 def predict_one(text: str | None, model: dict | None) -> tuple[str, float]:
@@ -208,16 +240,19 @@ def predict_one(text: str | None, model: dict | None) -> tuple[str, float]:
     return model["classes"][i], float(p[i])
 
 
-def predict(docs: DataFrame, model: dict | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """`docs` with the predicted language and its score, as the columns named in `out` (which they replace)."""
+def predict(docs: DataFrame, model: dict | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all, if not given) with the predicted language and its score, as the columns named in `out` (which they replace)."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2^16 places times languages
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in out]
+    asked = text if text in keep else fresh("_text", keep)
+    read = docs.select(*[F.col(quoted(c)) for c in keep], *([] if text in keep else [F.col(quoted(text)).alias(asked)]))
 
-    @F.pandas_udf("struct<lang:string,score:double>")
-    def guess(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([predict_one(t, held.value) for t in texts], columns=["lang", "score"])
+    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, asked):
+            got = [predict_one(x.as_py(), held.value) for x in batch.column(asked)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, *out])
 
-    rest = docs.drop(*out)
-    return rest.withColumn("_guess", guess(F.col(text))).select(*[rest[c] for c in rest.columns], F.col("_guess.lang").alias(out[0]), F.col("_guess.score").alias(out[1]))
+    return read.mapInArrow(guess, f"{schema_of(docs, keep)}{quoted(out[0])} string, {quoted(out[1])} double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -227,4 +262,4 @@ def held_out(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     model = fit(docs, ~held_out())
-    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model, keep=["doc_id", "held_out"])

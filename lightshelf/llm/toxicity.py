@@ -45,13 +45,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lightshelf.llm.common import fresh, maybe_among, plain_strings, quoted, slices, stored
+from lightshelf.llm.common import fresh, maybe_among, plain_strings, quoted, schema_of, slices, stored
 
 ORDERS = 5
 #: Orders up to this one are continuation counts of both classes together.
 SHARED = 2
 #: Distinct words whose n-grams are gathered at once.
-TOGETHER = 250_000
+TOGETHER = 80_000
 #: Largest measured size of the entries that are sent to all tasks.
 MODEL_BYTES = 64 << 20
 DISCOUNT = 0.75
@@ -313,11 +313,6 @@ def _small(table: DataFrame, models: list[str], most_bytes: int) -> Entries | No
     return Entries(kind, key, value.reshape(-1, len(models)))
 
 
-def _schema(df: DataFrame, columns: list[str]) -> str:
-    kinds = dict(df.dtypes)
-    return "".join(f"{quoted(c)} {kinds[c]}, " for c in columns)
-
-
 def feature_names(model: str, keep: list[str]) -> list[str]:
     """Names of the feature columns of a model, none of which is in `keep`."""
     return [f"{fresh('_' + model, keep)}{j}" for j in range(1 + len(WINDOWS))]
@@ -326,7 +321,7 @@ def feature_names(model: str, keep: list[str]) -> list[str]:
 def with_features(docs: DataFrame, table: DataFrame, models: list[str], text: str, keep: list[str], most_bytes: int) -> DataFrame:
     """The columns `keep` of `docs` and, for each model, the columns that :func:`feature_names` gives."""
     names = [c for m in models for c in feature_names(m, keep)]
-    schema = _schema(docs, keep) + ", ".join(f"{c} double" for c in names)
+    schema = schema_of(docs, keep) + ", ".join(f"{c} double" for c in names)
     asked = text if text in keep else fresh("_text", keep)
     read = docs.select(*[F.col(quoted(c)) for c in keep], *([] if text in keep else [F.col(quoted(text)).alias(asked)]))
 
@@ -338,11 +333,11 @@ def with_features(docs: DataFrame, table: DataFrame, models: list[str], text: st
     if small is not None:
         held = docs.sparkSession.sparkContext.broadcast(small)  # of a measured size
         del small
-        return read.mapInArrow(lambda batches: (rated(b, held.value) for b in slices(batches, asked, 6 << 20)), schema)
+        return read.mapInArrow(lambda batches: (rated(b, held.value) for b in slices(batches, asked, 3 << 20)), schema)
 
     # too large to send everywhere: each batch of documents gets the entries that it needs
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, asked, 6 << 20):
+        for batch in slices(batches, asked, 3 << 20):
             whole = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.columns], schema=batch.schema)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, whole.schema) as stream:

@@ -89,6 +89,40 @@ def test_language_odd_texts(spark):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_terms_of_long_texts(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab É1. \u4e2d") for _ in range(n)) for n in (1, 6, 7, 8, 13, 14, 15, 50, 200)]
+    whole = [langid.term_counts(t) for t in texts]
+    low = langid.plain_letters(texts[-1])
+    assert (low[0], low[-1]) == (32, 32) and not ((low[1:-1][1:] == 32) & (low[1:-1][:-1] == 32)).any()
+    for window in (7, 9, 64):
+        monkeypatch.setattr(langid, "WINDOW", window)
+        for t, (places, counts) in zip(texts, whole):
+            got = langid.term_counts(t)
+            assert got[0].tolist() == places.tolist() and got[1].tolist() == counts.tolist()
+
+
+def test_predictions_against_plain_sums():
+    """Places, counts, weights and softmax of a small model, with dictionaries."""
+    rng = np.random.default_rng(2)
+    model = {"classes": ["a", "b", "c"], "weights": rng.normal(size=(1 << langid.BITS, 3)).astype(np.float32), "idf": rng.uniform(1, 3, 1 << langid.BITS).astype(np.float32)}
+    for text in ("Das ist ein Haus.", "x", "été 12 été", "a" * 300):
+        letters = " " + re.sub(r"[^a-zé]+", " ", text.lower()) + " "
+        terms = defaultdict(int)
+        for n in (1, 2, 3, 4):
+            for i in range(len(letters) - n + 1):
+                h = 0
+                for c in letters[i : i + n]:
+                    h = (h * 0x9E3779B1 + ord(c)) % 2**32
+                terms[((h ^ h >> 15) * (0x85EBCA6B + 2 * n) % 2**32) >> 16] += 1
+        x = {k: (1 + np.log(v)) * float(model["idf"][k]) for k, v in terms.items()}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        z = sum(v / norm * model["weights"][k].astype(float) for k, v in x.items())
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        lang, score = langid.predict_one(text, model)
+        assert lang == "abc"[p.argmax()] and score == pytest.approx(p.max(), abs=1e-5)
+
+
 def test_regularisation_gives_zero_weights():
     model = langid.FollowTheLeader(2, l1=5.0)
     model.learn(np.array([1, 2]), np.array([0.7, 0.7]), 0)
