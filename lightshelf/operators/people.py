@@ -135,5 +135,6 @@ def merged_groups(faces: DataFrame, merges: DataFrame) -> DataFrame:
 
 def restored(faces: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Faces with the person and source that an earlier snapshot (face_id, person_id, match_source) held for them."""
-    old = snapshot.select("face_id", F.col("person_id").alias("_p"), F.col("match_source").alias("_s"))
+    one = snapshot.groupBy("face_id").agg(F.max(F.struct("person_id", "match_source")).alias("_o"))  # a face that is there twice stays one
+    old = one.select("face_id", F.col("_o.person_id").alias("_p"), F.col("_o.match_source").alias("_s"))
     return faces.join(old, "face_id", "left").withColumn("person_id", F.coalesce("person_id", "_p")).withColumn("match_source", F.coalesce("match_source", "_s")).drop("_p", "_s")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 import numpy as np
 import pandas as pd
@@ -81,11 +82,19 @@ def radius_pairs(df: DataFrame, radius: float, vector: str = "embedding", id_col
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Sets the checkpoint folder if there is none."""
+    """Sets the checkpoint folder if there is none: that of spark.checkpoint.dir, or, on a single machine alone, a folder of its own."""
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lightshelf-"))
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; without it a temporary one in local mode, and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="lightshelf-")
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

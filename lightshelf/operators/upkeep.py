@@ -86,9 +86,14 @@ def stuck(rows: DataFrame, value: str, attempts: str = "attempts") -> DataFrame:
 # --- tables as values ------------------------------------------------------
 
 
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key: that with the largest values, column by column."""
+    return latest_per_key(df, keys, [F.col(c).desc_nulls_last() for c in df.columns if c not in keys] or [F.lit(0)])
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The table after new rows replace those of equal keys."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    """The table after new rows replace those of equal keys; of new rows with equal keys one counts."""
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(one_per_key(new, keys))
 
 
 def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,8 +102,8 @@ def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The table after new values that are not NULL replace old ones, column by column."""
-    n = new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in new.columns if c not in keys])
+    """The table after new values that are not NULL replace old ones, column by column; of new rows with equal keys one counts."""
+    n = one_per_key(new, keys).select(*keys, *[F.col(c).alias(f"_n_{c}") for c in new.columns if c not in keys])
     joined = old.join(n, keys, "full_outer")
     return joined.select(*keys, *[F.coalesce(f"_n_{c}", c).alias(c) if f"_n_{c}" in joined.columns else F.col(c) for c in old.columns if c not in keys])
 
@@ -143,7 +148,7 @@ def tags_added(old, new, replace: bool = False) -> Column:
 
 def located(photos: DataFrame, writes: DataFrame, overwrite: bool = False) -> DataFrame:
     """Coordinates written to photos that have none, or to all if asked: writes have (id, lat, lon)."""
-    w = writes.select("id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    w = one_per_key(writes.select("id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), ["id"])
     take = F.col("_lat").isNotNull() & (F.lit(overwrite) | F.col("gps_lat").isNull())
     out = photos.join(w, "id", "left").withColumn("_take", take)
     return out.withColumn("gps_lat", F.when(F.col("_take"), F.col("_lat")).otherwise(F.col("gps_lat"))).withColumn("gps_lon", F.when(F.col("_take"), F.col("_lon")).otherwise(F.col("gps_lon"))).withColumn("location_source", F.when(F.col("_take"), "written")).drop("_lat", "_lon", "_take")
@@ -159,11 +164,15 @@ def duplicate_plan(groups: DataFrame) -> DataFrame:
     return groups.withColumn("rn", F.row_number().over(w)).withColumn("n", size).where("n > 1").select("component", "id", (F.col("rn") == 1).alias("keep"), "n")
 
 
-def canonical_paths(photos: DataFrame, key: str = "file_hash", folder: str = r"^/lib/\d{4}/\d{4}-\d{2}-\d{2}") -> DataFrame:
-    """Of files with equal hashes the one to keep: in a dated folder, no copy marker, the shortest path."""
-    dated = F.col("filepath").rlike(folder)
-    copy = F.col("filename").rlike(r"(?i)(\(\d+\)|[ _-]copy(?:[ _-]?\d+)?)\.[a-z0-9]+$")
-    w = Window.partitionBy(key).orderBy(F.desc(dated.cast("int")), copy.cast("int"), F.length("filepath"), F.length("filename"), "id")
+# A file in the folder of a day below that of its year, and the number that marks a copy of a file.
+DAY_FOLDER = r"(?:^|/)(\d{4})/\1-\d{2}-\d{2}[^/]*/[^/]+$"
+COPY_MARK = r"(?:\(\d+\)|-\d{3,})\.[^.]+$"
+
+
+def canonical_paths(photos: DataFrame, key: str = "file_hash") -> DataFrame:
+    """Of files with equal hashes the one to keep: in a day's folder, no copy mark, the shortest name, then the shortest path."""
+    dated, copy = F.col("filepath").rlike(DAY_FOLDER), F.col("filename").rlike(COPY_MARK)
+    w = Window.partitionBy(key).orderBy(F.desc(dated.cast("int")), copy.cast("int"), F.length("filename"), "filename", F.length("filepath"), "filepath", "id")
     n = F.count("*").over(Window.partitionBy(key))
     return photos.where(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("rn", F.row_number().over(w)).withColumn("n", n).where("n > 1").select(key, "id", "filepath", (F.col("rn") == 1).alias("keep"))
 

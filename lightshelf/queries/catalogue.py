@@ -271,7 +271,7 @@ def a34(spark, sf):
     return fingerprint(photos(spark, sf))
 
 
-@add("a36_nested_rows", P + "SELECT user_id, array_to_string(list(concat(CAST(id AS VARCHAR), ':', coalesce(CAST(stack_id AS VARCHAR), '-')) ORDER BY id), ';') AS members FROM photos WHERE user_id < 5 GROUP BY 1")
+@add("a36_nested_rows", P + "SELECT user_id, array_to_string(list(concat(CAST(id AS VARCHAR), ':', coalesce(CAST(stack_id AS VARCHAR), '-')) ORDER BY id), ';') AS members FROM photos GROUP BY 1")
 def a36(spark, sf):
     pair = F.struct("id", F.concat(F.col("id").cast("string"), F.lit(":"), F.coalesce(F.col("stack_id").cast("string"), F.lit("-"))).alias("s"))
     return photos(spark, sf).groupBy("user_id").agg(F.concat_ws(";", F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["s"])).alias("members"))

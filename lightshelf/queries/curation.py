@@ -155,7 +155,7 @@ def m16(spark, sf):
     return photos(spark, sf).where("score is not null and place_name is not null and file_hash is not null").select("id")
 
 
-@add("m18_review_selection", P + "SELECT p.user_id, p.id, coalesce(l.quality = 1, FALSE) AS selected FROM photos p LEFT JOIN labels l ON l.doc_id = p.id WHERE p.user_id IN (SELECT user_id FROM photos WHERE id < 50)")
+@add("m18_review_selection", P + "SELECT p.user_id, p.id, coalesce(l.quality = 1, FALSE) AS selected FROM photos p LEFT JOIN labels l ON l.doc_id = p.id")
 def m18(spark, sf):
     saved = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("_s"))
     return photos(spark, sf).join(saved, "id", "left").select("user_id", "id", F.coalesce("_s", F.lit(False)).alias("selected"))
@@ -235,10 +235,10 @@ def n11(spark, sf):
 _PLACES = "p AS (SELECT concat('place', n_nationkey) AS name, CAST(40 AS DOUBLE) + n_nationkey * CAST(0.06 AS DOUBLE) AS plat, CAST(-120 AS DOUBLE) + (n_nationkey % 7) * CAST(0.1 AS DOUBLE) AS plon FROM nation)"
 
 
-@add("n14_nearest_place", P.rstrip() + f", {_PLACES} SELECT id, arg_min(name, (d, name)) AS place, round(min(d), 6) AS km FROM (SELECT id, name, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(plat - gps_lat) / 2), 2) + cos(radians(gps_lat)) * cos(radians(plat)) * pow(sin(radians(plon - gps_lon) / 2), 2))), 9) AS d FROM photos, p WHERE place_name IS NULL AND gps_lat > 1 AND abs(floor(gps_lat / 0.5) - floor(plat / 0.5)) <= 1 AND abs(floor(gps_lon / 0.5) - floor(plon / 0.5)) <= 1) GROUP BY id")
+@add("n14_nearest_place", P.rstrip() + f", {_PLACES} SELECT id, arg_min(name, (d, name)) AS place, round(min(d), 6) AS km FROM (SELECT id, name, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(plat - gps_lat) / 2), 2) + cos(radians(gps_lat)) * cos(radians(plat)) * pow(sin(radians(plon - gps_lon) / 2), 2))), 9) AS d FROM photos, p WHERE place_name IS NULL AND gps_lat IS NOT NULL) GROUP BY id")
 def n14(spark, sf):
     places = table(spark, sf, "nation").select(F.concat(F.lit("place"), F.col("n_nationkey").cast("string")).alias("name"), (F.lit(40.0) + F.col("n_nationkey") * 0.06).alias("lat"), (F.lit(-120.0) + (F.col("n_nationkey") % 7) * 0.1).alias("lon"))
-    points = photos(spark, sf).where("place_name is null and gps_lat > 1").select("id", F.col("gps_lat").alias("lat"), F.col("gps_lon").alias("lon"))
+    points = photos(spark, sf).where("place_name is null and gps_lat is not null").select("id", F.col("gps_lat").alias("lat"), F.col("gps_lon").alias("lon"))
     return files.nearest_place(points, places).withColumn("km", F.round("km", 6))
 
 

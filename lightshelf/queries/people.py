@@ -241,10 +241,11 @@ def n06(spark, sf):
     return people.cleared(faces(spark, sf), 7).select("face_id", "person_id")
 
 
-@add("n07_restore_matches", FP + "SELECT f.face_id, coalesce(CASE WHEN NOT coalesce(f.person_id = 7, FALSE) THEN f.person_id END, f.person_id) AS person_id FROM faces f")
+@add("n07_restore_matches", FP + "SELECT face_id, CASE WHEN person_id = 7 AND match_source <> 'manual' THEN NULL ELSE person_id END AS person_id, CASE WHEN person_id = 7 AND match_source <> 'manual' THEN NULL ELSE match_source END AS match_source FROM faces")
 def n07(spark, sf):
     f = faces(spark, sf)
-    return people.restored(people.cleared(f, 7, keep_manual=False), f).select("face_id", "person_id")
+    snapshot = f.where("match_source = 'manual'")  # taken before, of the manual matches
+    return people.restored(people.cleared(f, 7, keep_manual=False), snapshot).select("face_id", "person_id", "match_source")
 
 
 @add("n08_manual_tag", FP + "SELECT face_id, person_id FROM faces WHERE face_id NOT IN (SELECT face_id FROM faces WHERE cluster_id = 4) UNION ALL SELECT face_id, 99 FROM faces WHERE cluster_id = 4")
@@ -267,7 +268,7 @@ def n20(spark, sf):
     return f.join(chosen, "cluster_id", "left").select("face_id", F.when(F.col("_c"), 500).otherwise(F.col("person_id")).alias("person_id"))
 
 
-@add("n23_photo_detail", FP + "SELECT p.photo_id, p.day, coalesce(string_agg(CASE WHEN f.face_id IS NOT NULL THEN concat(f.face_id, '=', coalesce(n.name, '?')) END, ';' ORDER BY f.face_id), '') AS faces FROM face_photos p LEFT JOIN faces f USING (photo_id) LEFT JOIN persons n USING (person_id) WHERE p.photo_id < 200 GROUP BY 1, 2")
+@add("n23_photo_detail", FP + "SELECT p.photo_id, p.day, coalesce(string_agg(CASE WHEN f.face_id IS NOT NULL THEN concat(f.face_id, '=', coalesce(n.name, '?')) END, ';' ORDER BY f.face_id), '') AS faces FROM face_photos p LEFT JOIN faces f USING (photo_id) LEFT JOIN persons n USING (person_id) GROUP BY 1, 2")
 def n23(spark, sf):
     own = faces(spark, sf).join(persons(spark, sf), "person_id", "left")
     one = own.groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("face_id", F.coalesce("name", F.lit("?")).alias("name")))).alias("f"))

@@ -68,7 +68,20 @@ def r08(spark, sf):
     return texts(spark, sf).select("id", F.round(search.keyword_score("keywords", "thtion"), 6).alias("v"))
 
 
-@add("r09_description_score", X + "SELECT id, CASE WHEN regexp_matches(lower(description), '(^|[^\\w])with([^\\w]|$)') AND regexp_matches(lower(description), '(^|[^\\w])thing([^\\w]|$)') THEN CAST(0.05 AS DOUBLE) WHEN NOT regexp_matches(lower(description), '(^|[^\\w])with([^\\w]|$)') AND NOT regexp_matches(lower(description), '(^|[^\\w])thing([^\\w]|$)') THEN CAST(-0.02 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS v FROM texts WHERE NOT regexp_matches(lower(description), '(^|[^\\w])(no|without) ')")
+def _here(word: str) -> str:
+    """SQL: whether the text t has the word, with no negation up to 30 characters before it (but for 'no other')."""
+    parts = f"regexp_split_to_array(t, '\\b{word}\\b')"
+    before = f"right(array_to_string(list_slice({parts}, 1, i), '{word}'), 60)"
+    return f"len(list_filter(range(1, len({parts})), lambda i: NOT regexp_matches({before}, '\\b(no|without|absence of)\\b.{{0,30}}$') OR regexp_matches({before}, '\\bno other\\b.{{0,30}}$'))) > 0"
+
+
+def _ruled_out(word: str) -> str:
+    """SQL: whether the text t negates the word at once, not close behind 'no other'."""
+    parts = f"regexp_split_to_array(t, '\\b(?:no visible |no |without |absence of ){word}')"
+    return f"len(list_filter(range(1, len({parts})), lambda i: NOT regexp_matches({parts}[i], '\\bno other.{{0,9}}$'))) > 0"
+
+
+@add("r09_description_score", X + f"SELECT id, CAST(CASE WHEN t = '' THEN 0 WHEN {_ruled_out('with')} OR {_ruled_out('thing')} THEN -0.04 WHEN {_here('with')} AND {_here('thing')} THEN 0.05 WHEN {_here('with')} OR {_here('thing')} THEN 0 ELSE -0.02 END AS DOUBLE) AS v FROM (SELECT id, lower(coalesce(description, '')) AS t FROM texts)")
 def r09(spark, sf):
     return library(spark, sf, "texts").select("id", search.description_score("description", "with thing").alias("v"))
 

@@ -50,7 +50,7 @@ def v03(spark, sf):
 REGISTRY.queries["j12_nearest_reference_join"], REGISTRY.sql["j12_nearest_reference_join"] = v03, REGISTRY.sql["v03_strict_match"]
 
 
-@add("n01_diagnose_faces", E + "SELECT a.vec_id AS face_id, b.vec_id % 4 AS person_id, round(min(list_distance(a.e, b.e)), 6) AS distance FROM v a JOIN v b ON b.vec_id % 25 = 0 WHERE a.vec_id < 20 AND a.vec_id % 25 <> 0 GROUP BY 1, 2")
+@add("n01_diagnose_faces", E + "SELECT a.vec_id AS face_id, b.vec_id % 4 AS person_id, round(min(list_distance(a.e, b.e)), 6) AS distance FROM v a JOIN v b ON b.vec_id % 25 = 0 WHERE a.vec_id % 25 <> 0 GROUP BY 1, 2")
 def n01(spark, sf):
     f = vectors(spark, sf).where("vec_id % 25 <> 0").select(F.col("vec_id").alias("face_id"), F.col("embedding").alias("encoding"))
     return people.best_reference(f, references(spark, sf).withColumn("person_id", F.col("person_id") % 4)).select("face_id", "person_id", F.round("distance", 6).alias("distance"))
@@ -142,7 +142,7 @@ def v13(spark, sf):
     return f.groupBy(F.col("l_orderkey").alias("photo_id"), F.col("l_suppkey").alias("person_id")).agg(rule.alias("rule"), F.count("*").alias("n")).where("n > 1")
 
 
-@add("v14_sharper_alternatives", E + "SELECT a.vec_id, b.vec_id AS alternative FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_distance(a.e, b.e) <= 1.15 AND abs(a.vec_id - b.vec_id) <= 200 AND b.vec_id % 7 > a.vec_id % 7 WHERE a.vec_id % 20 = 0")
+@add("v14_sharper_alternatives", E + "SELECT a.vec_id, b.vec_id AS alternative FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_distance(a.e, b.e) <= 1.15 AND b.vec_id % 7 > a.vec_id % 7")
 def v14(spark, sf):
     near = similar.radius_pairs(vectors(spark, sf), 1.15)
     both = near.select(F.col("a").alias("vec_id"), F.col("b").alias("alternative")).unionByName(near.select(F.col("b").alias("vec_id"), F.col("a").alias("alternative")))
@@ -166,7 +166,7 @@ def n34(spark, sf):
     return s.join(m, "label").select("vec_id", F.when((F.col("vec_id") % 3 == 0) & (F.col("score") < F.col("med")), "fail").otherwise("pass").alias("decision"))
 
 
-@add("t09_identity_in_time", E.rstrip() + ", d AS (SELECT a.vec_id AS face_id, b.vec_id % 4 AS person_id, min(list_distance(a.e, b.e)) AS d FROM v a JOIN v b ON b.vec_id % 25 = 0 WHERE a.vec_id % 25 <> 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY d, person_id) AS rn, lead(d) OVER (PARTITION BY face_id ORDER BY d, person_id) AS second FROM d), c AS (SELECT face_id, person_id FROM r WHERE rn = 1 AND d <= 1.3 AND (second IS NULL OR second - d >= 0.02)), p AS (SELECT event_id AS face_id, ts FROM events WHERE event_id < 500) SELECT face_id, person_id FROM c JOIN p USING (face_id) WHERE person_id NOT IN (SELECT user_id FROM events WHERE user_id < 3) OR EXISTS (SELECT 1 FROM events s WHERE s.user_id < 3 AND s.user_id = c.person_id AND abs(epoch_us(s.ts) - epoch_us(p.ts)) <= 7200000000)")
+@add("t09_identity_in_time", E.rstrip() + ", d AS (SELECT a.vec_id AS face_id, b.vec_id % 4 AS person_id, min(list_distance(a.e, b.e)) AS d FROM v a JOIN v b ON b.vec_id % 25 = 0 WHERE a.vec_id % 25 <> 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY d, person_id) AS rn, lead(d) OVER (PARTITION BY face_id ORDER BY d, person_id) AS second FROM d), c AS (SELECT face_id, person_id FROM r WHERE rn = 1 AND d <= 1.3 AND (second IS NULL OR second - d >= 0.02)), p AS (SELECT event_id AS face_id, ts FROM events) SELECT face_id, person_id FROM c LEFT JOIN p USING (face_id) WHERE p.ts IS NULL OR person_id NOT IN (SELECT user_id FROM events) OR EXISTS (SELECT 1 FROM events s WHERE s.user_id = c.person_id AND abs(epoch_us(s.ts) - epoch_us(p.ts)) <= 7200000000)")
 def t09(spark, sf):
     own = vectors(spark, sf)
     f = own.where("vec_id % 25 <> 0").select(F.col("vec_id").alias("face_id"), F.col("embedding").alias("encoding"))
@@ -189,7 +189,7 @@ def g02(spark, sf):
     return upkeep.duplicate_plan(c.withColumn("named_faces", F.col("id") % 3).withColumn("faces", F.col("id") % 5).withColumn("has_description", F.lit(1)))
 
 
-@add("g03_canonical_paths", with_library("photos") + "SELECT file_hash, id, rn = 1 AS keep FROM (SELECT file_hash, id, row_number() OVER (PARTITION BY file_hash ORDER BY CASE WHEN contains(filename, ' (1)') THEN 1 ELSE 0 END, length(filepath), length(filename), id) AS rn, count(*) OVER (PARTITION BY file_hash) AS n FROM photos WHERE file_hash IS NOT NULL) WHERE n > 1")
+@add("g03_canonical_paths", with_library("photos") + "SELECT file_hash, id, rn = 1 AS keep FROM (SELECT file_hash, id, row_number() OVER (PARTITION BY file_hash ORDER BY CASE WHEN regexp_matches(filename, '(\\(\\d+\\)|-\\d{3,})\\.[^.]+$') THEN 1 ELSE 0 END, length(filename), filename, length(filepath), filepath, id) AS rn, count(*) OVER (PARTITION BY file_hash) AS n FROM photos WHERE file_hash IS NOT NULL) WHERE n > 1")
 def g03(spark, sf):
     return upkeep.canonical_paths(library(spark, sf, "photos")).select("file_hash", "id", "keep")
 

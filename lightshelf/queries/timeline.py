@@ -60,7 +60,7 @@ def w11(spark, sf):
 
 
 for _mode, _order in (("date_desc", "v DESC NULLS LAST, id"), ("date_asc", "v ASC NULLS LAST, id")):
-    add(f"o01_sort_{_mode}", P + f"SELECT id, date_taken FROM (SELECT *, CASE WHEN substr(date_taken, 1, 4) > '0000' THEN date_taken END AS v FROM photos WHERE user_id < 20) ORDER BY {_order} LIMIT 200")(
+    add(f"o01_sort_{_mode}", P + f"SELECT id, date_taken FROM (SELECT *, CASE WHEN substr(date_taken, 1, 4) > '0000' THEN date_taken END AS v FROM photos) ORDER BY {_order} LIMIT 200")(
         lambda spark, sf, m=_mode: photos(spark, sf).orderBy(*ranking.sort_order(m)).limit(200).select("id", "date_taken")
     )
 
@@ -262,14 +262,14 @@ def t12(spark, sf):
     return parts.groupBy("user_id", "part").agg(F.count("*").alias("n"), F.max_by("id", F.struct(F.coalesce("score", F.lit(-1.0)), -F.col("id"))).alias("hero"))
 
 
-@add("t14_overlap_days", P + ", g AS (SELECT user_id, min(taken_ts) AS a, max(taken_ts) AS b FROM photos WHERE user_id < 25 GROUP BY 1) SELECT x.user_id AS left_user, y.user_id AS right_user, CASE WHEN greatest(x.a, y.a) >= least(x.b, y.b) THEN 0 ELSE greatest(1, CAST(floor((epoch_us(least(x.b, y.b)) - epoch_us(greatest(x.a, y.a))) / CAST(86400000000 AS DOUBLE)) AS BIGINT)) END AS days FROM g x JOIN g y ON x.user_id < y.user_id")
+@add("t14_overlap_days", P + ", g AS (SELECT user_id, min(taken_ts) AS a, max(taken_ts) AS b FROM photos GROUP BY 1) SELECT x.user_id AS left_user, y.user_id AS right_user, CASE WHEN greatest(x.a, y.a) >= least(x.b, y.b) THEN 0 ELSE greatest(1, CAST(floor((epoch_us(least(x.b, y.b)) - epoch_us(greatest(x.a, y.a))) / CAST(86400000000 AS DOUBLE)) AS BIGINT)) END AS days FROM g x JOIN g y ON x.user_id < y.user_id")
 def t14(spark, sf):
     g = photos(spark, sf).groupBy("user_id").agg(F.min("taken_ts").alias("a"), F.max("taken_ts").alias("b"))
     x, y = g.select(F.col("user_id").alias("left_user"), F.col("a").alias("a1"), F.col("b").alias("b1")), g.select(F.col("user_id").alias("right_user"), F.col("a").alias("a2"), F.col("b").alias("b2"))
     return x.join(y, F.col("left_user") < F.col("right_user")).select("left_user", "right_user", timeline.overlap_days(F.col("a1"), F.col("b1"), F.col("a2"), F.col("b2")).alias("days"))
 
 
-@add("h27_interleave", P + "SELECT id, CAST(row_number() OVER (PARTITION BY user_id, camera_model = 'view' ORDER BY taken_ts, id) AS INT) AS turn FROM photos WHERE user_id < 40")
+@add("h27_interleave", P + "SELECT id, CAST(row_number() OVER (PARTITION BY user_id, camera_model = 'view' ORDER BY taken_ts, id) AS INT) AS turn FROM photos")
 def h27(spark, sf):
     rows = photos(spark, sf).withColumn("scenery", F.col("camera_model") == "view")
     return ranking.interleaved(rows, "scenery", [F.col("taken_ts"), F.col("id")], ["user_id"]).select("id", "turn")

@@ -32,7 +32,7 @@ PHOTOS = {
     "stack_id": "CASE WHEN event_id % 6 < 2 THEN CAST(floor(event_id / 6) AS BIGINT) END", "props": "props",
 }
 FACES = {
-    "face_id": "l_orderkey * 1000000000000 + l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey", "photo_id": "l_orderkey",
+    "face_id": "l_orderkey * 10000000000000 + l_linenumber * 1000000000000 + l_partkey * 10000000 + l_suppkey * 1000 + CAST(l_quantity AS BIGINT)", "photo_id": "l_orderkey",
     "person_id": "CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE l_suppkey END", "cluster_id": "CASE WHEN l_partkey % 4 = 0 THEN l_partkey % 50 END",
     "match_source": "CASE l_returnflag WHEN 'A' THEN 'strict' WHEN 'N' THEN 'temporal' ELSE 'manual' END", "det_score": "l_quantity / 50",
     "bbox_top": "CAST(l_partkey % 900 AS INT)", "bbox_left": "CAST(l_suppkey % 70 * 13 AS INT)", "bbox_bottom": "CAST(l_partkey % 900 + 40 + l_linenumber * 37 AS INT)", "bbox_right": "CAST(l_suppkey % 70 * 13 + 30 + l_quantity * 4 AS INT)",

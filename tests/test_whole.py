@@ -46,7 +46,7 @@ def test_nearest_place_of_every_point(spark):
 
 
 def test_n14_nearest_place(spark, duck):
-    sql = with_library("photos").rstrip() + f", {_PLACES} SELECT id, arg_min(name, (d, name)) AS place, round(min(d), 6) AS km FROM (SELECT id, name, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(plat - gps_lat) / 2), 2) + cos(radians(gps_lat)) * cos(radians(plat)) * pow(sin(radians(plon - gps_lon) / 2), 2))), 9) AS d FROM photos, p WHERE place_name IS NULL AND gps_lat > 1) GROUP BY id"
+    sql = with_library("photos").rstrip() + f", {_PLACES} SELECT id, arg_min(name, (d, name)) AS place, round(min(d), 6) AS km FROM (SELECT id, name, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(plat - gps_lat) / 2), 2) + cos(radians(gps_lat)) * cos(radians(plat)) * pow(sin(radians(plon - gps_lon) / 2), 2))), 9) AS d FROM photos, p WHERE place_name IS NULL AND gps_lat IS NOT NULL) GROUP BY id"
     assert rows(FOUND.queries["n14_nearest_place"](spark, SF).toPandas()) == rows(duck.execute(sql).df())
 
 
