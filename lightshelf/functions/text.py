@@ -40,7 +40,8 @@ def contains_excluded(c, terms: list[str], expansions: dict[str, list[str]] | No
         return F.lit(False)
     every = list(dict.fromkeys(s for t in terms for s in stems(t, expansions)))
     cue = "|".join(sorted((quoted(n) for n in NEGATIONS), key=len, reverse=True))
-    pattern = rf"(?<!\b(?:{cue})\b(?! other)[^.;]{{0,30}})\b(?:{'|'.join(quoted(t) for t in every)})\b"
+    terms = rf"\b(?:{'|'.join(quoted(t) for t in every)})"
+    pattern = rf"{terms}\b(?<!\b(?:{cue})\b(?! other)[^.;]{{0,30}}{terms})"
     return F.coalesce(F.lower(col(c)).rlike(pattern), F.lit(False))
 
 
