@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lightshelf.functions.scalar import col
 
-# Words that are no content terms.
+# Words that are no content terms of a description.
 STOP_WORDS = frozenset("the a an and or but of in on at to for with by from is are was were be been being it its this that these those there here as into over under up down out off then than so very can will just not no".split())
 # What negates a term that follows.
 NEGATIONS = ("no", "not", "without", "absence of", "no visible")
@@ -45,10 +45,10 @@ def contains_excluded(c, terms: list[str], expansions: dict[str, list[str]] | No
     return F.coalesce(F.lower(col(c)).rlike(pattern), F.lit(False))
 
 
-def content_terms(c, least: int = 3) -> Column:
-    """Distinct lower-case words of at least `least` letters that are no stop words, in order of appearance."""
-    words = F.regexp_extract_all(F.lower(col(c)), F.lit("([a-z]+)"), 1)
-    stop = F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
+def content_terms(c, least: int = 3, stop_words: frozenset[str] = STOP_WORDS) -> Column:
+    """Distinct lower-case words (hyphens within) of at least `least` letters that are no stop words, in order of appearance."""
+    words = F.regexp_extract_all(F.lower(col(c)), F.lit("([a-z]+(?:-[a-z]+)*)"), 1)
+    stop = F.array(*[F.lit(w) for w in sorted(stop_words)])
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= least) & ~F.array_contains(stop, w)))
 
 

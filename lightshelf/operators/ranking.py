@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightshelf.functions import scalar as S
+from lightshelf.operators.lineage import checkpoints
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:
@@ -48,12 +49,19 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
 
 
 def ranked(df: DataFrame, order: list[Column], id_col: str = "id", rank: str = "rank") -> DataFrame:
-    """id and its rank from 0 in the given order.
+    """id and its rank from 0 in the given order, which should end in an id.
 
-    Ranks of a whole set need one sorted run; sets are the results of a
-    filter of a search, cut by the order's own keys before this.
+    Rows are dealt to ranges of the order, and written so that the ranges stay
+    as they are; rows count within their range, and the sizes of the ranges
+    before, a number for each, are added.
     """
-    return df.select(id_col, (F.row_number().over(Window.orderBy(*order)) - 1).alias(rank))
+    checkpoints(df.sparkSession)
+    # ids of sorted ranges: the range in the upper bits, the place within it in the lower 33
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).select(id_col, F.monotonically_increasing_id().alias("_at")).checkpoint()
+    placed = rows.select(id_col, F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    return placed.join(F.broadcast(before), "_range").select(id_col, (F.col("_before") + F.col("_place")).alias(rank))
 
 
 def fused(sets: list[DataFrame], id_col: str = "id", k: int = 60) -> DataFrame:

@@ -3,43 +3,47 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lightshelf.functions import vectors as V
+from lightshelf.operators.lineage import checkpoints
 
 #: Bytes up to which a side of query vectors is broadcast.
 BROADCAST_BYTES = 64 << 20
-MAX_K = 4096
 
 
 def nearest(df: DataFrame, query: list[float], k: int, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """The k rows nearest to a query vector by L2 distance, ties by id; k is held to 4096."""
+    """The k rows nearest to a query vector by L2 distance, ties by id."""
     target = F.array(*[F.lit(float(x)) for x in query])
-    return df.select(id_col, V.l2(vector, target).alias("distance")).orderBy("distance", id_col).limit(min(k, MAX_K))
+    return df.select(id_col, V.l2(vector, target).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
-def nearest_reference(df: DataFrame, references: DataFrame, tolerance: float, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """For each row the person of the nearest reference within the tolerance, and the distance.
+def with_references(df: DataFrame, references: DataFrame) -> DataFrame:
+    """Each row with each reference (person_id, ref), a curated table.
 
-    References (person_id, ref) are a curated table; they are broadcast when
-    their measured size allows, and dealt in blocks otherwise.
+    References are sent to all tasks if their measured size allows, and dealt in blocks otherwise.
     """
     refs = references.select("person_id", "ref")
-    size = refs.agg(F.coalesce(F.sum(F.size("ref")), F.lit(0))).first()[0] * 4
-    pairs = df.crossJoin(F.broadcast(refs)) if size <= BROADCAST_BYTES else blocked(df, refs)
+    size = refs.agg(F.coalesce(F.sum(F.size("ref") * 8 + 64), F.lit(0))).first()[0]
+    return df.crossJoin(F.broadcast(refs)) if size <= BROADCAST_BYTES else blocked(df, refs)
+
+
+def nearest_reference(df: DataFrame, references: DataFrame, tolerance: float, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """For each row the person of the nearest reference within the tolerance, and the distance."""
+    pairs = with_references(df, references)
     best = pairs.select(id_col, "person_id", V.l2(vector, "ref").alias("d")).groupBy(id_col).agg(F.min_by("person_id", F.struct("d", "person_id")).alias("person_id"), F.min("d").alias("distance"))
     return best.where(F.col("distance") <= tolerance)
 
 
-def blocked(left: DataFrame, right: DataFrame, blocks: int = 64) -> DataFrame:
-    """Every row of one table with every row of another, dealt in blocks of equal size; for a stated query set against a table."""
-    a = left.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = right.withColumn("_b", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)).cast("int"))
+def blocked(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """Every row with every reference: rows are dealt to blocks once, and the references, the smaller side, are sent to each block."""
+    blocks = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    a = rows.withColumn("_b", F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int"))
+    b = references.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return a.join(b, "_b").drop("_b")
 
 
@@ -81,22 +85,6 @@ def radius_pairs(df: DataFrame, radius: float, vector: str = "embedding", id_col
     return sent.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "low", "high").groupBy("low", "high").applyInPandas(compare, "a bigint, b bigint, distance double")
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """Sets the checkpoint folder if there is none: that of spark.checkpoint.dir, or, on a single machine alone, a folder of its own."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; without it a temporary one in local mode, and an error on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="lightshelf-")
-
-
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and its component (smallest node reachable) for the nodes of edges a-b.
 
@@ -159,20 +147,40 @@ def merge_suggestions(members: DataFrame, by: str, dims: int, centroid_radius: f
 
 
 def average_linkage(vectors: np.ndarray, target: int) -> np.ndarray:
-    """Cluster numbers by average linkage, cut where the number of clusters is nearest the target (bisection of the height)."""
+    """Cluster numbers by average linkage, cut where the number of clusters is nearest the target (bisection of the height).
+
+    Chains of nearest neighbours: average linkage is reducible, so two clusters
+    that are each other's nearest may be merged at once, in time by the square
+    of the vectors and with one matrix of their distances.
+    """
     n = len(vectors)
     if n <= 1:
         return np.zeros(n, int)
-    d = np.sqrt(np.maximum(0, ((vectors[:, None] - vectors[None]) ** 2).sum(2)))
+    square = (vectors * vectors).sum(1)
+    d = vectors @ vectors.T
+    d *= -2
+    d += square[:, None]
+    d += square[None, :]
+    np.sqrt(np.maximum(d, 0, out=d), out=d)
     np.fill_diagonal(d, np.inf)
-    size, active, merges = np.ones(n), np.ones(n, bool), []
-    for _ in range(n - 1):
-        masked = np.where(active[:, None] & active[None], d, np.inf)
-        i, j = divmod(int(masked.argmin()), n)
-        i, j = min(i, j), max(i, j)
-        merges.append((d[i, j], i, j))
-        d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+    size, active, merges, chain = np.ones(n), np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(active)[0]))
+        at = chain[-1]
+        near = int(d[at].argmin())
+        if len(chain) > 1 and d[at, chain[-2]] <= d[at, near]:
+            near = chain[-2]
+        if len(chain) < 2 or near != chain[-2]:
+            chain.append(near)
+            continue
+        del chain[-2:]
+        i, j = min(at, near), max(at, near)
+        merges.append((float(d[i, j]), i, j))
+        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i], d[:, i] = row, row
         d[i, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
         active[j] = False
     heights = np.array([h for h, _, _ in merges])
@@ -253,7 +261,8 @@ def select_best(photos: DataFrame, by: list[str], share: float = 0.1, least_qual
     return held.groupBy(*by).applyInPandas(choose, f"id {kinds['id']}, cluster bigint, rank_in_cluster bigint, selected boolean, score double")
 
 
-MAX_SCOPE = 3000
+#: Photos of one scope whose distances fit in a task (512 MB).
+MAX_SCOPE = 8000
 
 
 def running_centroids(rows: pd.DataFrame, tolerance: float, vector: str = "embedding") -> pd.DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lightshelf.functions import scalar as S
 from lightshelf.functions import vectors as V
 from lightshelf.operators.ranking import cut_at_gaps, grouped
+from lightshelf.operators.similar import connected
 
 
 def chapters(photos: DataFrame, by: list[str], hours: float, least: int, place: str = "place_name") -> DataFrame:
@@ -56,52 +57,29 @@ def nearby_stacks(stacks: DataFrame, seconds: float = 60.0) -> DataFrame:
     return pairs.groupBy("stack_id", "o_stack_id").agg(F.countDistinct("o_id").alias("n_members"), (F.min(F.abs(S.micros("taken_ts") - S.micros("o_taken_ts"))) / 1e6).alias("least_gap"))
 
 
-def burst_pairs(photos: DataFrame, seconds: float, most_distance: float, vector: str = "embedding", cosine: bool = True) -> DataFrame:
-    """Pairs close in time whose vectors are near: strictly for cosine distance."""
-    pairs = near_in_time(photos, photos, seconds).where("id < o_id")
+def burst_pairs(photos: DataFrame, seconds: float, most_distance: float, vector: str = "embedding", cosine: bool = True, by: list[str] | None = None) -> DataFrame:
+    """Pairs close in time (of equal `by`) whose vectors are near: strictly for cosine distance."""
+    pairs = near_in_time(photos, photos, seconds, by=by).where("id < o_id")
     d = V.cosine_distance(vector, f"o_{vector}") if cosine else V.l2(vector, f"o_{vector}")
     return pairs.withColumn("distance", d).where(F.col("distance") < most_distance if cosine else F.col("distance") <= most_distance)
 
 
-def burst_stacks(photos: DataFrame, seconds: float = 5.0, most_distance: float = 0.05, span: float = 10.0, vector: str = "embedding", cosine: bool = True) -> DataFrame:
-    """Bursts: linked photos, cut to `span` seconds from the earliest, at least two, best first (the first is the top)."""
-    cut = cut_at_gaps(photos.where("taken_ts is not null"), ["user_id"] if "user_id" in photos.columns else [], "taken_ts", seconds, "_run")
+def burst_stacks(photos: DataFrame, seconds: float = 5.0, most_distance: float = 0.05, span: float = 10.0, vector: str = "embedding", cosine: bool = True, by: list[str] | None = None) -> DataFrame:
+    """Bursts: linked photos, cut to `span` seconds from the earliest, at least two, best first (the first is the top).
 
-    def stack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["taken_ts", "id"], ignore_index=True)
-        t = rows.taken_ts.to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
-        has = rows[vector].notna().to_numpy()
-        root = list(range(len(rows)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i in range(len(rows)):
-            for j in range(i + 1, len(rows)):
-                if t[j] - t[i] > seconds:
-                    break
-                if not (has[i] and has[j]):
-                    continue
-                x, y = np.asarray(rows.at[i, vector], float), np.asarray(rows.at[j, vector], float)
-                d = 1 - x @ y / max(1e-300, np.linalg.norm(x) * np.linalg.norm(y)) if cosine else np.linalg.norm(x - y)
-                if d < most_distance if cosine else d <= most_distance:
-                    root[find(j)] = find(i)
-        out = []
-        group = pd.Series([find(i) for i in range(len(rows))])
-        for _, members in group.groupby(group):
-            keep = [i for i in members.index if t[i] - t[members.index[0]] <= span]
-            if len(keep) < 2:
-                continue
-            best = sorted(keep, key=lambda i: (-(0 if pd.isna(rows.at[i, "score"]) else rows.at[i, "score"]), t[i], rows.at[i, "id"]))
-            out += [(int(rows.at[keep[0], "id"]), int(rows.at[i, "id"]), k == 0, k) for k, i in enumerate(best)]
-        return pd.DataFrame(out, columns=["stack_id", "id", "is_top", "place"])
-
-    by = ["user_id", "_run"] if "user_id" in photos.columns else ["_run"]
-    several = cut.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).where("_n > 1").drop("_n")
-    return grouped(several.select(*by, "id", "taken_ts", "score", vector), by, stack, "stack_id bigint, id bigint, is_top boolean, place int")
+    Links come from a join on bands of time, stacks are their components.
+    """
+    own = by or []
+    timed = photos.where(F.col("taken_ts").isNotNull())
+    pairs = burst_pairs(timed.where(F.col(vector).isNotNull()).select(*own, "id", "taken_ts", vector), seconds, most_distance, vector, cosine, by)
+    found = connected(pairs.select(F.col("id").alias("a"), F.col("o_id").alias("b")))
+    members = found.withColumnRenamed("node", "id").join(timed.select("id", "taken_ts", "score"), "id")
+    first = members.groupBy("component").agg(F.min(F.struct("taken_ts", "id")).alias("_f"))
+    kept = members.join(first, "component").where(S.seconds_between("_f.taken_ts", "taken_ts") <= span).withColumn("stack_id", F.col("_f.id"))
+    # what is left of a stack lies within its span
+    w = Window.partitionBy("stack_id")
+    ranked = kept.withColumn("_n", F.count("*").over(w)).where("_n > 1").withColumn("place", F.row_number().over(w.orderBy(F.coalesce("score", F.lit(0.0)).desc(), "taken_ts", "id")) - 1)
+    return ranked.select("stack_id", "id", (F.col("place") == 0).alias("is_top"), "place")
 
 
 def flanked(photos: DataFrame, by: list[str], minutes: float) -> DataFrame:

@@ -61,7 +61,7 @@ filtered("f17_colour_within", lambda: filters.colour_within(F.array("colour", "c
 filtered("f21_corrupt_date", lambda: F.col("date_taken").isNotNull() & ~S.valid_date("date_taken"), "date_taken IS NOT NULL AND (NOT regexp_matches(date_taken, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') OR substr(date_taken, 1, 4) = '0000')")
 filtered("f22_bad_gps", lambda: filters.bad_gps(), "gps_lat = 0 AND gps_lon = 0 OR abs(gps_lat) > 90 OR abs(gps_lon) > 180")
 
-_TERMS = "list_distinct(list_filter(regexp_extract_all(lower(description), '([a-z]+)', 1), lambda w: len(w) >= 5))"
+_TERMS = "list_distinct(list_filter(regexp_extract_all(lower(description), '([a-z]+(?:-[a-z]+)*)', 1), lambda w: len(w) >= 5))"
 
 
 def with_terms(df):
@@ -69,7 +69,7 @@ def with_terms(df):
 
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in sorted(T.STOP_WORDS) if len(w) >= 5) + ")"
-_KEYWORDS = f"list_distinct(list_filter(regexp_extract_all(lower(description), '([a-z]+)', 1), lambda w: len(w) >= 5 AND w NOT IN {_STOP}))"
+_KEYWORDS = f"list_distinct(list_filter(regexp_extract_all(lower(description), '([a-z]+(?:-[a-z]+)*)', 1), lambda w: len(w) >= 5 AND w NOT IN {_STOP}))"
 
 
 @add("f06_member", X + f"SELECT id FROM texts WHERE list_contains({_KEYWORDS}, 'thtion')")

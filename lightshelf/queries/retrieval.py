@@ -17,7 +17,7 @@ add = REGISTRY.add
 P = with_library("photos")
 X = with_library("texts")
 _STOP = "(" + ", ".join(f"'{w}'" for w in sorted(T.STOP_WORDS) if len(w) >= 5) + ")"
-_KEYWORDS = f"list_distinct(list_filter(regexp_extract_all(lower(description), '([a-z]+)', 1), lambda w: len(w) >= 5 AND w NOT IN {_STOP}))"
+_KEYWORDS = f"list_distinct(list_filter(regexp_extract_all(lower(description), '([a-z]+(?:-[a-z]+)*)', 1), lambda w: len(w) >= 5 AND w NOT IN {_STOP}))"
 
 
 def texts(spark, sf):

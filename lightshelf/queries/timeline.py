@@ -226,14 +226,25 @@ def j09(spark, sf):
     return timeline.burst_pairs(rows, 300.0, 1.25, cosine=False).select("id", "o_id", F.round("distance", 6).alias("distance"))
 
 
-@add("t05_burst_stacks")
+def _stacks(seconds, distance, span, same="TRUE"):
+    """SQL: pairs near in time and distance, their components, cut and ranked."""
+    return f"""WITH RECURSIVE {_VEC.replace('event_id AS id,', 'event_id AS id, user_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS score,')},
+    p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND {same} AND abs(epoch_us(a.taken_ts) - epoch_us(b.taken_ts)) <= {seconds}000000 WHERE list_distance(a.e, b.e) <= {distance}),
+    r AS (SELECT a AS node, a AS seen FROM p UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.seen),
+    c AS (SELECT node AS id, min(seen) AS component FROM r GROUP BY 1),
+    m AS (SELECT id, score, taken_ts, first_value(id) OVER w AS stack_id, first_value(taken_ts) OVER w AS first_ts FROM c JOIN v USING (id) WINDOW w AS (PARTITION BY component ORDER BY taken_ts, id)),
+    k AS (SELECT *, count(*) OVER (PARTITION BY stack_id) AS n, row_number() OVER (PARTITION BY stack_id ORDER BY coalesce(score, 0) DESC, taken_ts, id) - 1 AS place FROM m WHERE epoch_us(taken_ts) - epoch_us(first_ts) <= {span}000000)
+    SELECT stack_id, id, place = 0 AS is_top, CAST(place AS INT) AS place FROM k WHERE n > 1"""
+
+
+@add("t05_burst_stacks", _stacks(300, 1.25, 600))
 def t05(spark, sf):
-    return timeline.burst_stacks(with_vectors(spark, sf).drop("user_id").withColumn("user_id", F.lit(0)), 300.0, 1.25, 600.0, cosine=False)
+    return timeline.burst_stacks(with_vectors(spark, sf), 300.0, 1.25, 600.0, cosine=False)
 
 
-@add("t06_session_stacks")
+@add("t06_session_stacks", _stacks(3600, 1.2, 36000, "a.user_id = b.user_id"))
 def t06(spark, sf):
-    return timeline.burst_stacks(with_vectors(spark, sf), 3600.0, 1.2, 36000.0, cosine=False)
+    return timeline.burst_stacks(with_vectors(spark, sf), 3600.0, 1.2, 36000.0, cosine=False, by=["user_id"])
 
 
 @add("j11_seen_near", P + "SELECT id FROM photos a WHERE camera_model = 'error' AND EXISTS (SELECT 1 FROM photos b WHERE b.camera_model = 'purchase' AND b.user_id = a.user_id AND abs(epoch_us(a.taken_ts) - epoch_us(b.taken_ts)) <= 36000000000)")

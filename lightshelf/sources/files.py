@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lightshelf.functions import scalar as S
-from lightshelf.operators import similar
+from lightshelf.operators.lineage import checkpoints
 from lightshelf.plans.vocabulary import EXTENSIONS
 
 NUMBERED_COPY = r"(?i) \(\d+\)\.[a-z0-9]+$"
@@ -59,13 +59,35 @@ def import_plan(files: DataFrame, library: DataFrame, suffix: str = "import") ->
     return rows.select("file_id", "file_hash", "state", F.when(F.col("state") == "new", target).alias("target"))
 
 
-def gazetteer(spark: SparkSession, places: str, admins: str, classes: tuple[str, ...] = ("P",)) -> DataFrame:
-    """A place file of tab-separated columns with the names of its administrative areas."""
-    names = ["geonameid", "name", "asciiname", "alternatenames", "lat", "lon", "feature_class", "feature_code", "country", "cc2", "admin1_code", "admin2_code"]
-    raw = spark.read.csv(places, sep="\t", quote="").toDF(*names) if len(spark.read.csv(places, sep="\t", quote="").columns) == len(names) else spark.read.csv(places, sep="\t", quote="")
-    rows = raw.where(F.col("feature_class").isin(list(classes))).select("name", F.col("lat").cast("double"), F.col("lon").cast("double"), "country", "admin1_code")
-    codes = spark.read.csv(admins, sep="\t", quote="").toDF("code", "admin1", "ascii", "id").select("code", "admin1")
-    return rows.join(codes, F.concat(F.col("country"), F.lit("."), F.col("admin1_code")) == codes.code, "left").drop("code", "admin1_code")
+# The columns of a place file.
+PLACE_COLUMNS = "geonameid string, name string, asciiname string, alternatenames string, lat double, lon double, feature_class string, feature_code string, country string, cc2 string, admin1_code string, admin2_code string"
+
+
+def gazetteer(spark: SparkSession, places: str, admins: str, classes: tuple[str, ...] = ("P",), codes: tuple[str, ...] = (), counties: str | None = None) -> DataFrame:
+    """A place file of tab-separated columns with the names of its administrative areas: name, lat, lon, country, admin1, admin2.
+
+    Rows of the given feature classes (and codes, if any) stay.
+    """
+    raw = spark.read.csv(places, sep="\t", quote="", schema=PLACE_COLUMNS, enforceSchema=True)
+    return with_areas(raw, _areas(spark, admins, "admin1"), None if counties is None else _areas(spark, counties, "admin2"), classes, codes)
+
+
+def _areas(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.csv(path, sep="\t", quote="", schema=f"code string, {name} string, ascii string, id string").select("code", name)
+
+
+def with_areas(places: DataFrame, admins: DataFrame, counties: DataFrame | None = None, classes: tuple[str, ...] = ("P",), codes: tuple[str, ...] = ()) -> DataFrame:
+    """Places of some feature classes with the names of their areas, by codes 'US.CA' and 'US.CA.037'."""
+    rows = places.where(F.col("feature_class").isin(list(classes)))
+    if codes:
+        rows = rows.where(F.col("feature_code").isin(list(codes)))
+    first = F.concat_ws(".", "country", "admin1_code")
+    out = rows.withColumn("code", first).join(admins, "code", "left")
+    if counties is None:
+        out = out.withColumn("admin2", F.lit(None).cast("string"))
+    else:
+        out = out.withColumn("code", F.concat_ws(".", "country", "admin1_code", "admin2_code")).join(counties, "code", "left")
+    return out.select("name", "lat", "lon", "country", "admin1", "admin2")
 
 
 def nearest_place(points: DataFrame, places: DataFrame, cell: float = 0.5, id_col: str = "id") -> DataFrame:
@@ -75,7 +97,7 @@ def nearest_place(points: DataFrame, places: DataFrame, cell: float = 0.5, id_co
     A hit counts only if it is nearer than anything outside of these cells can
     be; other spots go on to cells of twice the size, at last to all places.
     """
-    similar.checkpoints(points.sparkSession)
+    checkpoints(points.sparkSession)
     known = places.where("lat is not null and lon is not null").select("name", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     spots = points.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").select("lat", "lon").distinct()
     sure = None

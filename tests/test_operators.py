@@ -129,7 +129,7 @@ def test_layout_parts_and_seats(spark):
 def test_dates():
     for text, want in {
         "last week": ("2026-04-06", "2026-04-12", ""), "march 13 2026": ("2026-03-13", "2026-03-13", ""), "sunset march 2026": ("2026-03-01", "2026-03-31", "sunset"),
-        "2024": ("2024-01-01", "2024-12-31", ""), "march to may 2026": ("2026-03-01", "2026-05-31", ""), "sunset 2026-01 to 2026-03": ("2026-01-01", "2026-03-31", "sunset"), "beach last week": (None, None, "beach last week"),
+        "2024": ("2024-01-01", "2024-12-31", ""), "march to may 2026": ("2026-03-01", "2026-05-31", ""), "sunset 2026-01 to 2026-03": ("2026-01-01", "2026-03-31", "sunset"), "beach last week": (None, None, "beach last week"), "this week": ("2026-04-13", "2026-04-19", ""), "this month": ("2026-04-01", "2026-04-30", ""), "this year": ("2026-01-01", "2026-12-31", ""),
     }.items():
         assert parse.dates(text, TODAY) == want
 
@@ -146,6 +146,11 @@ def test_query_parts():
     assert parse.clamp("99", 1, 10, 3) == 10 and parse.clamp(None, 1, 10, 3) == 3 and parse.strings("a, ,b") == ["a", "b"] and parse.truthy("yes") and parse.number("x") is None
 
 
+def test_scores_without_people(row):
+    for text, want in {"An empty beach at dawn": 0.05, "There is no visible presence of people": 0.05, "Two kids on a beach": -0.04, "A person, no other people": -0.04, "A lighthouse": 0.02, "": 0.0}.items():
+        assert one(row, search.description_score(F.lit(text), "no people", True)) == pytest.approx(want), text
+
+
 def test_text_scores(row):
     assert one(row, search.description_score(F.lit("A bird on a branch"), "bird")) == pytest.approx(0.05)
     assert one(row, search.description_score(F.lit("A field without birds"), "bird")) == pytest.approx(-0.04)
