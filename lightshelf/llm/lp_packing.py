@@ -46,7 +46,7 @@ def token_pieces(docs: DataFrame, path: str, ranks: str | None, capacity: int, e
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("source_row", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 3 << 20):
             ids, offsets = encode_texts(plain_strings(batch.column("text")), path, ranks)
             size = np.diff(offsets) + 1
             n_pieces = -(-size // capacity)

@@ -21,11 +21,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lightshelf.llm.common import RUN_OF_THREE, ragged, spaced_words
+from lightshelf.llm.common import RUN_OF_THREE, give_back, ragged, spaced_words
 
 #: Pieces for the library itself: wider characters, possible special strings, white space at the end.
 _WIDE = r"[^\x01-\x{24F}]|<\||[\x09-\x0D\x1C-\x20\x{85}\x{A0}]$"
 MOST_BYTES = 200
+#: Pieces that the library encodes in one call.
+TOGETHER = 4096
 
 
 @functools.lru_cache(maxsize=2)
@@ -36,6 +38,7 @@ def library(path: str):
     coder = Tokenizer.from_file(path)
     coder.no_truncation()
     coder.no_padding()
+    give_back()
     return coder
 
 
@@ -67,10 +70,13 @@ def encode_pieces(pieces: list[str], path: str, ranks: str | None = None) -> tup
     slow = np.flatnonzero(~fast)
     parts: list[np.ndarray] = []
     if len(slow):
-        got = library(path).encode_batch_fast([pieces[i] for i in slow.tolist()], add_special_tokens=False)
-        ids = [np.asarray(e.ids, np.uint32) for e in got]
-        counts[slow] = [len(x) for x in ids]
-        parts.append(np.concatenate(ids) if ids else np.zeros(0, np.uint32))
+        coder = library(path)
+        # the library's results hold far more than ids: few pieces at a time
+        for a in range(0, len(slow), TOGETHER):
+            some = slow[a : a + TOGETHER]
+            ids = [np.asarray(e.ids, np.uint32) for e in coder.encode_batch_fast([pieces[i] for i in some.tolist()], add_special_tokens=False)]
+            counts[some] = [len(x) for x in ids]
+            parts.append(np.concatenate(ids))
     if len(slow) < len(pieces):
         coder, width = rank_coder(ranks)
         rows = np.flatnonzero(fast)
