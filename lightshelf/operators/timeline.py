@@ -20,12 +20,13 @@ from lightshelf.operators.similar import connected
 
 
 def chapters(photos: DataFrame, by: list[str], hours: float, least: int, place: str = "place_name") -> DataFrame:
-    """Runs without a gap above `hours` and without a change of place, of at least `least` photos: span, days, places."""
+    """Runs without a gap above `hours` and without a change of place, of at least `least` photos: span, days, places, and the best photo."""
     w = Window.partitionBy(*by).orderBy("taken_ts", "id")
     moved = F.coalesce(F.lag(place).over(w) != F.col(place), F.lit(False))
     runs = cut_at_gaps(photos, by, "taken_ts", hours * 3600, "chapter", moved)
     return runs.groupBy(*by, "chapter").agg(
-        F.count("*").alias("n"), F.min("taken_ts").alias("first_ts"), F.max("taken_ts").alias("last_ts"), F.countDistinct(F.to_date("taken_ts")).alias("n_days"), F.countDistinct(place).alias("n_places"), F.min("id").alias("first_id")
+        F.count("*").alias("n"), F.min("taken_ts").alias("first_ts"), F.max("taken_ts").alias("last_ts"), F.countDistinct(F.to_date("taken_ts")).alias("n_days"), F.countDistinct(place).alias("n_places"), F.min("id").alias("first_id"),
+        F.array_join(F.array_sort(F.collect_set(place)), ";").alias("places"), F.max_by("id", F.struct(F.coalesce("score", F.lit(-1.0)), -F.col("id"))).alias("best_id"),
     ).where(F.col("n") >= least)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lightshelf.functions import layout, replies
 from lightshelf.functions import scalar as S
 from lightshelf.operators import filters, ranking, upkeep
 from lightshelf.queries import Registry
@@ -329,3 +330,88 @@ def n38(spark, sf):
 @add("n39_audit_log", "SELECT event_id, substr(props, 1, 500) AS message FROM events WHERE event_type = 'error' AND value > 0")
 def n39(spark, sf):
     return table(spark, sf, "events").where("event_type = 'error' and value > 0").select("event_id", F.substring("props", 1, 500).alias("message"))
+
+
+# --- replies, layouts, metadata ---------------------------------------------
+
+_SCORES = {p: f"event_id * {k} % 12" for k, p in enumerate((p for parts in replies.PARTS.values() for p in parts), 1)}
+_REPLY = "concat('Here it is: {', " + ", ', ', ".join(
+    f"""'"{d}": {{', """ + ", ', ', ".join(f"""'"{p}": "', {'CASE WHEN event_id % 10 = 7 THEN NULL ELSE ' if p == 'wow' else '('}CAST({_SCORES[p]} AS STRING){' END' if p == 'wow' else ')'}, ' points"'""" for p in parts) + f""", ', "critique": " {d} }} of ', event_type, '"}}'"""
+    for d, parts in replies.PARTS.items()
+) + """, ', "style": {"mood": "', event_type, '", "color": " "}, "style_tags": ["Warm", " warm ", "', event_type, '"]} I hope {this} helps')"""
+_HELD = {p: f"greatest(CAST(1 AS DOUBLE), least(CAST(10 AS DOUBLE), CAST({e} AS DOUBLE)))" for p, e in _SCORES.items()}
+_DIMS = {d: f"round(({' + '.join(_HELD[p] for p in parts)}) / {len(parts)}, 3)" for d, parts in replies.PARTS.items()}
+
+
+@add("h17_reply_scores", f"SELECT event_id AS id, event_id % 10 <> 7 AS ok, CASE WHEN event_id % 10 <> 7 THEN round({' + '.join(f'{w} * {_DIMS[d]}' for d, w in replies.WEIGHTS.items())}, 3) END AS overall, CASE WHEN event_id % 10 <> 7 THEN {_DIMS['impact']} END AS impact, CASE WHEN event_id % 10 <> 7 THEN concat('technical }} of ', event_type) END AS critique, CASE WHEN event_id % 10 <> 7 THEN concat('warm,', event_type) END AS tags, CASE WHEN event_id % 10 <> 7 THEN 1 END AS n_style FROM events")
+def h17(spark, sf):
+    r = replies.scored_replies(table(spark, sf, "events").selectExpr("event_id AS id", f"concat_ws('', {_REPLY.removeprefix('concat(')} AS reply"), "reply", "r")
+    return r.select("id", F.col("r").isNotNull().alias("ok"), "r.overall", F.col("r.dim_scores")["impact"].alias("impact"), F.col("r.critiques")["technical"].alias("critique"), F.array_join("r.style_tags", ",").alias("tags"), F.when(F.col("r").isNotNull(), F.size("r.style")).alias("n_style"))
+
+
+@add("h18_subject_boxes", "SELECT id, 1 + CAST(a > 0 AS INT) AS n, round(greatest(a, b), 5) AS top_area, CASE WHEN a >= b THEN 'dog' ELSE 'cat' END AS top FROM (SELECT event_id AS id, CASE WHEN least(1000, event_id % 1300 + 150) - least(1000, event_id % 1300) >= 1 THEN round((least(1000, event_id % 1300 + 150) - least(1000, event_id % 1300)) / CAST(1000 AS DOUBLE) * ((300 + user_id % 100) / CAST(500 AS DOUBLE)), 5) ELSE 0 END AS a, round(CAST(0.5 AS DOUBLE) * (10 + event_id % 7 * 10) / CAST(500 AS DOUBLE), 5) AS b FROM events)")
+def h18(spark, sf):
+    boxes = """concat('I see [{"bbox_2d": [', event_id % 1300 + 150, ', ', 300 + user_id % 100, ', ', event_id % 1300, ', -4], "label": "dog"}, {"bbox": ["250", 0, 750, ', 10 + event_id % 7 * 10, '], "label": "cat"}, {"bbox": [5, 5, 5, 9]}, {"bbox": [1, 2]}] there')"""
+    found = table(spark, sf, "events").selectExpr("event_id AS id", f"{boxes} AS reply").withColumn("b", replies.subject_boxes("reply", F.lit(1000), F.lit(500)))
+    return found.select("id", F.size("b").alias("n"), F.col("b")[0]["area_frac"].alias("top_area"), F.col("b")[0]["label"].alias("top"))
+
+
+_CELL = "round({x}, 6) AS x, round({y}, 6) AS y, round({w}, 6) AS w, round({h}, 6) AS h"
+_GRID = lambda n, x, y, w, h, cols: dict(
+    x=f"{x} + (i % {cols}) * (({w} - ({cols} - 1) * 0.5) / {cols} + 0.5)", w=f"({w} - ({cols} - 1) * 0.5) / {cols}",
+    y=f"{y} + (i // {cols}) * (({h} - (ceil({n} / CAST({cols} AS DOUBLE)) - 1) * 0.5) / ceil({n} / CAST({cols} AS DOUBLE)) + 0.5)", h=f"({h} - (ceil({n} / CAST({cols} AS DOUBLE)) - 1) * 0.5) / ceil({n} / CAST({cols} AS DOUBLE))",
+)
+_SIDE = "CASE WHEN n - 1 <= 2 THEN 1 ELSE 2 END"
+
+
+@add("h26_cells", "WITH s AS (SELECT user_id, count(*) % 12 + 1 AS n FROM events GROUP BY 1), c AS (SELECT user_id, n, unnest(range(0, n)) AS i FROM s) "
+     + f"SELECT user_id, i AS cell, {_CELL.format(x='0', y='0', w='CAST(24 AS DOUBLE)', h='CAST(12 AS DOUBLE)')} FROM c WHERE n = 1 "
+     + f"UNION ALL SELECT user_id, i, {_CELL.format(x='0.4 + i * (11.35 + 0.5)', y='0.4', w='CAST(11.35 AS DOUBLE)', h='CAST(11.2 AS DOUBLE)')} FROM c WHERE n = 2 "
+     + f"UNION ALL SELECT user_id, i, {_CELL.format(x='0.4', y='0.4', w='CAST(11.35 AS DOUBLE)', h='CAST(11.2 AS DOUBLE)')} FROM c WHERE n BETWEEN 3 AND 7 AND i = 0 "
+     + f"UNION ALL SELECT user_id, i + 1, {_CELL.format(**_GRID('(n - 1)', 'CAST(12.25 AS DOUBLE)', 'CAST(0.4 AS DOUBLE)', 'CAST(11.35 AS DOUBLE)', 'CAST(11.2 AS DOUBLE)', '(' + _SIDE + ')'))} FROM c WHERE n BETWEEN 3 AND 7 AND i < n - 1 "
+     + f"UNION ALL SELECT user_id, i, {_CELL.format(**_GRID('n', 'CAST(0.4 AS DOUBLE)', 'CAST(0.4 AS DOUBLE)', 'CAST(23.2 AS DOUBLE)', 'CAST(11.2 AS DOUBLE)', 'CAST(ceil(sqrt(n)) AS BIGINT)'))} FROM c WHERE n >= 8")
+def h26(spark, sf):
+    spreads = table(spark, sf, "events").groupBy("user_id").agg((F.count("*") % 12 + 1).alias("n"))
+    rows = spreads.select("user_id", F.posexplode(layout.cells("n", 24.0, 12.0)).alias("cell", "r"))
+    return rows.select("user_id", F.col("cell").cast("bigint").alias("cell"), *[F.round(F.col("r")[k], 6).alias(k) for k in "xywh"])
+
+
+@add("s08_exif_records", "SELECT event_id AS id, concat(replace(CAST(CAST(ts AS DATE) AS VARCHAR), ':', '-'), ' 10:20:30') AS date_taken, upper(event_type) AS camera_make, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(100 * (event_id % 9) AS INT) END AS iso, CASE WHEN event_id % 9 BETWEEN 5 AND 8 THEN 3000 ELSE 4000 END AS image_width, CASE WHEN event_id % 9 BETWEEN 5 AND 8 THEN 4000 ELSE 3000 END AS image_height, round((user_id % 90 + 30 / CAST(60 AS DOUBLE) + (event_id % 600) / CAST(10 AS DOUBLE) / 3600) * CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END, 7) AS gps_lat FROM events")
+def s08(spark, sf):
+    day = "replace(CAST(CAST(ts AS DATE) AS STRING), '-', ':')"
+    tags = f"map('Image DateTime', concat({day}, ' 10:20:30'), 'Image Make', concat(upper(event_type), ' '), 'EXIF ISOSpeedRatings', CASE WHEN event_id % 5 = 0 THEN 'auto' ELSE CAST(100 * (event_id % 9) AS STRING) END, 'EXIF ExifImageWidth', '4000', 'EXIF ExifImageLength', '3000', 'Image Orientation', CAST(event_id % 9 AS STRING), 'GPS GPSLatitude', concat('[', user_id % 90, ', 30, ', event_id % 600, '/10]'), 'GPS GPSLatitudeRef', CASE WHEN event_id % 2 = 0 THEN 'S' ELSE 'N' END)"
+    rows = table(spark, sf, "events").selectExpr("event_id AS id", f"{tags} AS tags")
+    record = files.exif_record("tags")
+    return rows.select("id", *[record[c].alias(c) for c in ("date_taken", "camera_make", "iso", "image_width", "image_height", "gps_lat")])
+
+
+@add("n13_created_backfill", P + "SELECT id, strftime(date_trunc('second', taken_ts), '%Y-%m-%d %H:%M:%S') AS date_created FROM photos WHERE id % 4 = 0 AND id % 3 <> 0")
+def n13(spark, sf):
+    p = photos(spark, sf)
+    there = p.where("id % 3 <> 0").select("filepath", F.col("taken_ts").alias("modified"))
+    return files.created_from_files(p.select("id", "filepath", F.when(F.col("id") % 4 != 0, F.col("date_taken")).alias("date_created")).where("id % 4 = 0 or date_created is not null"), there)
+
+
+@add("s09_gazetteer", "SELECT concat('place', l_partkey, '-', l_linenumber) AS name, l_discount AS lat, l_tax AS lon, n_name AS country, r_name AS admin1, c.c_name AS admin2 FROM lineitem JOIN nation ON n_nationkey = l_suppkey % 25 LEFT JOIN (SELECT n_name AS k, n_regionkey AS a, r_name FROM nation JOIN region ON r_regionkey = n_regionkey) x ON k = n_name AND a = l_linenumber % 5 LEFT JOIN (SELECT c_custkey, c_name, n_name AS k FROM customer JOIN nation ON n_nationkey = c_nationkey) c ON c.k = n_name AND c_custkey = l_partkey % 50 WHERE l_returnflag = 'A' AND l_linestatus = 'F'")
+def s09(spark, sf):
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    places = table(spark, sf, "lineitem").join(nation, F.col("n_nationkey") == F.col("l_suppkey") % 25).select(
+        F.concat(F.lit("place"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_discount").alias("lat"), F.col("l_tax").alias("lon"), F.col("n_name").alias("country"),
+        (F.col("l_linenumber") % 5).cast("string").alias("admin1_code"), (F.col("l_partkey") % 50).cast("string").alias("admin2_code"), F.col("l_returnflag").alias("feature_class"), F.col("l_linestatus").alias("feature_code"))
+    admins = nation.join(region, F.col("r_regionkey") == F.col("n_regionkey")).select(F.concat_ws(".", "n_name", F.col("n_regionkey").cast("string")).alias("code"), F.col("r_name").alias("admin1"))
+    counties = table(spark, sf, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "c_name", "n_name")
+    counties = counties.crossJoin(F.broadcast(spark.range(5).withColumnRenamed("id", "a"))).select(F.concat_ws(".", "n_name", F.col("a").cast("string"), F.col("c_custkey").cast("string")).alias("code"), F.col("c_name").alias("admin2"))  # five areas
+    return files.with_areas(places, admins, counties, ("A",), ("F",))
+
+
+@add("m11_sweep_applied", P + f"SELECT id, CASE WHEN date_taken IS NULL OR {_BAD_DATE} THEN concat(day, ' 00:00:00') ELSE date_taken END AS date_taken, CASE WHEN {_BAD_GPS} THEN NULL ELSE round(gps_lat, 6) END AS gps_lat, coalesce(place_name, concat(locality, ', ', admin1)) AS place_name FROM photos")
+def m11_applied(spark, sf):
+    return upkeep.swept(photos(spark, sf), STAGES)[0].select("id", "date_taken", F.round("gps_lat", 6).alias("gps_lat"), "place_name")
+
+
+@add("n20_bulk_ignore", "SELECT DISTINCT l_partkey % 50 AS cluster_id FROM lineitem WHERE l_partkey % 4 = 0 AND l_partkey % 50 NOT IN (4, 8)")
+def n20_ignore(spark, sf):
+    clusters = library(spark, sf, "faces").where("cluster_id is not null").select("cluster_id")
+    now = clusters.where("cluster_id < 20").distinct()
+    added = upkeep.inserted(now, clusters.distinct(), ["cluster_id"])
+    return added.join(spark.sql("SELECT * FROM VALUES (4L), (8L) AS t(cluster_id)"), "cluster_id", "left_anti")

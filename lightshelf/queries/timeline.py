@@ -158,16 +158,17 @@ def t04(spark, sf):
 _CHAP = "SELECT *, CAST(sum(new) OVER (PARTITION BY {by} ORDER BY taken_ts, id) AS BIGINT) AS chapter FROM (SELECT *, CASE WHEN coalesce({gap} <= {us}, FALSE) AND NOT coalesce(lag(place_name) OVER (PARTITION BY {by} ORDER BY taken_ts, id) <> place_name, FALSE) THEN 0 ELSE 1 END AS new FROM photos)"
 
 
-@add("t01_chapters", P + f"SELECT user_id, chapter, count(*) AS n, min(taken_ts) AS first_ts, max(taken_ts) AS last_ts, count(DISTINCT CAST(taken_ts AS DATE)) AS n_days, count(DISTINCT place_name) AS n_places, min(id) AS first_id FROM ({_CHAP.format(by='user_id', gap=_GAP.format(by='user_id'), us=43200000000)}) GROUP BY 1, 2 HAVING count(*) >= 3")
+_SPAN = "count(*) AS n, min(taken_ts) AS first_ts, max(taken_ts) AS last_ts, count(DISTINCT CAST(taken_ts AS DATE)) AS n_days, count(DISTINCT {place}) AS n_places, min(id) AS first_id, coalesce(string_agg(DISTINCT {place}, ';' ORDER BY {place}), '') AS places, arg_max(id, (coalesce(score, -1), -id)) AS best_id"
+
+
+@add("t01_chapters", P + f"SELECT user_id, chapter, {_SPAN.format(place='place_name')} FROM ({_CHAP.format(by='user_id', gap=_GAP.format(by='user_id'), us=43200000000)}) GROUP BY 1, 2 HAVING count(*) >= 3")
 def t01(spark, sf):
     return timeline.chapters(photos(spark, sf), ["user_id"], 12.0, 3)
 
 
-@add("t02_daily_scenes", P + f"SELECT day, chapter, count(*) AS n, min(taken_ts) AS first_ts, max(taken_ts) AS last_ts, count(DISTINCT CAST(taken_ts AS DATE)) AS n_days, count(DISTINCT locality) AS n_places, min(id) AS first_id FROM ({_CHAP.format(by='day', gap=_GAP.format(by='day'), us=300000000).replace('place_name', 'admin1')}) GROUP BY 1, 2")
+@add("t02_daily_scenes", P + f"SELECT day, chapter, {_SPAN.format(place='admin1')} FROM ({_CHAP.format(by='day', gap=_GAP.format(by='day'), us=300000000).replace('place_name', 'admin1')}) GROUP BY 1, 2")
 def t02(spark, sf):
-    rows = timeline.chapters(photos(spark, sf), ["day"], 300 / 3600, 1, "admin1").drop("n_places")
-    runs = ranking.cut_at_gaps(photos(spark, sf), ["day"], "taken_ts", 300.0, "chapter", F.coalesce(F.lag("admin1").over(Window.partitionBy("day").orderBy("taken_ts", "id")) != F.col("admin1"), F.lit(False)))
-    return rows.join(runs.groupBy("day", "chapter").agg(F.countDistinct("locality").alias("n_places")), ["day", "chapter"])
+    return timeline.chapters(photos(spark, sf), ["day"], 300 / 3600, 1, "admin1")
 
 
 _FLANK = f"""f AS (SELECT *, last_value(CASE WHEN ok THEN [epoch_us(taken_ts), gps_lat, gps_lon, id] END IGNORE NULLS) OVER ({_ANCHOR} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l0,

@@ -127,6 +127,43 @@ def _in_block(spots: DataFrame, known: DataFrame, cell: float | None) -> DataFra
     return pairs.groupBy("lat", "lon").agg(F.min(F.when(F.col("plat").isNotNull(), F.struct(d.alias("km"), "name"))).alias("p"))
 
 
+# Tags of a file's metadata, in the order in which they count.
+DATE_TAGS = ("EXIF DateTimeOriginal", "EXIF DateTimeDigitized", "Image DateTime")
+WIDTH_TAGS, HEIGHT_TAGS = ("EXIF ExifImageWidth", "Image ImageWidth"), ("EXIF ExifImageLength", "Image ImageLength")
+
+
+def exif_record(tags) -> dict[str, Column]:
+    """Columns of a photo from a map of metadata tags to texts: dates, camera, exposure, size as shown, and place.
+
+    Reading tags from bytes is left to the reader of the files; a tag that is
+    not there or not in its form gives NULL.
+    """
+    t = S.col(tags)
+    first = lambda names: F.coalesce(*[t[n] for n in names])
+    width, height = first(WIDTH_TAGS).try_cast("int"), first(HEIGHT_TAGS).try_cast("int")
+    turned = t["Image Orientation"]
+    orientation = F.coalesce(turned.try_cast("int"), F.when(turned.rlike("90|270"), 6).otherwise(1))
+    shown = S.oriented(width, height, F.when(width.isNotNull() & height.isNotNull(), orientation).otherwise(1))
+
+    def degrees(name: str) -> Column:
+        parts = F.transform(F.split(F.regexp_replace(t[f"GPS {name}"], r"[\[\]\s]", ""), ","), S.rational)
+        return F.when(F.size(parts) == 3, S.dms_to_degrees(parts[0], parts[1], parts[2], F.coalesce(F.upper(F.trim(t[f"GPS {name}Ref"])), F.lit(""))))
+
+    return {
+        "date_taken": F.regexp_replace(first(DATE_TAGS), r"^([^:]*):([^:]*):", "$1-$2-"), "camera_make": F.trim(t["Image Make"]), "camera_model": F.trim(t["Image Model"]), "focal_length": t["EXIF FocalLength"],
+        "exposure_time": t["EXIF ExposureTime"], "f_number": t["EXIF FNumber"], "iso": t["EXIF ISOSpeedRatings"].try_cast("int"), "image_width": shown[0], "image_height": shown[1], "gps_lat": degrees("GPSLatitude"), "gps_lon": degrees("GPSLongitude"),
+    }
+
+
+def created_from_files(photos: DataFrame, files: DataFrame) -> DataFrame:
+    """id and date_created for photos without one, from the time at which the file at their path was changed.
+
+    `files` has filepath and modified (as `scan` gives it, by _metadata.file_modification_time); photos without a file are left out.
+    """
+    times = files.groupBy("filepath").agg(F.max("modified").alias("modified"))
+    return photos.where("date_created is null").select("id", "filepath").join(times, "filepath").select("id", F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("date_created"))
+
+
 def book_manifest(cells: DataFrame) -> DataFrame:
     """Each photo of a book once, in the order of its first place: book_id, photo_id, position."""
     first = cells.groupBy("book_id", "photo_id").agg(F.min("position").alias("first"))

@@ -2,13 +2,15 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lightshelf.functions import layout, replies
 from lightshelf.functions import scalar as S
 from lightshelf.functions import text as T
-from lightshelf.operators import facets, filters, people, ranking, similar, timeline, upkeep
-from lightshelf.plans import parse, search
+from lightshelf.operators import facets, filters, lineage, people, ranking, similar, timeline, upkeep
+from lightshelf.plans import parse, search, tools
 from lightshelf.sources import files
 from lightshelf.streaming import activity
 
@@ -245,3 +247,100 @@ def test_streaming_counts(spark):
     finally:
         q.stop()
     assert n == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_reply_scores(spark):
+    import json
+
+    full = {d: {p: k + 3 for k, p in enumerate(parts)} | {"critique": f"{d} {{x}}"} for d, parts in replies.PARTS.items()}
+    half = json.loads(json.dumps(full))
+    half["impact"]["wow"] = "N/A"
+    odd = json.loads(json.dumps(full)) | {"style": {"mood": " calm ", "color": ""}, "style_tags": ["Blue", "blue ", ""]}
+    odd["technical"]["sharpness"], odd["technical"]["exposure"] = "about 7.5", 99
+    rows = [(1, f"```json\n{json.dumps(full)}\n``` done }}"), (2, json.dumps(half)), (3, json.dumps(odd)), (4, None), (5, "no"), (6, '{"technical": {')]
+    got = {r.id: r.s for r in replies.scored_replies(spark.createDataFrame(rows, "id int, reply string"), "reply", "s").collect()}
+    assert [k for k, s in got.items() if s is None] == [2, 4, 5, 6]
+    assert got[1].dim_scores == {"technical": 4.5, "composition": 4.5, "impact": 4.0} and got[1].overall == 4.3 and got[1].critiques["impact"] == "impact {x}"
+    assert got[3].sub_scores["sharpness"] == 7.5 and got[3].sub_scores["exposure"] == 10.0 and got[3].style == {"mood": "calm"} and got[3].style_tags == ["blue"]
+
+
+def test_subject_boxes(spark):
+    rows = [
+        (1, '[{"bbox_2d": [0, 0, 50, 50], "label": "a"}, {"bbox_2d": [100, 200, 0, 0], "label": "b"}]'), (2, 'One: {"bbox": ["10", 20, 30.5, 40]} there'), (3, '{"bbox_2d": [-5, -5, 500, 500]}'), (4, '[{"bbox_2d": [5, 5, 5, 9]}, {"bbox_2d": [1, 2]}, 7]'),
+        (5, "nothing"), (6, None), (7, '{"bbox_2d": ["x", 1, 2, 3]}'),
+    ]
+    got = {r.id: [(b.label, b.bbox, b.area_frac) for b in r.b] for r in spark.createDataFrame(rows, "id int, reply string").select("id", replies.subject_boxes("reply", F.lit(100), F.lit(200)).alias("b")).collect()}
+    assert got[1] == [("b", [0.0, 0.0, 1.0, 1.0], 1.0), ("a", [0.0, 0.0, 0.5, 0.25], 0.125)]
+    assert got[2] == [(None, [0.1, 0.1, 0.305, 0.2], 0.0205)] and got[3][0][1] == [0.0, 0.0, 1.0, 1.0] and got[4] == got[5] == got[6] == got[7] == []
+
+
+def test_cells_do_not_overlap(spark):
+    for r in spark.range(0, 14).select("id", layout.cells("id", 24.0, 12.0).alias("c")).collect():
+        assert len(r.c) == max(1, r.id)
+        for i, a in enumerate(r.c):
+            assert a.x >= 0 and a.y >= 0 and a.x + a.w <= 24.0 + 1e-9 and a.y + a.h <= 12.0 + 1e-9
+            assert all(a.x + a.w <= b.x + 1e-9 or b.x + b.w <= a.x + 1e-9 or a.y + a.h <= b.y + 1e-9 or b.y + b.h <= a.y + 1e-9 for b in r.c[i + 1 :])
+
+
+def test_tools(spark):
+    photos = spark.createDataFrame([(1, "a", 5.0), (2, "b", 7.0), (3, "a", 9.0)], "id long, place string, score double")
+    held = tools.Tools()
+    kinds = {"limit": {"type": "integer", "minimum": 1, "maximum": 2, "default": 2}, "place": {"type": "string"}, "people": {"type": "array"}, "best": {"type": "boolean", "default": False}, "mode": {"type": "string", "enum": ["flat", "daily"]}}
+
+    def top(photos, limit, place=None, people=(), best=False, mode="flat"):
+        rows = photos if place is None else photos.where(F.col("place") == place)
+        return rows.orderBy(F.desc("score") if best else "id").limit(limit).withColumn("people", F.lit(",".join(people)))
+
+    held.register(tools.Operation("top", "best photos", kinds, top))
+    held.register(tools.Operation("clear", "drop all", {"id": {"type": "integer"}}, lambda photos, id: photos, required=("id",), writes=True))
+    assert [r.id for r in held.call("top", {"limit": "99", "best": "yes", "other": 1}, photos=photos).collect()] == [3, 2]
+    got = held.call("top", {"place": "b", "people": "Ann"}, {"place": "a", "people": ["Ann", "Ben"], "per_day": 3}, photos=photos).collect()
+    assert [(r.id, r.people) for r in got] == [(1, "Ann,Ben"), (3, "Ann,Ben")]
+    assert list(held.schemas()) == ["top"] and list(held.schemas(writes=True)) == ["top", "clear"] and held.schemas()["top"]["properties"] == kinds
+    for bad in (("none", {}), ("clear", {}), ("top", {"mode": "x"})):
+        with pytest.raises(ValueError):
+            held.call(*bad, photos=photos)
+    with pytest.raises(ValueError):
+        held.register(tools.Operation("top", "", {}, top))
+
+
+def test_ranks_of_ranges(spark):
+    df = spark.range(500).select("id", F.when(F.col("id") % 9 != 0, (F.col("id") * 7919 % 101).cast("double")).alias("v")).repartition(7)
+    order = [F.col("v").desc_nulls_last(), F.col("id")]
+    got = {r.id: r["rank"] for r in ranking.ranked(df, order).collect()}
+    assert got == {r.id: i for i, r in enumerate(df.orderBy(*order).collect())}
+    assert ranking.ranked(df.where("false"), order).count() == 0
+
+
+def test_average_linkage_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for n, k in ((1, 1), (12, 3), (40, 7), (30, 12)):
+        v = rng.normal(size=(n, 3))
+        groups = [[i] for i in range(n)]
+        while len(groups) > k:
+            _, a, b = min((np.mean([np.linalg.norm(v[p] - v[q]) for p in x for q in y]), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
+            groups[a] += groups.pop(b)
+        got = similar.average_linkage(v, k)
+        assert {frozenset(np.flatnonzero(got == c).tolist()) for c in set(got.tolist())} == {frozenset(g) for g in groups}
+
+
+def test_references_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    refs = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)], "person_id long, ref array<double>")
+    few = {r.vec_id: r.person_id for r in similar.nearest_reference(rows, refs, 9.0).collect()}
+    monkeypatch.setattr(similar, "BROADCAST_BYTES", 0)
+    assert few == {r.vec_id: r.person_id for r in similar.nearest_reference(rows, refs, 9.0).collect()} and len(few) == 60
+
+
+def test_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(Session())
