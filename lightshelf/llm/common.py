@@ -26,12 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    return (held or tempfile.mkdtemp(prefix="lightshelf-")).rstrip("/")
+    """The folder that all executors share, as spark.checkpoint.dir names it.
+
+    Where the session names none, a temporary one in local mode (tests), and an error on a cluster.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lightshelf-")
+    return folder.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -11,8 +11,12 @@ where the vocabulary allows), cumulative segment lengths as attention kernels
 take them, the places where positions start again at 0, and for each segment
 the document, the piece's number and its place in the document's ids.
 
+Which documents share a sequence follows from the tasks' splits of the input;
+the ids of each document do not.
+
 Defined results: null and empty texts are documents of the end id alone; each
-input row is packed once; an empty table gives no sequences.
+input row is packed once, repeated ones and those with a null id as well; an
+empty table gives no sequences.  An id beyond the stated vocabulary is an error.
 """
 
 from __future__ import annotations
@@ -137,6 +141,8 @@ def matrices(docs: DataFrame, path: str, ranks: str | None = None, capacity: int
         shard = Shard(capacity, end_id, pad_id, kind)
         for batch in slices(batches, "text", 8 << 20):
             ids, offsets = encode_texts(plain_strings(batch.column("text")), path, ranks)
+            if len(ids) and int(ids.max()) >= vocabulary:
+                raise ValueError(f"id {int(ids.max())} is beyond a vocabulary of {vocabulary}")
             shard.add(batch.column("doc_id").to_pylist(), ids, offsets)
             if shard.tokens >= SHARD_TOKENS:
                 for out in shard.packed(number):

@@ -103,12 +103,53 @@ class Vocabulary:
         return got
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a message in the models' file format."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(raw):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if key & 7 == 2 else 8 if key & 7 == 1 else 4
+        yield key >> 3, raw[at : at + size]
+        at += size
+
+
+# Fixed values of the format: the field of the training settings, that of the model's kind in it, and the kinds read here.
+SETTINGS, KIND, KINDS = 2, 3, {1: "unigram", 2: "bpe"}
+
+
+def model_kind(raw: bytes) -> str:
+    """The kind of a model as its file says."""
+    settings = b"".join(v for k, v in _fields(raw) if k == SETTINGS)
+    number = next((v for k, v in _fields(settings) if k == KIND), 1)
+    if number not in KINDS:
+        raise ValueError(f"a model of kind {number} is neither unigram nor bpe")
+    return KINDS[number]
+
+
 @functools.lru_cache(maxsize=2)
-def vocabulary(path: str, kind: str) -> Vocabulary:
+def vocabulary(path: str, kind: str | None = None) -> Vocabulary:
+    """Pieces of a model file; its kind is read from it if none is given."""
     import sentencepiece
 
     with open(path, "rb") as f:
-        model = sentencepiece.SentencePieceProcessor(model_proto=f.read())
+        raw = f.read()
+    kind = kind or model_kind(raw)
+    model = sentencepiece.SentencePieceProcessor(model_proto=raw)
     pieces, bytes_ = [], {}
     for i in range(model.get_piece_size()):
         text = model.id_to_piece(i)
@@ -206,7 +247,7 @@ def decode(ids: list[int], v: Vocabulary) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
+def encode(docs: DataFrame, path: str, kind: str | None = None) -> DataFrame:
     """doc_id, n_ids, ids (array<int>) and round_trip (whether the ids decode to the text) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +274,7 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_ids bigint, ids array<int>, round_trip boolean")
 
 
-def decoded(rows: DataFrame, path: str, kind: str = "bpe", ids: str = "ids") -> DataFrame:
+def decoded(rows: DataFrame, path: str, kind: str | None = None, ids: str = "ids") -> DataFrame:
     """`rows` with a column `decoded`: the text of each row's ids (null for null)."""
 
     @F.pandas_udf("string")

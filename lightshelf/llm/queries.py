@@ -48,7 +48,7 @@ def op9_id_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"), kind="bpe")
+    return pieces.encode(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
 #: DuckDB forms of the operators that SQL can express; the others are held against brute force in tests/llm.

@@ -659,3 +659,93 @@ def test_pipeline(spark):
     _, roots = brute_components(texts)
     assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == sorted({ids[k] for k in roots})
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+# --- rows of every kind, operator by operator ---
+
+
+def odd_documents(spark):
+    """Documents with nulls, repeated rows and ids, ties, a very long text, and columns that operators use themselves."""
+    docs = documents(spark, ODD + ["the cat and the dog", "the cat and the dog"])
+    docs = docs.unionByName(docs.where("doc_id in (4, 8)")).unionByName(docs.where("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long")))
+    names = ["_lang", "_sure", "_rate", "_toxic", "_text", "_full0", "score", "predicted", "held_out", "batch", "part", "bucket_", "length", "raw"]
+    return docs.drop("score").select("*", *[F.lit("clash").alias(c) for c in names])
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns, name
+        rows = kept.collect()
+        assert all(r["_rate"] == r["_toxic"] == r["score"] == r["_lang"] == "clash" for r in rows), name
+        assert stage(spark, docs.where("false"), SF).count() == 0, name
+    one = corpus_pipeline.one_of_each_group(spark, docs, SF)
+    assert sorted(r.doc_id for r in one.where("doc_id is not null").collect()) == [i for i in range(len(ODD) + 2) if i not in (9, len(ODD) + 1)] and one.where("doc_id is null").count() == 1
+    packed = corpus_pipeline.packed(spark, docs, SF)
+    assert packed.groupBy("doc_id").count().where("doc_id = 8").first()[1] == 2 and packed.where("doc_id is null").count() == 1
+    assert corpus_pipeline.packed(spark, docs.where("false"), SF).count() == 0
+
+
+def test_language_stage_against_single_predictions(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs, ~langid.held_out())
+    guess = {r.doc_id: langid.predict_one(r.text, model) for r in docs.collect()}
+    want = sorted(d for d, (lang, score) in guess.items() if lang != "und" and score >= corpus_pipeline.LEAST_LANGUAGE_SCORE)
+    assert sorted(r.doc_id for r in corpus_pipeline.known_language(spark, docs, SF).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["matroska", "langid", "tokens", "toxicity", "ids", "pieces"])
+def test_operators_on_odd_rows(spark, name):
+    docs = odd_documents(spark)
+    run = {
+        "matroska": matroska.text_media, "langid": langid.identify, "tokens": lambda d: token_counts.count_tokens(d, JSON), "pieces": lambda d: pieces.encode(d, MODEL),
+        "toxicity": lambda d: toxicity.rate_documents(d, spark.read.parquet(f"{SF}/labels.parquet")), "ids": lambda d: id_matrices.matrices(d, JSON, RANKS).select(F.explode("doc_ids").alias("doc_id")),
+    }[name]
+    rows = run(docs).select("doc_id").collect()
+    wide = 1 if name != "ids" else None
+    got = sorted((-1 if r.doc_id is None else r.doc_id) for r in rows)
+    want = sorted((-1 if r.doc_id is None else r.doc_id) for r in docs.select("doc_id").collect())
+    assert got == want if wide else set(got) == set(want)
+    assert run(docs.where("false")).count() == 0
+
+
+def test_ids_beyond_the_vocabulary(spark):
+    with pytest.raises(Exception, match="beyond a vocabulary"):
+        id_matrices.matrices(documents(spark, ["some words"]), JSON, RANKS, vocabulary=10).collect()
+
+
+def test_matroska_bytes_written_by_hand():
+    """A file put together byte by byte: EBML head, a segment and a cluster of unknown size, a two-frame EBML lacing and a plain block."""
+    head = bytes.fromhex("1a45dfa3" "8b" "4286" "81" "01" "4282" "84" "7765626d")
+    info = bytes.fromhex("1549a966" "87" "2ad7b1" "83" "0f4240")
+    tracks = bytes.fromhex("1654ae6b" "8e" "ae" "8c" "d7" "81" "05" "83" "81" "02" "86" "84" "415f5043")
+    laced = bytes.fromhex("a3" "8a" "85" "0003" "86" "01" "82") + b"aabbb"
+    plain = bytes.fromhex("a3" "86" "85" "fffe" "80") + b"zz"
+    cluster = bytes.fromhex("1f43b675" "01ffffffffffffff" "e7" "81" "0a") + laced[:1] + bytes([0x80 | (len(laced) - 2)]) + laced[2:] + plain
+    file = head + bytes.fromhex("18538067" "01ffffffffffffff") + info + tracks + cluster
+    got = matroska.parse(file)
+    assert got["error"] is None
+    assert [(p[0], p[1], file[p[2] : p[2] + p[3]]) for p in got["packets"]] == [(5, 13_000_000, b"aa"), (5, 13_000_000, b"bbb"), (5, 8_000_000, b"zz")]
+
+
+def test_kind_of_the_model_file():
+    with open(MODEL, "rb") as f:
+        raw = f.read()
+    assert pieces.model_kind(raw) == "bpe" and pieces.vocabulary(MODEL).kind == "bpe"
+    assert pieces.model_kind(b"\x12\x02\x18\x01") == pieces.model_kind(b"") == "unigram"
+    with pytest.raises(ValueError):
+        pieces.model_kind(b"\x12\x02\x18\x03")
+
+
+def test_pieces_of_one_long_word(spark):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    text = "".join(random.Random(1).choice("abcde") for _ in range(20_000))
+    out = pieces.encode(documents(spark, [text, text, "aaaa " * 3000]), MODEL).orderBy("doc_id").collect()
+    assert out[0].ids == out[1].ids == lib.encode(text) and out[2].ids == lib.encode("aaaa " * 3000)
