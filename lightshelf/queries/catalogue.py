@@ -322,4 +322,7 @@ scalar("t13_recency", lambda: F.round(S.recency(F.when(F.col("id") % 4 > 0, (F.c
 scalar("n12_folder_backfill", lambda: S.folder_of("filepath"), "folder")
 scalar("n27_text_validity", lambda: T.is_description("description"), "len(list_filter(regexp_split_to_array(trim(description), '\\s+'), lambda w: w <> '')) >= 4 AND (NOT regexp_matches(description, '-?\\d+\\.\\d{3,}') OR len(list_filter(regexp_split_to_array(trim(regexp_replace(description, '-?\\d+\\.\\d+', ' ', 'g')), '\\s+'), lambda w: regexp_matches(w, '[A-Za-z]'))) >= 6)", "texts")
 scalar("n35_controlled_list", lambda: F.concat_ws(",", T.controlled_list(F.concat("camera_model", F.lit(", VIEW., click,junk,"), "camera_model"), ["view", "click", "error"])), "CASE camera_model WHEN 'view' THEN 'view,click' WHEN 'click' THEN 'click,view' WHEN 'error' THEN 'error,view,click' ELSE 'view,click' END")
-REGISTRY.add("n26_degenerate_text")(lambda spark, sf: library(spark, sf, "texts").select("id", T.is_degenerate("description").alias("v")))
+_WORDS = "list_filter(regexp_split_to_array(trim(lower(description)), '\\s+'), lambda w: w <> '')"
+_RUNS = "list_max(map_values(list_aggregate(list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' ')), 'histogram')))"
+_N26 = f"SELECT id, coalesce(len(w) > 350 OR (len(w) > 60 AND len(list_distinct(w)) / CAST(len(w) AS DOUBLE) < 0.45) OR (len(w) BETWEEN 6 AND 350 AND {_RUNS} >= 3) OR (length(t) - length(replace(t, '...', ''))) / CAST(3 AS DOUBLE) > 8, FALSE) AS v FROM (SELECT id, description AS t, {_WORDS} AS w FROM texts)"
+REGISTRY.add("n26_degenerate_text", with_library("texts") + _N26)(lambda spark, sf: library(spark, sf, "texts").select("id", T.is_degenerate("description").alias("v")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lightshelf.functions import text as T
 from lightshelf.operators import ranking
 from lightshelf.plans import search
-from lightshelf.queries import Registry
+from lightshelf.queries import Registry, timeline
 from lightshelf.sources.library import library, table, with_library
 
 REGISTRY = Registry()
@@ -90,11 +90,14 @@ def r09(spark, sf):
 def r02(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     q = list(e.where("id = 1").first().embedding)
-    docs = texts(spark, sf).join(e, "id")
+    docs = texts(spark, sf).join(e, "id", "left")
     return search.semantic(docs, "thtion", q, 50).select("id", F.round("semantic_score", 6).alias("score"), F.round("clip", 6).alias("clip"))
 
 
-@add("r01_hybrid_search")
+_SEEN = "CASE WHEN substr(date_taken, 1, 4) > '0000' THEN date_taken END"
+
+
+@add("r01_hybrid_search", P + f"SELECT id, date_taken, camera_model, locality FROM (SELECT *, {_SEEN} AS v, row_number() OVER (PARTITION BY coalesce(nullif(file_hash, ''), concat('id:', id)) ORDER BY {_SEEN} DESC NULLS LAST, id) AS rn FROM photos WHERE camera_model = 'view' AND (contains(lower(place_name), 'town2') OR lower(locality) = 'town2') AND {_SEEN} IS NOT NULL AND substr(date_taken, 1, 10) BETWEEN '2024-01-01' AND '2024-01-31') WHERE rn = 1 ORDER BY v DESC, id LIMIT 40")
 def r01(spark, sf):
     p = library(spark, sf, "photos").withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("description", F.concat_ws(" ", "camera_model", "locality", "admin1"))
     spec = search.parsed(search.SearchSpec(query="view in town2 january 2024", sort="date_desc", limit=40, today=dt.date(2024, 2, 1)))
@@ -120,13 +123,11 @@ _MODES = {"flat": "o01_sort_quality", "daily": "t03_daily_highlights", "per_buck
 
 def dispatch(spark, sf, mode="flat"):
     """The query of a browsing mode."""
-    from lightshelf.queries import timeline
-
     if mode not in _MODES:
         raise ValueError(f"unknown mode: {mode}")
     return timeline.REGISTRY.queries[_MODES[mode]](spark, sf)
 
 
-@add("r12_dispatch_chapters")
+@add("r12_dispatch_chapters", timeline.REGISTRY.sql["t01_chapters"])
 def r12(spark, sf):
     return dispatch(spark, sf, "chapters")

@@ -77,13 +77,16 @@ def g01(spark, sf):
     return similar.connected(similar.radius_pairs(vectors(spark, sf), 1.10)).select("node", "component")
 
 
-@add("v04_dbscan", E.replace("WITH", "WITH RECURSIVE").rstrip() + ", " + _EDGES.format(r=1.15) + ", core AS (SELECT a FROM e GROUP BY a HAVING count(*) + 1 >= 5), ce AS (SELECT a, b FROM e WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)), r AS (SELECT a AS node, a AS seen FROM core UNION SELECT r.node, ce.b FROM r JOIN ce ON ce.a = r.seen), cc AS (SELECT node, min(seen) AS cluster FROM r GROUP BY 1), bb AS (SELECT e.a AS node, min(cluster) AS cluster FROM e JOIN cc ON cc.node = e.b WHERE e.a NOT IN (SELECT a FROM core) GROUP BY 1) SELECT v.vec_id AS id, coalesce(cc.cluster, bb.cluster) AS cluster FROM v LEFT JOIN cc ON cc.node = v.vec_id LEFT JOIN bb ON bb.node = v.vec_id")
+_V04 = E.replace("WITH", "WITH RECURSIVE").rstrip() + ", " + _EDGES.format(r=1.15) + ", core AS (SELECT a FROM e GROUP BY a HAVING count(*) + 1 >= 5), ce AS (SELECT a, b FROM e WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)), r AS (SELECT a AS node, a AS seen FROM core UNION SELECT r.node, ce.b FROM r JOIN ce ON ce.a = r.seen), cc AS (SELECT node, min(seen) AS cluster FROM r GROUP BY 1), bb AS (SELECT e.a AS node, min(cluster) AS cluster FROM e JOIN cc ON cc.node = e.b WHERE e.a NOT IN (SELECT a FROM core) GROUP BY 1) SELECT v.vec_id AS id, coalesce(cc.cluster, bb.cluster) AS cluster FROM v LEFT JOIN cc ON cc.node = v.vec_id LEFT JOIN bb ON bb.node = v.vec_id"
+
+
+@add("v04_dbscan", _V04)
 def v04(spark, sf):
     p = vectors(spark, sf)
     return similar.dbscan(p, similar.radius_pairs(p, 1.15), 5).select("id", "cluster")
 
 
-@add("v05_cluster_split")
+@add("v05_cluster_split", _V04.replace("<= 1.15", "<= 1.2").replace("+ 1 >= 5", "+ 1 >= 2").replace("FROM embeddings)", "FROM embeddings WHERE label = 3)"))
 def v05(spark, sf):
     p = vectors(spark, sf).where("label = 3")
     return similar.dbscan(p, similar.radius_pairs(p, 1.2), 2).select("id", "cluster")

@@ -132,27 +132,25 @@ def u05(spark, sf):
     return photos(spark, sf).where(F.arrays_overlap(F.array("camera_model", "locality"), F.array(F.lit("view"), F.lit("town2")))).select("id")
 
 
-def _nms(partition, window, most, same="FALSE"):
-    """Recursive SQL of greedy suppression: rows best first, each against those kept before."""
-    return f"""
-    WITH RECURSIVE r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {partition} ORDER BY score DESC NULLS LAST, id) AS rn FROM c),
-    k AS (SELECT {partition} AS g, rn, [taken_ts] AS kept, [coalesce(CAST({same} AS VARCHAR), concat('#', id))] AS keys, [id] AS ids FROM r WHERE rn = 1
-      UNION ALL
-      SELECT k.g, r.rn, CASE WHEN ok THEN list_append(kept, taken_ts) ELSE kept END, CASE WHEN ok THEN list_append(keys, kk) ELSE keys END, CASE WHEN ok THEN list_append(ids, id) ELSE ids END
-      FROM (SELECT k.*, r2.taken_ts, r2.id, coalesce(CAST({same} AS VARCHAR), concat('#', r2.id)) AS kk, len(k.ids) < {most} AND NOT list_contains(k.keys, coalesce(CAST({same} AS VARCHAR), concat('#', r2.id))) AND len(list_filter(k.kept, lambda x: abs(epoch_us(x) - epoch_us(r2.taken_ts)) < {window} * 1000000)) = 0 AS ok FROM k JOIN r r2 ON r2.{partition} = k.g AND r2.rn = k.rn + 1) k JOIN r ON r.id = k.id)
-    SELECT g AS {partition}, unnest(ids) AS id FROM (SELECT g, arg_max(ids, rn) AS ids FROM k GROUP BY g)"""
-
-
-@add("t03_daily_highlights")
+def _greedy(group, window, most, key):
+    """SQL of greedy suppression in each `g`: rows best first, each against those kept before, until `most` are kept."""
+    return f"""WITH RECURSIVE {P.removeprefix('WITH ').rstrip()}, r AS MATERIALIZED (SELECT {group} AS g, id, taken_ts, score, epoch_us(taken_ts) AS t, CAST(nullif(CAST({key} AS VARCHAR), '') AS VARCHAR) AS key, row_number() OVER (PARTITION BY {group} ORDER BY score DESC NULLS LAST, id) AS rn FROM photos),
+    k AS (SELECT g, rn, [id] AS ids, [t] AS times, [coalesce(key, '#')] AS keys FROM r WHERE rn = 1
+      UNION ALL SELECT g, rn, CASE WHEN ok THEN list_append(ids, id) ELSE ids END, CASE WHEN ok THEN list_append(times, t) ELSE times END, CASE WHEN ok THEN list_append(keys, coalesce(key, '#')) ELSE keys END
+      FROM (SELECT r.*, k.ids, k.times, k.keys, (r.key IS NULL OR NOT list_contains(k.keys, r.key)) AND len(list_filter(k.times, lambda x: abs(x - r.t) < {window}000000)) = 0 AS ok FROM k JOIN r ON r.g = k.g AND r.rn = k.rn + 1 WHERE len(k.ids) < {most})),
+    f AS (SELECT g, unnest(ids) AS id FROM (SELECT g, arg_max(ids, rn) AS ids FROM k GROUP BY g))"""
+
+
+@add("t03_daily_highlights", _greedy("day", 600, 20, "stack_id") + " SELECT r.g AS day, r.id, r.taken_ts, r.score FROM f JOIN r USING (id)")
 def t03(spark, sf):
     held = photos(spark, sf).select("id", "day", "taken_ts", "score", "stack_id")
-    return ranking.keep_best_apart(held, ["day"], 600.0, 20, same=["stack_id"]).select("day", "id", "taken_ts", "score").orderBy("taken_ts", "id")
+    return ranking.best_apart(held, ["day"], 600.0, 20, same=["stack_id"]).select("day", "id", "taken_ts", "score").orderBy("taken_ts", "id")
 
 
-@add("t04_ranked_near_duplicates")
+@add("t04_ranked_near_duplicates", _greedy("substr(day, 1, 7)", 45, 10, "file_hash") + " SELECT g AS bucket, id FROM f")
 def t04(spark, sf):
-    near = ranking.top_per_group(photos(spark, sf).select("id", F.substring("day", 1, 7).alias("bucket"), "taken_ts", "score", "file_hash"), ["bucket"], best_first(), 60).drop("rn")
-    return ranking.keep_best_apart(near, ["bucket"], 45.0, 10, same=["file_hash"]).select("bucket", "id")
+    held = photos(spark, sf).select("id", F.substring("day", 1, 7).alias("bucket"), "taken_ts", "score", "file_hash")
+    return ranking.best_apart(held, ["bucket"], 45.0, 10, same=["file_hash"]).select("bucket", "id")
 
 
 _CHAP = "SELECT *, CAST(sum(new) OVER (PARTITION BY {by} ORDER BY taken_ts, id) AS BIGINT) AS chapter FROM (SELECT *, CASE WHEN coalesce({gap} <= {us}, FALSE) AND NOT coalesce(lag(place_name) OVER (PARTITION BY {by} ORDER BY taken_ts, id) <> place_name, FALSE) THEN 0 ELSE 1 END AS new FROM photos)"
@@ -190,9 +188,21 @@ def j10(spark, sf):
     return timeline.flanked(photos(spark, sf), ["user_id"], 360.0).select("id", F.col("_l").isNotNull().alias("has_left"), F.col("_r").isNotNull().alias("has_right"))
 
 
-@add("t08_infer_locations_cascade")
+_KM = "2 * 6371.0 * asin(sqrt(pow(sin(radians(n_lat - l_lat) / 2), 2) + cos(radians(l_lat)) * cos(radians(n_lat)) * pow(sin(radians(n_lon - l_lon) / 2), 2)))"
+_FOLD = f"""WITH RECURSIVE {P.removeprefix('WITH ').rstrip()}, o AS MATERIALIZED (SELECT user_id, id, epoch_us(taken_ts) / CAST(1000000 AS DOUBLE) AS t, gps_lat AS lat, gps_lon AS lon, gps_lat IS NOT NULL AND gps_lon IS NOT NULL AS ok, row_number() OVER u AS rn FROM photos WINDOW u AS (PARTITION BY user_id ORDER BY taken_ts, id)),
+ r AS MATERIALIZED (SELECT *, first_value(CASE WHEN ok THEN [t, lat, lon] END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM o),
+ k AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, CAST(NULL AS DOUBLE) AS l_t, CAST(NULL AS DOUBLE) AS l_lat, CAST(NULL AS DOUBLE) AS l_lon, CAST(1 AS DOUBLE) AS l_c, 0 AS l_hop, FALSE AS made FROM (SELECT DISTINCT user_id FROM r)
+  UNION ALL SELECT user_id, rn, id, CASE WHEN ok OR good THEN t ELSE l_t END, CASE WHEN ok THEN lat WHEN good THEN s_lat ELSE l_lat END, CASE WHEN ok THEN lon WHEN good THEN s_lon ELSE l_lon END, CASE WHEN ok THEN 1 WHEN good THEN c ELSE l_c END, CASE WHEN ok THEN 0 WHEN good THEN s_hop + 1 ELSE l_hop END, NOT ok AND good
+  FROM (SELECT *, (has_l OR has_n) AND c > 0 AND (NOT (has_l AND has_n) OR {_KM} <= 25) AS good
+   FROM (SELECT *, CASE WHEN left_ THEN l_lat ELSE n_lat END AS s_lat, CASE WHEN left_ THEN l_lon ELSE n_lon END AS s_lon, CASE WHEN left_ THEN l_hop ELSE 0 END AS s_hop, greatest(0, 1 - CASE WHEN left_ THEN t - l_t ELSE n_t - t END / 21600) * CASE WHEN has_l AND has_n THEN 1.0 ELSE 0.7 END * CASE WHEN left_ THEN l_c ELSE 1 END AS c
+    FROM (SELECT *, has_l AND (NOT has_n OR t - l_t <= n_t - t) AS left_ FROM (SELECT r.*, k.l_t, k.l_lat, k.l_lon, k.l_c, k.l_hop, r.nxt[1] AS n_t, r.nxt[2] AS n_lat, r.nxt[3] AS n_lon, coalesce(r.t - k.l_t <= 21600, FALSE) AS has_l, coalesce(r.nxt[1] - r.t <= 21600, FALSE) AS has_n FROM k JOIN r ON r.user_id = k.user_id AND r.rn = k.rn + 1)))))
+ SELECT id, round(l_lat, 6) AS lat, round(l_lon, 6) AS lon, round(l_c, 6) AS confidence, l_hop AS hop FROM k WHERE made"""
+
+
+@add("t08_infer_locations_cascade", _FOLD)
 def t08(spark, sf):
-    return timeline.infer_locations_cascade(photos(spark, sf), ["user_id"], 360.0)
+    found = timeline.infer_locations_cascade(photos(spark, sf), ["user_id"], 360.0)
+    return found.select("id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("confidence", 6).alias("confidence"), "hop")
 
 
 @add("a24_confidence_buckets", P.rstrip() + ", " + _FLANK.split(" SELECT id, CAST(s[4]")[0] + " SELECT CASE WHEN c >= 0.8 THEN 'high' WHEN c >= 0.5 THEN 'medium' WHEN c >= 0.2 THEN 'low' ELSE 'very_low' END AS bucket, count(*) AS n FROM (SELECT greatest(0, 1 - gap / CAST(21600000000 AS DOUBLE)) * CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN 1.0 ELSE 0.7 END AS c FROM i WHERE s IS NOT NULL AND drift <= 25) WHERE c > 0.2 GROUP BY 1")
