@@ -138,9 +138,10 @@ def best_apart(df: DataFrame, by: list[str], seconds: float, n: int, score: str
         kept = keep_best_apart(near, by, seconds, n, score, ts, same).checkpoint()
         full = kept.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select(*by)
         short = todo.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*by).join(full, by, "left_anti").checkpoint()
-        sure = kept.join(F.broadcast(short), by, "left_anti") if short.count() <= 100_000 else kept.join(short, by, "left_anti")
+        left = short.count()
+        sure = kept if not left else kept.join(F.broadcast(short) if left <= 100_000 else short, by, "left_anti")
         done = sure if done is None else done.unionByName(sure)
-        if short.isEmpty():
+        if not left:
             return done
         todo, most = todo.join(short, by, "left_semi"), 8 * most
 

@@ -1,6 +1,7 @@
 """Operators on small tables with known answers."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -344,3 +345,57 @@ def test_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         lineage.shared_folder(Session())
+
+
+def test_chain_of_centres(spark):
+    rows = [(0, i, 10 - k, [x, 0.0]) for k, (i, x) in enumerate([(5, 0.0), (3, 9.0), (8, 1.0), (1, 4.0), (2, -1.5)])]
+    df = spark.createDataFrame(rows, "scope int, id long, n int, centroid array<double>")
+    got = similar.similarity_chain(df, ["scope"]).orderBy("place").collect()
+    assert [r.id for r in got] == [5, 8, 2, 1, 3]  # from the largest group always the nearest that is left
+    few = similar.similarity_chain(df, ["scope"], most=4).orderBy("place").collect()
+    assert [r.id for r in few] == [5, 3, 8, 1, 2]  # by size
+
+
+def test_running_centroids():
+    import pandas as pd
+
+    rows = pd.DataFrame({"id": [4, 1, 2, 3, 5], "embedding": [[1.1], [0.0], [0.5], [3.0], [0.9]]})
+    got = similar.running_centroids(rows, 0.6)
+    # 0 and 0.5 meet at 0.25, 1.1 is too far from there, 0.9 is nearer to 1.1 than to 0.25
+    assert got.set_index("id").cluster.to_dict() == {1: 0, 2: 0, 3: 1, 4: 2, 5: 2}
+
+
+def test_scenes_of_a_capped_book(spark):
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [(1, "a", 10, at(1)), (1, "a", 5, at(2)), (1, "a", 1, at(3)), (1, "b", 4, at(4)), (1, "b", 2, at(5)), (2, "a", 1, at(1))]
+    df = spark.createDataFrame(rows, "user_id int, day string, n int, first_ts timestamp")
+    got = sorted((r.user_id, r.place, r.day, r.n) for r in timeline.capped_scenes(df, ["user_id"], 3).collect())
+    assert got == [(1, 1, "a", 10), (1, 2, "a", 5), (1, 3, "b", 4), (2, 1, "a", 1)]
+    one = timeline.capped_scenes(df.where("user_id = 1"), ["user_id"], 1).collect()
+    assert sorted((r.day, r.n) for r in one) == [("a", 10), ("b", 4)]  # a day keeps at least one
+
+
+def test_best_apart_goes_on(spark):
+    """The best rows all fall to the first one: rows far down the order must still be found."""
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, "x", base + dt.timedelta(seconds=i % 7), 1000.0 - i) for i in range(200)] + [(200 + k, "x", base + dt.timedelta(hours=k + 1), 1.0) for k in range(3)] + [(300, "y", None, None)]
+    df = spark.createDataFrame(rows, "id long, g string, taken_ts timestamp, score double")
+    got = {(r.g, r.id) for r in ranking.best_apart(df, ["g"], 60.0, 2).collect()}
+    assert got == {(r.g, r.id) for r in ranking.keep_best_apart(df, ["g"], 60.0, 2).collect()} == {("x", 0), ("x", 200), ("y", 300)}
+
+
+def test_culling_of_scopes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, i + 1000 * s, float(rng.uniform(1, 10)), (rng.normal(size=3) + 9 * (i % 5)).tolist()) for s in (0, 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "scope int, id long, score double, embedding array<double>")
+    out = similar.select_best(df, ["scope"], 0.2).toPandas()
+    for s in (0, 1):
+        part = out[(out.id >= 1000 * s) & (out.id < 1000 * s + 1000)]
+        n, target = len(part), math.floor(len(part) * 0.2)
+        assert n == 60 and target <= part.selected.sum() <= max(target + 2, math.floor(1.5 * target))
+        for _, c in part.groupby("cluster"):
+            order = c.sort_values(["score", "id"], ascending=[False, True])
+            assert order.rank_in_cluster.tolist() == list(range(1, len(c) + 1))
+            assert c.selected.sum() <= max(1, min(4, 1 + len(c) // 8))
+        best = part[part.rank_in_cluster == 1]
+        assert best[best.score >= 4.0].selected.mean() >= 0.5
