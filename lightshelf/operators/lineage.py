@@ -1,23 +1,31 @@
-"""Where lineage is cut: the folder that all executors share."""
+"""Where lineage is cut: tables written to the folder that all executors share."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+@functools.lru_cache(maxsize=8)
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="lightshelf-")
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; without it a temporary one in local mode, and an error on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
-        return folder
+        return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="lightshelf-")
+    return _own_folder(spark.sparkContext.applicationId)
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """Sets the checkpoint folder if there is none."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+def written(df: DataFrame) -> DataFrame:
+    """`df` written once and read back: later uses reread it, and lost executors cost nothing that was done."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightshelf.functions import scalar as S
-from lightshelf.operators.lineage import checkpoints
+from lightshelf.operators.lineage import written
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:
@@ -55,9 +55,8 @@ def ranked(df: DataFrame, order: list[Column], id_col: str = "id", rank: str = "
     as they are; rows count within their range, and the sizes of the ranges
     before, a number for each, are added.
     """
-    checkpoints(df.sparkSession)
     # ids of sorted ranges: the range in the upper bits, the place within it in the lower 33
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).select(id_col, F.monotonically_increasing_id().alias("_at")).checkpoint()
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).select(id_col, F.monotonically_increasing_id().alias("_at")))
     placed = rows.select(id_col, F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
     sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
@@ -131,13 +130,12 @@ def best_apart(df: DataFrame, by: list[str], seconds: float, n: int, score: str
     The best few of each group are tried first; groups in which too many of
     them fell get eight times as many, until they have `n` or have no more.
     """
-    checkpoints(df.sparkSession)
     most, todo, done = 6 * n, df, None
     while True:
         near = top_per_group(todo, by, [F.col(score).desc_nulls_last(), F.col("id")], most, "_rn").drop("_rn")
-        kept = keep_best_apart(near, by, seconds, n, score, ts, same).checkpoint()
+        kept = written(keep_best_apart(near, by, seconds, n, score, ts, same))
         full = kept.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select(*by)
-        short = todo.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*by).join(full, by, "left_anti").checkpoint()
+        short = written(todo.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*by).join(full, by, "left_anti"))
         left = short.count()
         sure = kept if not left else kept.join(F.broadcast(short) if left <= 100_000 else short, by, "left_anti")
         done = sure if done is None else done.unionByName(sure)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lightshelf.functions import vectors as V
-from lightshelf.operators.lineage import checkpoints
+from lightshelf.operators.lineage import written
 
 #: Bytes up to which a side of query vectors is broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -48,60 +48,74 @@ def blocked(rows: DataFrame, references: DataFrame) -> DataFrame:
 
 
 RADIUS_TILE = 1024
-GROUP_NUMBERS = 1 << 21
+#: Numbers in the vectors of a group, and groups in a strip at most: a task holds two strips.
+GROUP_NUMBERS, SIDE = 1 << 20, 8
 
 
 def radius_pairs(df: DataFrame, radius: float, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """Pairs (a < b) of rows within L2 `radius`, by blocked matrix products; near ones are computed again exactly.
 
-    Groups of rows are packed and each pair of groups is one task.
+    Groups of rows are packed, groups form strips, and each pair of strips is
+    one task, so that a group is sent once for each strip.
     """
     spark = df.sparkSession
-    numbers = df.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()[0]
+    there = df.where(F.col(vector).isNotNull())
+    numbers = there.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()[0]
     n_groups = max(4, -(-numbers // GROUP_NUMBERS))
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n_groups)).cast("int").alias("g"))
-    packed = rows.groupBy("g").agg(F.collect_list(F.struct("id", "v")).alias("rows"))  # of bounded size
-    sent = packed.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).select("rows", "g", F.least("g", "p").alias("low"), F.greatest("g", "p").alias("high"))
-
-    def compare(key: tuple, pair: pd.DataFrame) -> pd.DataFrame:
-        held = []
-        for r in pair.sort_values("g").itertuples():
-            held.append((np.array([x["id"] for x in r.rows], np.int64), np.array([x["v"] for x in r.rows], float)))
-        if key[0] == key[1]:
-            held = [held[0], held[0]]
-        out = []
-        if len(held) == 2:
-            (ai, a), (bi, b) = held
-            for i in range(0, len(a), RADIUS_TILE):
-                x = a[i : i + RADIUS_TILE]
-                square = (x * x).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * x @ b.T
-                p, q = np.nonzero(square <= radius * radius + 1e-9)
-                exact = np.sqrt(((x[p] - b[q]) ** 2).sum(1))
-                u, w = ai[i + p], bi[q]
-                keep = (exact <= radius) & ((u < w) if key[0] == key[1] else (u != w))
-                out.append(pd.DataFrame({"a": np.minimum(u, w)[keep], "b": np.maximum(u, w)[keep], "distance": exact[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "distance": []}).astype({"a": "int64", "b": "int64"})
-
-    return sent.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "low", "high").groupBy("low", "high").applyInPandas(compare, "a bigint, b bigint, distance double")
+    side = max(1, min(SIDE, n_groups // 4))
+    n_strips = -(-n_groups // side)
+    rows = there.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n_groups)).cast("int").alias("g"))
+    packed = rows.groupBy("g").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("flat"))  # of bounded size
+    strip = (F.col("g") / side).cast("int")
+    sent = packed.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n_strips - 1)))).select("g", "ids", "flat", F.least(strip, "p").alias("low"), F.greatest(strip, "p").alias("high"))
+
+    def near(a: tuple, b: tuple, same: bool) -> list[pd.DataFrame]:
+        (ai, x), (bi, y) = a, b
+        out, square = [], (y * y).sum(1)[None, :]
+        for i in range(0, len(x), RADIUS_TILE):
+            t = x[i : i + RADIUS_TILE]
+            p, q = np.nonzero((t * t).sum(1)[:, None] + square - 2 * t @ y.T <= radius * radius + 1e-9)
+            exact = np.concatenate([np.sqrt(((t[p[k : k + 65536]] - y[q[k : k + 65536]]) ** 2).sum(1)) for k in range(0, max(1, len(p)), 65536)])
+            u, w = ai[i + p], bi[q]
+            keep = (exact <= radius) & ((u < w) if same else (u != w))
+            out.append(pd.DataFrame({"a": np.minimum(u, w)[keep], "b": np.maximum(u, w)[keep], "distance": exact[keep]}))
+        return out
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("g")
+        held = [(g // side, np.asarray(i, np.int64), f) for g, i, f in zip(rows.g, rows.ids, rows.flat)]
+        held = [(s, (i, np.asarray(f, float).reshape(len(i), -1))) for s, i, f in held]
+        out = [pd.DataFrame({"a": [], "b": [], "distance": []}).astype({"a": "int64", "b": "int64"})]
+        for k, (s, a) in enumerate(held):
+            if s == key[0]:
+                for m, (t, b) in enumerate(held[k:]):
+                    if t == key[1] and (m or key[0] == key[1]):
+                        out += near(a, b, m == 0)
+        return pd.concat(out)
+
+    n_tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return sent.repartition(n_tasks, "low", "high").groupBy("low", "high").applyInPandas(compare, "a bigint, b bigint, distance double")
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and its component (smallest node reachable) for the nodes of edges a-b.
 
-    Each round, nodes take the smallest label around them and labels jump to
-    their own labels; labels are checkpointed, so lost executors cost a round.
+    Each round, where two labels meet, the larger one and its nodes take the
+    smaller, and labels jump to their own labels.  Labels are written out, so
+    lost executors cost a round.  Spark splits the joins on labels that most
+    nodes have (skew joins of adaptive plans).
     """
-    checkpoints(edges.sparkSession)
-    both = edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node").checkpoint()
+    links = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = written(ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
     for _ in range(most_rounds):
-        around = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("low"))
-        lower = labels.join(around, labels.node == around.a, "left").select("node", F.least("label", "low").alias("new"), "label")
-        jumps = labels.select(F.col("node").alias("root"), F.col("label").alias("up"))
-        nxt = lower.join(jumps, lower.new == jumps.root, "left").select("node", F.least("new", F.coalesce("up", "new")).alias("new"), "label").checkpoint()
-        if nxt.where("new <> label").isEmpty():
+        ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
+        hooks = written(ends.select(F.greatest("la", "lb").alias("old"), F.least("la", "lb").alias("new")).groupBy("old").agg(F.min("new").alias("new")))
+        if hooks.isEmpty():
             return labels.withColumnRenamed("label", "component")
-        labels = nxt.select("node", F.col("new").alias("label"))
+        held = written(labels.join(hooks, labels.label == hooks.old, "left").select("node", F.least(F.coalesce("new", "label"), "label").alias("label")))
+        up = held.where("node <> label").select(F.col("node").alias("old"), F.col("label").alias("new"))
+        labels = written(held.join(up, held.label == up.old, "left").select("node", F.coalesce("new", "label").alias("label")))
     raise RuntimeError("connected: labels still change")
 
 

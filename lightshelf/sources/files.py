@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lightshelf.functions import scalar as S
-from lightshelf.operators.lineage import checkpoints
+from lightshelf.operators.lineage import written
 from lightshelf.plans.vocabulary import EXTENSIONS
 
 NUMBERED_COPY = r"(?i) \(\d+\)\.[a-z0-9]+$"
@@ -97,7 +97,6 @@ def nearest_place(points: DataFrame, places: DataFrame, cell: float = 0.5, id_co
     A hit counts only if it is nearer than anything outside of these cells can
     be; other spots go on to cells of twice the size, at last to all places.
     """
-    checkpoints(points.sparkSession)
     known = places.where("lat is not null and lon is not null").select("name", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     spots = points.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").select("lat", "lon").distinct()
     sure = None
@@ -105,7 +104,7 @@ def nearest_place(points: DataFrame, places: DataFrame, cell: float = 0.5, id_co
         every = cell >= 60
         # lat and lon are those of the spot; outside of the block either differs by a cell at least
         beyond = F.lit(S.EARTH_KM) * F.asin(F.cos(F.radians("lat")) * F.lit(math.sin(math.radians(cell))))
-        hits = _in_block(spots, known, None if every else cell).withColumn("_sure", F.lit(every) | F.coalesce(F.col("p.km") < beyond - 1e-6, F.lit(False))).checkpoint()
+        hits = written(_in_block(spots, known, None if every else cell).withColumn("_sure", F.lit(every) | F.coalesce(F.col("p.km") < beyond - 1e-6, F.lit(False))))
         near = hits.where("_sure").select("lat", "lon", "p")
         sure = near if sure is None else sure.unionByName(near)
         spots = hits.where("not _sure").select("lat", "lon")
