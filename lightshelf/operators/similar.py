@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lightshelf.functions import scalar as S
 from lightshelf.functions import vectors as V
 from lightshelf.operators.lineage import written
+from lightshelf.operators.ranking import top_per_group
 
 #: Bytes up to which a side of query vectors is broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -135,6 +137,27 @@ def dbscan(points: DataFrame, edges: DataFrame, min_samples: int, id_col: str =
     return points.select(F.col(id_col).cast("bigint").alias("id")).join(found, "id", "left")
 
 
+def sharper_alternatives(cells: DataFrame, photos: DataFrame, near: DataFrame, target_ppi: float = 240.0, days: float = 3.0, copy: float = 0.20, most: int = 8) -> DataFrame:
+    """Sharper pictures of the same moment for the cells of a book: cell_id, id, distance, ppi, place.
+
+    `cells` has cell_id, photo_id and the size w, h in inches; `photos` id,
+    image_width, image_height and taken_ts; `near` the pairs (a, b, distance) that
+    count as near.  A picture is out if it is placed already or a copy of another
+    placed one, if its date is unknown or too far off (for cells with a dated
+    picture), or if it would not print at the target.
+    """
+    both = near.select(F.col("a").alias("photo_id"), F.col("b").alias("id"), "distance").unionByName(near.select(F.col("b").alias("photo_id"), F.col("a").alias("id"), "distance"))
+    placed = cells.select("photo_id").where("photo_id is not null").distinct()
+    found = both.join(cells.select("cell_id", "photo_id", "w", "h"), "photo_id").join(placed.withColumnRenamed("photo_id", "id"), "id", "left_anti")
+    copies = both.join(placed, "photo_id", "left_semi").where(F.col("distance") < copy).select(F.col("photo_id").alias("other"), "id")
+    own = found.join(photos.select(F.col("id").alias("photo_id"), F.col("taken_ts").alias("_own")), "photo_id", "left").join(photos.select("id", "image_width", "image_height", "taken_ts"), "id")
+    same = F.col("_own").isNull() | F.coalesce(F.abs(S.seconds_between("_own", "taken_ts")) <= days * 86400, F.lit(False))
+    ppi = F.least(F.col("image_width") / F.col("w"), F.col("image_height") / F.col("h"))
+    kept = own.where(same & (ppi >= target_ppi)).withColumn("ppi", ppi)
+    kept = kept.join(copies.withColumnRenamed("id", "_c"), (F.col("id") == F.col("_c")) & (F.col("other") != F.col("photo_id")), "left_anti")
+    return top_per_group(kept.select("cell_id", "id", "distance", "ppi"), ["cell_id"], [F.col("distance"), F.col("id")], most, "place")
+
+
 def centroids(members: DataFrame, by: str, dims: int, vector: str = "embedding") -> DataFrame:
     """Mean vector of each group, scaled to unit length. Places are averaged apart, which combines before the shuffle."""
     means = members.groupBy(by).agg(F.count("*").alias("n"), *[m.alias(f"_m{i}") for i, m in enumerate(V.mean_vector(F.col(vector), dims))])
@@ -146,8 +169,6 @@ def merge_suggestions(members: DataFrame, by: str, dims: int, centroid_radius: f
 
     Members are the first `most_members` by id of each group, as the operator defines.
     """
-    from lightshelf.operators.ranking import top_per_group
-
     own = top_per_group(members.select(by, id_col, vector), [by], [F.col(id_col)], most_members).drop("rn")
     centres = centroids(own, by, dims, vector)
     near = radius_pairs(centres.select(F.xxhash64(by).alias("vec_id"), "centroid"), centroid_radius, "centroid")

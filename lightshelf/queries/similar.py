@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lightshelf.functions import vectors as V
 from lightshelf.operators import people, ranking, similar, upkeep
-from lightshelf.queries import Registry
+from lightshelf.operators.timeline import burst_stacks
+from lightshelf.queries import Registry, timeline
 from lightshelf.sources.library import library, table, with_library
 
 REGISTRY = Registry()
@@ -145,11 +146,29 @@ def v13(spark, sf):
     return f.groupBy(F.col("l_orderkey").alias("photo_id"), F.col("l_suppkey").alias("person_id")).agg(rule.alias("rule"), F.count("*").alias("n")).where("n > 1")
 
 
-@add("v14_sharper_alternatives", E + "SELECT a.vec_id, b.vec_id AS alternative FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_distance(a.e, b.e) <= 1.15 AND b.vec_id % 7 > a.vec_id % 7")
+_CELLS = "c AS (SELECT vec_id * 2 AS cell_id, vec_id AS photo_id, CAST(10 + vec_id % 3 * 5 AS DOUBLE) AS w, CAST(8 + vec_id % 5 AS DOUBLE) AS h FROM embeddings WHERE vec_id % 20 = 0)"
+_NEAR = "n AS (SELECT a.vec_id AS photo_id, b.vec_id AS id, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_distance(a.e, b.e) <= 1.25)"
+_ALIKE = "SELECT 1 FROM n d WHERE d.id = n.id AND d.distance < 1.15 AND d.photo_id <> n.photo_id AND d.photo_id IN (SELECT photo_id FROM c)"
+
+
+@add("v14_sharper_alternatives", with_library("photos").rstrip() + ", " + E.removeprefix("WITH ").rstrip() + f", {_CELLS}, {_NEAR}, k AS (SELECT cell_id, n.id, distance, least(p.image_width / c.w, p.image_height / c.h) AS ppi FROM n JOIN c USING (photo_id) JOIN photos p ON p.id = n.id LEFT JOIN photos o ON o.id = n.photo_id WHERE n.id NOT IN (SELECT photo_id FROM c) AND (o.taken_ts IS NULL OR abs(epoch_us(p.taken_ts) - epoch_us(o.taken_ts)) <= 3 * CAST(86400000000 AS BIGINT)) AND NOT EXISTS ({_ALIKE})) SELECT cell_id, id, round(distance, 6) AS distance, round(ppi, 3) AS ppi, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY distance, id) AS INT) AS place FROM k WHERE ppi >= 260) WHERE place <= 3")
 def v14(spark, sf):
-    near = similar.radius_pairs(vectors(spark, sf), 1.15)
-    both = near.select(F.col("a").alias("vec_id"), F.col("b").alias("alternative")).unionByName(near.select(F.col("b").alias("vec_id"), F.col("a").alias("alternative")))
-    return both.where("alternative % 7 > vec_id % 7")
+    own = vectors(spark, sf)
+    cells = own.where("vec_id % 20 = 0").select((F.col("vec_id") * 2).alias("cell_id"), F.col("vec_id").alias("photo_id"), (10 + F.col("vec_id") % 3 * 5).cast("double").alias("w"), (8 + F.col("vec_id") % 5).cast("double").alias("h"))
+    found = similar.sharper_alternatives(cells, library(spark, sf, "photos"), similar.radius_pairs(own, 1.25), 260.0, 3.0, 1.15, 3)
+    return found.select("cell_id", "id", F.round("distance", 6).alias("distance"), F.round("ppi", 3).alias("ppi"), "place")
+
+
+_TIMED = f"WITH RECURSIVE d AS ({_V04}), v AS (SELECT event_id AS id, ts AS taken_ts, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS score, CAST(embedding AS DOUBLE[]) AS e FROM events JOIN embeddings ON vec_id = event_id JOIN d ON d.id = event_id AND d.cluster IS NULL)"
+
+
+@add("v04_noise_sessions", timeline.stacks_sql(_TIMED, 36000, 1.25, 72000))
+def v04_noise(spark, sf):
+    """Noise of the density clusters, stacked by sessions."""
+    p = vectors(spark, sf)
+    noise = similar.dbscan(p, similar.radius_pairs(p, 1.15), 5).where("cluster is null").select("id")
+    timed = library(spark, sf, "photos").select("id", "taken_ts", "score").join(noise, "id").join(p.select(F.col("vec_id").alias("id"), "embedding"), "id")
+    return burst_stacks(timed, 36000.0, 1.25, 72000.0, cosine=False)
 
 
 @add("v15_term_scores", E + "SELECT a.vec_id, b.vec_id AS term, round(list_dot_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON b.vec_id IN (a.label, a.label + 10) WHERE a.vec_id >= 20")

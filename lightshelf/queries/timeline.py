@@ -237,9 +237,9 @@ def j09(spark, sf):
     return timeline.burst_pairs(rows, 300.0, 1.25, cosine=False).select("id", "o_id", F.round("distance", 6).alias("distance"))
 
 
-def _stacks(seconds, distance, span, same="TRUE"):
-    """SQL: pairs near in time and distance, their components, cut and ranked."""
-    return f"""WITH RECURSIVE {_VEC.replace('event_id AS id,', 'event_id AS id, user_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS score,')},
+def stacks_sql(rows, seconds, distance, span, same="TRUE"):
+    """SQL: pairs of `v` (given by `rows`) near in time and distance, their components, cut and ranked."""
+    return f"""{rows},
     p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND {same} AND abs(epoch_us(a.taken_ts) - epoch_us(b.taken_ts)) <= {seconds}000000 WHERE list_distance(a.e, b.e) <= {distance}),
     r AS (SELECT a AS node, a AS seen FROM p UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.seen),
     c AS (SELECT node AS id, min(seen) AS component FROM r GROUP BY 1),
@@ -248,12 +248,15 @@ def _stacks(seconds, distance, span, same="TRUE"):
     SELECT stack_id, id, place = 0 AS is_top, CAST(place AS INT) AS place FROM k WHERE n > 1"""
 
 
-@add("t05_burst_stacks", _stacks(300, 1.25, 600))
+_ROWS = "WITH RECURSIVE " + _VEC.replace("event_id AS id,", "event_id AS id, user_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS score,")
+
+
+@add("t05_burst_stacks", stacks_sql(_ROWS, 300, 1.25, 600))
 def t05(spark, sf):
     return timeline.burst_stacks(with_vectors(spark, sf), 300.0, 1.25, 600.0, cosine=False)
 
 
-@add("t06_session_stacks", _stacks(3600, 1.2, 36000, "a.user_id = b.user_id"))
+@add("t06_session_stacks", stacks_sql(_ROWS, 3600, 1.2, 36000, "a.user_id = b.user_id"))
 def t06(spark, sf):
     return timeline.burst_stacks(with_vectors(spark, sf), 3600.0, 1.2, 36000.0, cosine=False, by=["user_id"])
 
