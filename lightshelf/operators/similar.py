@@ -34,6 +34,16 @@ def with_references(df: DataFrame, references: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(refs)) if size <= BROADCAST_BYTES else blocked(df, refs)
 
 
+def with_own_references(df: DataFrame, references: DataFrame, by: str, parts: int = 16) -> DataFrame:
+    """Each row with each reference (ref) of its own group; a group that many rows have is cut into parts, unless all references are small."""
+    refs = references.select(by, "ref")
+    size = refs.agg(F.coalesce(F.sum(F.size("ref") * 8 + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        return df.join(F.broadcast(refs), by)
+    a = df.withColumn("_b", F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int"))
+    return a.join(refs.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [by, "_b"]).drop("_b")
+
+
 def nearest_reference(df: DataFrame, references: DataFrame, tolerance: float, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """For each row the person of the nearest reference within the tolerance, and the distance."""
     pairs = with_references(df, references)

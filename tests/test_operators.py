@@ -330,7 +330,11 @@ def test_references_in_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
     refs = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)], "person_id long, ref array<double>")
     few = {r.vec_id: r.person_id for r in similar.nearest_reference(rows, refs, 9.0).collect()}
+    own = rows.withColumn("label", F.col("vec_id") % 3)
+    sides = [similar.with_own_references(own, refs.withColumn("label", F.col("person_id") % 3), "label").select("vec_id", "ref")]
+    pairs = sorted(map(tuple, sides[0].collect()))
     monkeypatch.setattr(similar, "BROADCAST_BYTES", 0)
+    assert pairs == sorted(map(tuple, similar.with_own_references(own, refs.withColumn("label", F.col("person_id") % 3), "label").select("vec_id", "ref").collect())) and len(pairs) == 180
     assert few == {r.vec_id: r.person_id for r in similar.nearest_reference(rows, refs, 9.0).collect()} and len(few) == 60
 
 
