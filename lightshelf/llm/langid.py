@@ -10,8 +10,10 @@ hash of the id; a fifth of the sample is kept aside and sets the temperature
 by which scores are calibrated.
 
 Predictions depend on the text alone.  Texts without a letter, and null ones,
-get `und` with score 0.  Ties between languages go to the first by name.  A
-table without labelled documents gives `und` for all.
+get `und` with score 0.  Ties between languages go to the first by name.  Each
+row gives one row, repeated ones and those with a null id (never held out) as
+well.  N-grams of very long texts are counted window by window.  A table without
+labelled documents gives `und` for all, an empty one nothing.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ lacing) and its cue points.  `with_packets` applies it to a binary column;
 
 Defined results: a null or empty file has no tracks, packets or cues and the
 error "empty"; a file that ends early keeps the packets that are whole, and
-names the fault in `error`.  Repeated rows give repeated results; other columns
+names the fault in `error`.  A very long text is one file, held whole in its task
+with its packets, a few times its length.  Repeated rows give repeated results; other columns
 of the input are left out unless named in `keys`.
 """
 

@@ -18,7 +18,9 @@ The forward state depends on the model's kind:
   scores would not give the library's ids for such models.
 
 Characters outside the vocabulary become their bytes.  Defined results: null and
-empty texts have no ids and decode to the empty text; repeated rows repeat.
+empty texts have no ids and decode to the empty text; repeated rows and rows with
+a null id are encoded each; an empty table gives nothing.  Of pieces with equal
+scores the library's choice stands (tested).
 """
 
 from __future__ import annotations
