@@ -345,7 +345,7 @@ def test_shared_folder_on_a_cluster():
 
     class Session:
         conf = Conf()
-        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+        sparkContext = type("C", (), {"master": "spark://host:7077", "getCheckpointDir": lambda self: None})()
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         lineage.shared_folder(Session())
