@@ -41,12 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """`df` written once to the shared folder and read back: later uses reread it, lost executors cost nothing.
 
-    The files lie under spark.checkpoint.dir and go with it.
+    The files stay under spark.checkpoint.dir until `discard` removes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of stored tables whose last reader has written its own result."""
+    for found in tables:
+        where = found.sparkSession._jvm.org.apache.hadoop.fs.Path(found.stored_at)
+        where.getFileSystem(found.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def quoted(name: str) -> str:
