@@ -297,7 +297,7 @@ def _split(rows: DataFrame, least: int) -> DataFrame:
                     # shared by all strings of this half: from `low` bytes before the anchor to the end of the one that begins `high` before it
                     if a >= low and len(text) >= a - high + least:
                         taken.append(i)
-                        sides.append((xxhash.xxh3_64_intdigest(text[a - low : a - high + least], low), low, min(high, a)))
+                        sides.append((xxhash.xxh3_64_intdigest(text[a - low : a - high + least], low), low, high))
             out = batch.take(pa.array(taken, pa.int64()))
             g, low, high = zip(*sides) if sides else ((), (), ())
             new = {"g": pa.array(np.array(g, np.uint64).view(np.int64)), "x": pa.array(low, pa.int32()), "y": pa.array(high, pa.int32())}
@@ -329,10 +329,10 @@ def _scan(rows: DataFrame, least: int) -> DataFrame:
         for frame in _whole_groups(batches):
             whole = (frame.x == frame.y).to_numpy()
             lo, hi = frame.x.to_numpy(np.int64).copy(), least - frame.x.to_numpy(np.int64)
-            # a context may stand under several keys: here it is one
-            again = frame.assign(whole=whole).duplicated(["key", "loc", "whole"]).to_numpy()
-            lo[again], hi[again] = 0, 0
-            some = np.flatnonzero(~whole & ~again)
+            lo[~whole], hi[~whole] = 0, 0
+            # a context may stand under several keys: among the suffixes it is one
+            some = np.flatnonzero(~whole)
+            some = some[~frame[["key", "loc"]].iloc[some].duplicated().to_numpy()]
             if len(some):
                 lo[some], hi[some] = covered([frame.bytes.iat[i] for i in some], [frame.cut.iat[i] for i in some], least)
             keep = (hi > 0) & (frame.n == 1).to_numpy()
