@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightshelf.functions import scalar as S
+from lightshelf.operators.scans import group_total, in_parts, running_sum
 
 
 def counts_by(df: DataFrame, bucket: Column, name: str = "bucket") -> DataFrame:
@@ -30,17 +31,19 @@ def _mid_rank(before: Column, ties: Column, n: Column) -> Column:
     return F.when(n == 1, 50.0).otherwise(F.round((before + (ties - 1) / 2.0 + 0.5) * F.lit(100.0).cast("double") / n, 3))
 
 
-def percentile_within(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+def percentile_within(df: DataFrame, value: str, by: list[str], out: str, part_rows: int | None = None) -> DataFrame:
     """Mid-rank percentile of `value` within each group; rows without a value get NULL.
 
-    For groups that fit in a task, such as days; see `percentile_overall`.
+    Counts of a group's distinct values are summed in order, a large group in parts, and come back
+    to the rows by group and value.
     """
     held = df.where(F.col(value).isNotNull())
-    order = Window.partitionBy(*by).orderBy(value)
-    same = Window.partitionBy(*by, value)
-    ranked = held.withColumn("_b", F.rank().over(order) - 1).withColumn("_t", F.count("*").over(same)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    done = ranked.withColumn(out, _mid_rank(F.col("_b"), F.col("_t"), F.col("_n"))).drop("_b", "_t", "_n")
-    return done.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double")))
+    counted = held.groupBy(*by, value).agg(F.count("*").alias("_t"))
+    parts = in_parts(counted, by, [value], rows=part_rows)
+    summed = group_total(running_sum(parts, F.col("_t"), "_u"), F.col("_t"), "_n").done()
+    ranks = summed.select(*[F.col(c).alias(f"_{c}_") for c in [*by, value]], _mid_rank(F.col("_u") - F.col("_t"), F.col("_t"), F.col("_n")).alias(out))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in [*by, value]]
+    return df.join(ranks, same, "left").drop(*[f"_{c}_" for c in [*by, value]])
 
 
 def running_counts(df: DataFrame, value: str, n_ranges: int = 64) -> DataFrame:

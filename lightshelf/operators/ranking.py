@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lightshelf.functions import scalar as S
 from lightshelf.operators.lineage import written
+from lightshelf.operators.scans import in_parts, last_before, running_sum
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:
@@ -77,15 +78,19 @@ def buckets_best_first(df: DataFrame, bucket: str, score: str, n_buckets: int, i
     return df.join(keep, bucket).orderBy(F.col("_best").desc_nulls_last(), bucket, F.col(score).desc_nulls_last(), id_col).drop("_best")
 
 
-def cut_at_gaps(df: DataFrame, by: list[str], ts: str, seconds: float, out: str, extra_cut: Column | None = None, strictly: bool = True) -> DataFrame:
-    """Number of the run of rows, within each group, whose consecutive gaps are at most `seconds` (below it if not `strictly`)."""
-    w = Window.partitionBy(*by).orderBy(ts, "id")
-    gap = S.seconds_between(F.lag(ts).over(w), ts)
+def cut_at_gaps(df: DataFrame, by: list[str], ts: str, seconds: float, out: str, place: str | None = None, strictly: bool = True, part_rows: int | None = None) -> DataFrame:
+    """Number of the run of rows, within each group, whose consecutive gaps are at most `seconds` (below it if not `strictly`).
+
+    With `place`, a run also ends where that column changes from one known value to another.  A large group is cut into
+    parts, each of which hears of the row before its first and of the runs begun so far.
+    """
+    parts = in_parts(df, by, [ts, "id"], F.col(ts).cast("timestamp").cast("double"), part_rows)
+    before = last_before(parts, F.struct(F.col(ts).alias("t"), *([F.col(place).alias("p")] if place else [])), "_before")
+    gap = S.seconds_between("_before.t", ts)
     new = gap.isNull() | (gap > seconds if strictly else gap >= seconds)
-    if extra_cut is not None:
-        new = new | extra_cut
-    flagged = df.withColumn("_new", new.cast("int"))
-    return flagged.withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    if place:
+        new = new | F.coalesce(F.col("_before.p") != F.col(place), F.lit(False))
+    return running_sum(before, new.cast("int"), out).done().drop("_before")
 
 
 def keep_best_apart(df: DataFrame, by: list[str], seconds: float, n: int | None = None, score: str = "score", ts: str = "taken_ts", same: list[str] | None = None) -> DataFrame:

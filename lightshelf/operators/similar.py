@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lightshelf.functions import scalar as S
 from lightshelf.functions import vectors as V
 from lightshelf.operators.lineage import written
+from lightshelf.operators.radius import core_links, joining_links, neighbours, packed_blocks, pairs_within
 from lightshelf.operators.ranking import top_per_group
 
 #: Bytes up to which a side of query vectors is broadcast.
@@ -59,54 +60,27 @@ def blocked(rows: DataFrame, references: DataFrame) -> DataFrame:
     return a.join(b, "_b").drop("_b")
 
 
-RADIUS_TILE = 1024
-#: Numbers in the vectors of a group, and groups in a strip at most: a task holds two strips.
-GROUP_NUMBERS, SIDE = 1 << 20, 8
+def radius_pairs(df: DataFrame, radius: float, vector: str = "embedding", id_col: str = "vec_id", by: str | None = None) -> DataFrame:
+    """Pairs (a < b) of rows within L2 `radius`, of one group if `by` is given; every such pair, so n(n-1)/2 of a clump."""
+    return pairs_within(packed_blocks(df, vector, id_col, by), radius)
 
 
-def radius_pairs(df: DataFrame, radius: float, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """Pairs (a < b) of rows within L2 `radius`, by blocked matrix products; near ones are computed again exactly.
+def radius_components(df: DataFrame, radius: float, vector: str = "embedding", id_col: str = "vec_id", by: str | None = None) -> DataFrame:
+    """node and component of the rows that have another within the radius; pairs stay within tasks, which answer by joining links."""
+    return connected(joining_links(packed_blocks(df, vector, id_col, by), radius))
 
-    Groups of rows are packed, groups form strips, and each pair of strips is
-    one task, so that a group is sent once for each strip.
-    """
-    spark = df.sparkSession
-    there = df.where(F.col(vector).isNotNull())
-    numbers = there.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()[0]
-    n_groups = max(4, -(-numbers // GROUP_NUMBERS))
-    side = max(1, min(SIDE, n_groups // 4))
-    n_strips = -(-n_groups // side)
-    rows = there.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n_groups)).cast("int").alias("g"))
-    packed = rows.groupBy("g").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("flat"))  # of bounded size
-    strip = (F.col("g") / side).cast("int")
-    sent = packed.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n_strips - 1)))).select("g", "ids", "flat", F.least(strip, "p").alias("low"), F.greatest(strip, "p").alias("high"))
-
-    def near(a: tuple, b: tuple, same: bool) -> list[pd.DataFrame]:
-        (ai, x), (bi, y) = a, b
-        out, square = [], (y * y).sum(1)[None, :]
-        for i in range(0, len(x), RADIUS_TILE):
-            t = x[i : i + RADIUS_TILE]
-            p, q = np.nonzero((t * t).sum(1)[:, None] + square - 2 * t @ y.T <= radius * radius + 1e-9)
-            exact = np.concatenate([np.sqrt(((t[p[k : k + 65536]] - y[q[k : k + 65536]]) ** 2).sum(1)) for k in range(0, max(1, len(p)), 65536)])
-            u, w = ai[i + p], bi[q]
-            keep = (exact <= radius) & ((u < w) if same else (u != w))
-            out.append(pd.DataFrame({"a": np.minimum(u, w)[keep], "b": np.maximum(u, w)[keep], "distance": exact[keep]}))
-        return out
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("g")
-        held = [(g // side, np.asarray(i, np.int64), f) for g, i, f in zip(rows.g, rows.ids, rows.flat)]
-        held = [(s, (i, np.asarray(f, float).reshape(len(i), -1))) for s, i, f in held]
-        out = [pd.DataFrame({"a": [], "b": [], "distance": []}).astype({"a": "int64", "b": "int64"})]
-        for k, (s, a) in enumerate(held):
-            if s == key[0]:
-                for m, (t, b) in enumerate(held[k:]):
-                    if t == key[1] and (m or key[0] == key[1]):
-                        out += near(a, b, m == 0)
-        return pd.concat(out)
-
-    n_tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return sent.repartition(n_tasks, "low", "high").groupBy("low", "high").applyInPandas(compare, "a bigint, b bigint, distance double")
+
+#: Rows of two ids up to which relabellings are sent to all tasks, and the parts that a label's nodes are cut into beyond.
+FEW, PARTS = 200_000, 16
+
+
+def _relabelled(labels: DataFrame, changes: DataFrame) -> DataFrame:
+    """`labels` with the column `new` of `changes` (old, new) where the label is `old`: most nodes may have one label."""
+    if changes.count() <= FEW:
+        return labels.join(F.broadcast(changes), labels.label == changes.old, "left")  # of a measured size
+    salted = labels.withColumn("_p", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
+    spread = changes.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return salted.join(spread, (salted.label == spread.old) & (salted._p == spread._p), "left").drop("_p")
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -114,8 +88,7 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round, where two labels meet, the larger one and its nodes take the
     smaller, and labels jump to their own labels.  Labels are written out, so
-    lost executors cost a round.  Spark splits the joins on labels that most
-    nodes have (skew joins of adaptive plans).
+    lost executors cost a round.
     """
     links = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -125,12 +98,32 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         hooks = written(ends.select(F.greatest("la", "lb").alias("old"), F.least("la", "lb").alias("new")).groupBy("old").agg(F.min("new").alias("new")))
         if hooks.isEmpty():
             return labels.withColumnRenamed("label", "component")
-        held = written(labels.join(hooks, labels.label == hooks.old, "left").select("node", F.least(F.coalesce("new", "label"), "label").alias("label")))
+        held = written(_relabelled(labels, hooks).select("node", F.least(F.coalesce("new", "label"), "label").alias("label")))
         up = held.where("node <> label").select(F.col("node").alias("old"), F.col("label").alias("new"))
-        labels = written(held.join(up, held.label == up.old, "left").select("node", F.coalesce("new", "label").alias("label")))
+        # only nodes that are labels can be jumped over
+        up = written(up.join(held.select(F.col("label").alias("old")).distinct(), "old", "left_semi"))
+        labels = written(_relabelled(held, up).select("node", F.coalesce("new", "label").alias("label")))
     raise RuntimeError("connected: labels still change")
 
 
+def density_clusters(points: DataFrame, radius: float, min_samples: int, vector: str = "embedding", id_col: str = "vec_id", by: str | None = None) -> DataFrame:
+    """id and cluster of every row, by density within each group of `by`, all groups in one plan; as `dbscan`, but pairs stay within tasks.
+
+    Three steps: neighbours are counted; core rows are joined, and rows beside
+    them linked, by tasks that report fewer links than rows; components follow.
+    Rows without a vector are noise.
+    """
+    rows = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v"), *([F.col(by).alias("g")] if by else []))
+    first = packed_blocks(rows, "v", "id", "g" if by else None)
+    core = written(neighbours(first, radius).where(F.col("n") + 1 >= min_samples).select("id") if min_samples > 1 else rows.where("v is not null").select("id"))
+    flagged = rows.join(core.withColumn("c", F.lit(True)), "id", "left").withColumn("c", F.coalesce("c", F.lit(False)))
+    links = written(core_links(packed_blocks(flagged, "v", "id", "g" if by else None, "c"), radius))
+    joined = connected(links.where("not border").select("a", "b"))
+    cores = written(core.join(joined, core.id == joined.node, "left").select("id", F.coalesce("component", "id").alias("cluster")))
+    beside = links.where("border").join(cores.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("cluster")).select(F.col("a").alias("id"), "cluster")
+    return rows.select("id").join(cores.unionByName(beside), "id", "left")
+
+
 def dbscan(points: DataFrame, edges: DataFrame, min_samples: int, id_col: str = "vec_id") -> DataFrame:
     """Clusters by density from radius edges: core points have `min_samples` within the radius, themselves included.
 
@@ -191,6 +184,23 @@ def merge_suggestions(members: DataFrame, by: str, dims: int, centroid_radius: f
     return d.groupBy("left_group", "right_group", "centroid_distance").agg(F.min("d").alias("least"), F.min(F.when(F.col("d") >= copy, F.col("d"))).alias("robust"), F.sum((F.col("d") < copy).cast("bigint")).alias("copies")).where(F.col("least") <= member_radius)
 
 
+def cut_height(heights: np.ndarray, n: int, target: int) -> float:
+    """The height at which the number of clusters is nearest the target, by bisection."""
+    low, high, best = 0.01, float(heights.max()), (n + 1, 0.0)
+    heights = np.sort(heights)
+    for _ in range(30):
+        middle = (low + high) / 2
+        k = n - int(np.searchsorted(heights, middle, "right"))
+        best = min(best, (abs(k - target), middle))
+        if k > target:
+            low = middle
+        elif k < target:
+            high = middle
+        else:
+            break
+    return best[1]
+
+
 def average_linkage(vectors: np.ndarray, target: int) -> np.ndarray:
     """Cluster numbers by average linkage, cut where the number of clusters is nearest the target (bisection of the height).
 
@@ -228,18 +238,7 @@ def average_linkage(vectors: np.ndarray, target: int) -> np.ndarray:
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
         active[j] = False
-    heights = np.array([h for h, _, _ in merges])
-    low, high, best = 0.01, float(heights.max()), (n + 1, 0.0)
-    for _ in range(30):
-        mid = (low + high) / 2
-        k = n - int((heights <= mid).sum())
-        best = min(best, (abs(k - target), mid))
-        if k > target:
-            low = mid
-        elif k < target:
-            high = mid
-        else:
-            break
+    cut = cut_height(np.array([h for h, _, _ in merges]), n, target)
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -249,28 +248,37 @@ def average_linkage(vectors: np.ndarray, target: int) -> np.ndarray:
         return i
 
     for h, i, j in merges:
-        if h <= best[1]:
+        if h <= cut:
             root[find(j)] = find(i)
     names: dict[int, int] = {}
     return np.array([names.setdefault(find(i), len(names)) for i in range(n)])
 
 
-def select_best(photos: DataFrame, by: list[str], share: float = 0.1, least_quality: float = 4.0, runner_up: float = 6.0, vector: str = "embedding") -> DataFrame:
+def select_best(photos: DataFrame, by: list[str], share: float = 0.1, least_quality: float = 4.0, runner_up: float = 6.0, vector: str = "embedding", task_rows: int | None = None) -> DataFrame:
     """Culling of each scope: clusters, the best of each, rare-tag picks, runners-up, then the best of the rest.
 
-    A scope is a directory or a collection; linkage needs its pairs at once, so
-    scopes above `MAX_SCOPE` are refused rather than cut.
+    A scope is a directory or a collection.  Scopes whose distances fit in a task are linked there; larger ones by rounds of
+    merges over tables.  The choice itself needs an id, a score and a cluster for each photo of a scope.
     """
+    from lightshelf.operators.linkage import linkage_clusters
+
+    most = MAX_SCOPE if task_rows is None else task_rows
+
+    def budgets(n: int) -> tuple[int, int]:
+        target = max(1, math.floor(n * share))
+        return target, max(target + 2, math.floor(1.5 * target))
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", ignore_index=True)
+        cluster = average_linkage(np.stack(rows[vector].to_numpy()).astype(float), max(8, budgets(len(rows))[1]))
+        return rows[["id", "score"]].assign(cluster=cluster, **{c: rows[c] for c in by})
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", ignore_index=True)
         n = len(rows)
-        if n > MAX_SCOPE:
-            raise ValueError(f"a scope of {n} photos exceeds {MAX_SCOPE}")
-        target = max(1, math.floor(n * share))
-        budget = max(target + 2, math.floor(1.5 * target))
+        target, budget = budgets(n)
         quality = rows.score.fillna(0).to_numpy(float)
-        cluster = average_linkage(np.stack(rows[vector].to_numpy()).astype(float), max(8, budget))
+        cluster = rows.cluster.to_numpy(int)
         sizes = np.bincount(cluster)
         order = np.lexsort((rows.id, -quality))
         rank = np.zeros(n, int)
@@ -280,9 +288,8 @@ def select_best(photos: DataFrame, by: list[str], share: float = 0.1, least_qual
         reps = [i for i in order if rank[i] == 1]
         if len(reps) > budget:
             weak = sorted((i for i in reps if sizes[cluster[i]] <= 2 and quality[i] < least_quality + 0.3), key=lambda i: quality[i] + min(1.0, 0.1 * sizes[cluster[i]]))
-            for i in weak[: len(reps) - budget]:
-                reps.remove(i)
-            reps = reps[:budget]
+            dropped = set(weak[: len(reps) - budget])
+            reps = [i for i in reps if i not in dropped][:budget]
         chosen = {i for i in reps if quality[i] >= least_quality}
         taken = np.bincount([cluster[i] for i in chosen], minlength=len(sizes)) if chosen else np.zeros(len(sizes), int)
         cap = np.minimum(4, 1 + sizes // 8)
@@ -303,7 +310,18 @@ def select_best(photos: DataFrame, by: list[str], share: float = 0.1, least_qual
 
     kinds = dict(photos.dtypes)
     held = photos.select(*by, "id", "score", vector)
-    return held.groupBy(*by).applyInPandas(choose, f"id {kinds['id']}, cluster bigint, rank_in_cluster bigint, selected boolean, score double")
+    sizes = written(held.groupBy(*by).agg(F.count("*").alias("_n")))
+    linked = f"id {kinds['id']}, score {kinds['score']}, cluster bigint, {', '.join(f'`{c}` {kinds[c]}' for c in by)}"
+    small = held.join(sizes.where(F.col("_n") <= most), by, "left_semi").groupBy(*by).applyInPandas(link, linked)
+    large = sizes.where(F.col("_n") > most)
+    if not large.isEmpty():
+        target = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
+        names = F.to_json(F.struct(*by))
+        targets = large.select(names.alias("_s"), F.greatest(F.lit(8), target + 2, F.floor(target * 1.5)).alias("target"))
+        rows = held.join(large, by, "left_semi").withColumn("_s", names)
+        found = linkage_clusters(rows, targets, "_s", vector, "id").select("id", "cluster")
+        small = small.unionByName(rows.select(*by, "id", "score").join(found, "id").select(*small.columns))
+    return small.groupBy(*by).applyInPandas(choose, f"id {kinds['id']}, cluster bigint, rank_in_cluster bigint, selected boolean, score double")
 
 
 #: Photos of one scope whose distances fit in a task (512 MB).

@@ -16,16 +16,15 @@ from pyspark.sql import functions as F
 from lightshelf.functions import scalar as S
 from lightshelf.functions import vectors as V
 from lightshelf.operators.ranking import cut_at_gaps, grouped
+from lightshelf.operators.scans import first_after, in_parts, last_before
 from lightshelf.operators.similar import connected
 
 
 def chapters(photos: DataFrame, by: list[str], hours: float, least: int, place: str = "place_name") -> DataFrame:
     """Runs without a gap above `hours` and without a change of place, of at least `least` photos: span, days, places, and the best photo."""
-    w = Window.partitionBy(*by).orderBy("taken_ts", "id")
-    moved = F.coalesce(F.lag(place).over(w) != F.col(place), F.lit(False))
-    runs = cut_at_gaps(photos, by, "taken_ts", hours * 3600, "chapter", moved)
+    runs = cut_at_gaps(photos, by, "taken_ts", hours * 3600, "chapter", place)
     return runs.groupBy(*by, "chapter").agg(
-        F.count("*").alias("n"), F.min("taken_ts").alias("first_ts"), F.max("taken_ts").alias("last_ts"), F.countDistinct(F.to_date("taken_ts")).alias("n_days"), F.countDistinct(place).alias("n_places"), F.min("id").alias("first_id"),
+        F.count("*").alias("n"), F.min("taken_ts").alias("first_ts"), F.max("taken_ts").alias("last_ts"), F.size(F.collect_set(F.to_date("taken_ts"))).cast("bigint").alias("n_days"), F.size(F.collect_set(place)).cast("bigint").alias("n_places"), F.min("id").alias("first_id"),
         F.array_join(F.array_sort(F.collect_set(place)), ";").alias("places"), F.max_by("id", F.struct(F.coalesce("score", F.lit(-1.0)), -F.col("id"))).alias("best_id"),
     ).where(F.col("n") >= least)
 
@@ -83,13 +82,16 @@ def burst_stacks(photos: DataFrame, seconds: float = 5.0, most_distance: float =
     return ranked.select("stack_id", "id", (F.col("place") == 0).alias("is_top"), "place")
 
 
-def flanked(photos: DataFrame, by: list[str], minutes: float) -> DataFrame:
+def anchored(photos: DataFrame, by: list[str], anchor: Column, part_rows: int | None = None) -> DataFrame:
+    """`_l` and `_r`: the nearest anchors before and after each row in the order of time of its group."""
+    parts = in_parts(photos, by, ["taken_ts", "id"], F.col("taken_ts").cast("timestamp").cast("double"), part_rows)
+    return first_after(last_before(parts, anchor, "_l"), anchor, "_r").done()
+
+
+def flanked(photos: DataFrame, by: list[str], minutes: float, part_rows: int | None = None) -> DataFrame:
     """For each row without coordinates the nearest row with them on either side within the window."""
-    w = Window.partitionBy(*by).orderBy("taken_ts", "id")
     anchor = F.when(F.col("gps_lat").isNotNull() & F.col("gps_lon").isNotNull(), F.struct("id", "taken_ts", "gps_lat", "gps_lon"))
-    left = F.last(anchor, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first(anchor, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = photos.withColumn("_l", left).withColumn("_r", right).where("gps_lat is null or gps_lon is null")
+    rows = anchored(photos, by, anchor, part_rows).where("gps_lat is null or gps_lon is null")
     rows = rows.withColumn("left_gap", S.seconds_between("_l.taken_ts", "taken_ts")).withColumn("right_gap", S.seconds_between("taken_ts", "_r.taken_ts"))
     far = minutes * 60
     return rows.withColumn("_l", F.when(F.col("left_gap") <= far, F.col("_l"))).withColumn("_r", F.when(F.col("right_gap") <= far, F.col("_r")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lightshelf.functions import vectors as V
 from lightshelf.operators import people, ranking, similar, upkeep
+from lightshelf.operators.inspection import inspected, sub_clusters
 from lightshelf.operators.timeline import burst_stacks
 from lightshelf.queries import Registry, timeline
 from lightshelf.sources.library import library, table, with_library
@@ -75,7 +76,7 @@ _EDGES = "e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_i
 
 @add("g01_components", E.replace("WITH", "WITH RECURSIVE").rstrip() + ", " + _EDGES.format(r=1.10) + ", r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY 1")
 def g01(spark, sf):
-    return similar.connected(similar.radius_pairs(vectors(spark, sf), 1.10)).select("node", "component")
+    return similar.radius_components(vectors(spark, sf), 1.10).select("node", "component")
 
 
 _V04 = E.replace("WITH", "WITH RECURSIVE").rstrip() + ", " + _EDGES.format(r=1.15) + ", core AS (SELECT a FROM e GROUP BY a HAVING count(*) + 1 >= 5), ce AS (SELECT a, b FROM e WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)), r AS (SELECT a AS node, a AS seen FROM core UNION SELECT r.node, ce.b FROM r JOIN ce ON ce.a = r.seen), cc AS (SELECT node, min(seen) AS cluster FROM r GROUP BY 1), bb AS (SELECT e.a AS node, min(cluster) AS cluster FROM e JOIN cc ON cc.node = e.b WHERE e.a NOT IN (SELECT a FROM core) GROUP BY 1) SELECT v.vec_id AS id, coalesce(cc.cluster, bb.cluster) AS cluster FROM v LEFT JOIN cc ON cc.node = v.vec_id LEFT JOIN bb ON bb.node = v.vec_id"
@@ -84,13 +85,22 @@ _V04 = E.replace("WITH", "WITH RECURSIVE").rstrip() + ", " + _EDGES.format(r=1.1
 @add("v04_dbscan", _V04)
 def v04(spark, sf):
     p = vectors(spark, sf)
-    return similar.dbscan(p, similar.radius_pairs(p, 1.15), 5).select("id", "cluster")
+    return similar.density_clusters(p, 1.15, 5).select("id", "cluster")
 
 
 @add("v05_cluster_split", _V04.replace("<= 1.15", "<= 1.2").replace("+ 1 >= 5", "+ 1 >= 2").replace("FROM embeddings)", "FROM embeddings WHERE label = 3)"))
 def v05(spark, sf):
     p = vectors(spark, sf).where("label = 3")
-    return similar.dbscan(p, similar.radius_pairs(p, 1.2), 2).select("id", "cluster")
+    return similar.density_clusters(p, 1.2, 2).select("id", "cluster")
+
+
+_EVERY = _V04.replace("<= 1.15", "<= 1.2").replace("+ 1 >= 5", "+ 1 >= 2").replace("ON a.vec_id <> b.vec_id", "ON a.label = b.label AND a.vec_id <> b.vec_id")
+
+
+@add("v05_split_every_cluster", _EVERY)
+def v05_every(spark, sf):
+    """All groups split at once."""
+    return similar.density_clusters(vectors(spark, sf), 1.2, 2, by="label").select("id", "cluster")
 
 
 @add("a21_group_centroids", E.rstrip() + ", m AS (SELECT label, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM v), a AS (SELECT label, i, avg(x) AS x FROM m GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM a GROUP BY 1) SELECT label, CAST(i AS INT) AS place, round(x / n, 5) AS x FROM a JOIN n USING (label)")
@@ -138,6 +148,42 @@ def v11(spark, sf):
     return d.groupBy("label").agg(F.round(F.expr("percentile(d, 0.5)"), 6).alias("median"), F.round(F.max("d"), 6).alias("most"))
 
 
+def _inspect_sql(radius: float, min_samples: int, most: int) -> str:
+    """Density clusters of each label, its references and the least distance to them, as DuckDB tables v, d, refs, dist."""
+    clusters = _V04.replace("<= 1.15", f"<= {radius}").replace("+ 1 >= 5", f"+ 1 >= {min_samples}").replace("ON a.vec_id <> b.vec_id", "ON a.label = b.label AND a.vec_id <> b.vec_id")
+    raw = E.removeprefix("WITH v AS (").rstrip().removesuffix(")")
+    unit = f"SELECT vec_id, label, e AS raw, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e, label % 2 = 0 AND vec_id % 5 = 0 AS trusted FROM ({raw})"
+    clusters = clusters.replace("v AS (" + raw + ")", f"v AS MATERIALIZED ({unit})")
+    head, _, tail = clusters.rpartition(" SELECT v.vec_id AS id")
+    return f"""{head}, d AS (SELECT v.vec_id AS id{tail}),
+s AS (SELECT label, cluster, count(*) AS n, min(id) AS f FROM d JOIN v ON vec_id = id WHERE cluster IS NOT NULL GROUP BY ALL),
+big AS (SELECT label, cluster AS core FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, f) AS rn FROM s) WHERE rn = 1),
+t AS (SELECT label, count(*) FILTER (trusted) AS trusted_n FROM v GROUP BY 1),
+k AS (SELECT v.label, vec_id, e FROM v JOIN d ON id = vec_id JOIN t USING (label) LEFT JOIN big ON big.label = v.label WHERE CASE WHEN trusted_n >= 3 THEN trusted WHEN core IS NOT NULL THEN coalesce(cluster = core, FALSE) ELSE TRUE END),
+m AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM k),
+refs AS (SELECT * FROM m WHERE n <= {most} OR list_contains(list_transform(range({most}), lambda i: CASE WHEN i = {most - 1} THEN n ELSE CAST(floor(i * ((n - 1) / {most - 1}.0)) AS BIGINT) + 1 END), rn)),
+dist AS (SELECT v.vec_id, min(list_distance(v.e, refs.e)) AS d FROM v JOIN refs USING (label) GROUP BY 1),
+c AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY label, raw) AS first, count(*) OVER (PARTITION BY label, raw) AS n FROM v)
+"""
+
+
+def inspection(spark, sf):
+    faces = vectors(spark, sf).select("label", "vec_id", "embedding", ((F.col("label") % 2 == 0) & (F.col("vec_id") % 5 == 0)).alias("trusted"))
+    return inspected(faces, "label", 1.2, 3, "vec_id", most_references=7)
+
+
+@add("v11_inspected_groups", _inspect_sql(1.2, 3, 7) + "SELECT v.vec_id, cluster AS sub_id, round(dist.d, 5) AS distance, CASE WHEN c.n > 1 THEN c.first END AS copy_of FROM v JOIN d ON id = v.vec_id LEFT JOIN dist ON dist.vec_id = v.vec_id JOIN c ON c.vec_id = v.vec_id")
+def v11_faces(spark, sf):
+    return inspection(spark, sf).select("vec_id", "sub_id", F.round("distance", 5).alias("distance"), "copy_of")
+
+
+@add("v11_sub_clusters", _inspect_sql(1.2, 3, 7) + "SELECT label, cluster AS sub_id, count(*) AS size, arg_max(v.vec_id, v.vec_id * 7 % 97 * 100000 - v.vec_id) AS largest_id, round(quantile_cont(dist.d, 0.5), 5) AS median_distance, round(max(dist.d), 5) AS most_distance FROM v JOIN d ON id = v.vec_id LEFT JOIN dist ON dist.vec_id = v.vec_id GROUP BY 1, 2")
+def v11_sub(spark, sf):
+    areas = vectors(spark, sf).select("vec_id", (F.col("vec_id") * 7 % 97).cast("double").alias("area"))
+    found = sub_clusters(inspection(spark, sf), areas, "label", "vec_id")
+    return found.select("label", "sub_id", "size", "largest_id", F.round("median_distance", 5).alias("median_distance"), F.round("most_distance", 5).alias("most_distance"))
+
+
 @add("v13_reference_dedupe", "SELECT l_orderkey AS photo_id, l_suppkey AS person_id, CASE WHEN count(CASE WHEN l_returnflag = 'N' THEN NULL ELSE 1 END) = 1 THEN 'source' WHEN count(CASE WHEN l_returnflag = 'N' THEN NULL ELSE 1 END) = 0 THEN 'gap' ELSE 'manual' END AS rule, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def v13(spark, sf):
     f = table(spark, sf, "lineitem")
@@ -166,7 +212,7 @@ _TIMED = f"WITH RECURSIVE d AS ({_V04}), v AS (SELECT event_id AS id, ts AS take
 def v04_noise(spark, sf):
     """Noise of the density clusters, stacked by sessions."""
     p = vectors(spark, sf)
-    noise = similar.dbscan(p, similar.radius_pairs(p, 1.15), 5).where("cluster is null").select("id")
+    noise = similar.density_clusters(p, 1.15, 5).where("cluster is null").select("id")
     timed = library(spark, sf, "photos").select("id", "taken_ts", "score").join(noise, "id").join(p.select(F.col("vec_id").alias("id"), "embedding"), "id")
     return burst_stacks(timed, 36000.0, 1.25, 72000.0, cosine=False)
 

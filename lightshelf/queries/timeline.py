@@ -46,9 +46,9 @@ _ANCHOR = "PARTITION BY user_id ORDER BY taken_ts, id"
 
 @add("w10_nearest_anchors", P + f"SELECT id, last_value(CASE WHEN gps_lat IS NOT NULL AND gps_lon IS NOT NULL THEN id END IGNORE NULLS) OVER ({_ANCHOR} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS left_id, first_value(CASE WHEN gps_lat IS NOT NULL AND gps_lon IS NOT NULL THEN id END IGNORE NULLS) OVER ({_ANCHOR} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS right_id FROM photos")
 def w10(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("taken_ts", "id")
     anchor = F.when(F.col("gps_lat").isNotNull() & F.col("gps_lon").isNotNull(), F.col("id"))
-    return photos(spark, sf).select("id", F.last(anchor, True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("left_id"), F.first(anchor, True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("right_id"))
+    found = timeline.anchored(photos(spark, sf).select("id", "user_id", "taken_ts", "gps_lat", "gps_lon"), ["user_id"], anchor)
+    return found.select("id", F.col("_l").alias("left_id"), F.col("_r").alias("right_id"))
 
 
 _GAP = "epoch_us(taken_ts) - epoch_us(lag(taken_ts) OVER (PARTITION BY {by} ORDER BY taken_ts, id))"
