@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from lightshelf.functions import text as T
 from lightshelf.operators import ranking
+from lightshelf.operators.lineage import shared_folder
 from lightshelf.plans import search
 from lightshelf.queries import Registry, timeline
 from lightshelf.sources.library import library, table, with_library
+from lightshelf.sources.text_index import TextIndex, containing, description_scores, excluded
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -94,6 +97,44 @@ def r02(spark, sf):
     return search.semantic(docs, "thtion", q, 50).select("id", F.round("semantic_score", 6).alias("score"), F.round("clip", 6).alias("clip"))
 
 
+def indexed(spark, sf, fields):
+    """An index over the texts in two batches, of which the second brings rows of the first again."""
+    found = TextIndex(spark, f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}")
+    docs = library(spark, sf, "texts")
+    old = docs.withColumn("description", F.when(F.col("id") % 5 == 0, F.lit("no idiot with nothing, src1")).otherwise(F.col("description")))
+    found.add(old, fields, "000")
+    found.add(docs.where("id % 5 = 0"), fields, "001")
+    return found
+
+
+@add("r09_indexed_scores", REGISTRY.sql["r09_description_score"])
+def r09_indexed(spark, sf):
+    """As `r09`, from postings."""
+    return description_scores(indexed(spark, sf, ["description"]), "with thing").withColumnRenamed("score", "v")
+
+
+@add("f18_indexed_exclusion", X + "SELECT id FROM texts WHERE regexp_matches(lower(description), '(^|[^\\w])(idiot|moron)([^\\w]|$)')")
+def f18_indexed(spark, sf):
+    """The rows that `f18` leaves out, from postings."""
+    return excluded(indexed(spark, sf, ["description"]), ["idiot", "moron"])
+
+
+@add("f19_indexed_words", X + "SELECT id FROM texts WHERE contains(lower(concat_ws(' ', description, category, camera_model)), 'src1') AND contains(lower(concat_ws(' ', description, category, camera_model)), 'the')")
+def f19_indexed(spark, sf):
+    """As `f19`, from the dictionary and postings."""
+    return containing(indexed(spark, sf, ["description", "category", "camera_model"]), ["src1", "the"])
+
+
+@add("r02_indexed_search")
+def r02_indexed(spark, sf):
+    """As `r02`, descriptions from postings."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    q = list(e.where("id = 1").first().embedding)
+    docs = texts(spark, sf).join(e, "id", "left")
+    found = search.semantic(docs, "thtion", q, 50, index=indexed(spark, sf, ["description"]))
+    return found.select("id", F.round("semantic_score", 6).alias("score"), F.round("clip", 6).alias("clip"))
+
+
 _SEEN = "CASE WHEN substr(date_taken, 1, 4) > '0000' THEN date_taken END"
 
 
