@@ -28,10 +28,10 @@ class Registry:
 
 
 def every() -> Registry:
-    from lightshelf.queries import catalogue, curation, people, retrieval, similar, timeline
+    from lightshelf.queries import catalogue, curation, people, retrieval, similar, timeline, upkept
 
     out = Registry()
-    for module in (catalogue, people, timeline, similar, retrieval, curation):
+    for module in (catalogue, people, timeline, similar, retrieval, curation, upkept):
         out.queries |= module.REGISTRY.queries
         out.sql |= module.REGISTRY.sql
     return out

@@ -1,13 +1,9 @@
-"""Streaming forms of the activity log: hourly counts, sessions, deduplication, claims that run out."""
+"""Streaming forms of the activity log: hourly counts, sessions, deduplication; claims are in `claims`."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -34,26 +30,3 @@ def first_of_each(events: DataFrame, key: str = "content_hash", within: str = "1
     from lightshelf.operators.ranking import latest_per_key
 
     return latest_per_key(events, [key], [F.col("ts"), F.col("event_id")])
-
-
-def claims_in_force(claims: DataFrame, minutes: int) -> DataFrame:
-    """A stream of claims (item_id, worker, ts) turned to a stream of (item_id, worker, state): held, renewed or expired."""
-
-    def follow(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (worker,) = state.get
-            state.remove()
-            yield pd.DataFrame({"item_id": [key[0]], "worker": [worker], "state": ["expired"]})
-            return
-        worker = state.get[0] if state.exists else None
-        out = []
-        for batch in rows:
-            for r in batch.sort_values("ts").itertuples():
-                if worker is None or worker == r.worker:
-                    out.append((key[0], r.worker, "held" if worker is None else "renewed"))
-                    worker = r.worker
-        state.update((worker,))
-        state.setTimeoutDuration(minutes * 60_000)
-        yield pd.DataFrame(out, columns=["item_id", "worker", "state"])
-
-    return claims.groupBy("item_id").applyInPandasWithState(follow, "item_id bigint, worker string, state string", "worker string", "update", GroupStateTimeout.ProcessingTimeTimeout)
