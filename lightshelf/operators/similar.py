@@ -167,12 +167,13 @@ def centroids(members: DataFrame, by: str, dims: int, vector: str = "embedding")
     return means.select(by, "n", V.normalised(F.array(*[F.col(f"_m{i}") for i in range(dims)])).alias("centroid"))
 
 
-def merge_suggestions(members: DataFrame, by: str, dims: int, centroid_radius: float = 0.95, member_radius: float = 0.60, copy: float = 0.05, most_members: int = 60, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+def merge_suggestions(members: DataFrame, by: str, dims: int, centroid_radius: float = 0.95, member_radius: float = 0.60, copy: float = 0.05, most_members: int = 60, vector: str = "embedding", id_col: str = "vec_id", area: str | None = None) -> DataFrame:
     """Pairs of groups whose centroids and nearest members are near: least distance, least beyond copies, and copies.
 
-    Members are the first `most_members` by id of each group, as the operator defines.
+    Members are the `most_members` of the largest `area` of each group (by id without one), as the operator defines.
     """
-    own = top_per_group(members.select(by, id_col, vector), [by], [F.col(id_col)], most_members).drop("rn")
+    largest = [F.col(area).desc_nulls_last()] if area else []
+    own = top_per_group(members.select(by, id_col, vector, *([area] if area else [])), [by], [*largest, F.col(id_col)], most_members).drop("rn")
     centres = centroids(own, by, dims, vector)
     near = radius_pairs(centres.select(F.xxhash64(by).alias("vec_id"), "centroid"), centroid_radius, "centroid")
     names = centres.select(F.col(by), F.xxhash64(by).alias("k"))
@@ -348,18 +349,23 @@ def running_centroids(rows: pd.DataFrame, tolerance: float, vector: str = "embed
     return pd.DataFrame(out, columns=["id", "cluster"])
 
 
-def similarity_chain(centres: DataFrame, by: list[str], vector: str = "centroid", id_col: str = "id", most: int = 500) -> DataFrame:
-    """Order of each scope's groups so that neighbours are alike: from the first, always the nearest left; by size beyond `most`."""
+def similarity_chain(centres: DataFrame, by: list[str], vector: str = "centroid", id_col: str = "id", most: int | None = None) -> DataFrame:
+    """Order of each scope's groups so that neighbours are alike: from the first, always the nearest left; by size beyond `most`, if that is given.
+
+    Each step depends on the one before: a scope's centroids are one task, whose time grows with their square.
+    """
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", id_col], ascending=[False, True], ignore_index=True)
-        if len(rows) > most:
+        if most is not None and len(rows) > most:
             return pd.DataFrame({id_col: rows[id_col], "place": np.arange(len(rows))})
         v = np.stack(rows[vector].to_numpy()).astype(float)
-        left, at, path = set(range(1, len(rows))), 0, [0]
-        while left:
-            at = min(left, key=lambda i: (float(((v[i] - v[at]) ** 2).sum()), i))
-            left.remove(at)
+        at, path, left = 0, [0], np.ones(len(rows), bool)
+        left[0] = False
+        while left.any():
+            d = ((v - v[at]) ** 2).sum(1)
+            at = int(np.where(left, d, np.inf).argmin())
+            left[at] = False
             path.append(at)
         return pd.DataFrame({id_col: rows[id_col].to_numpy()[path], "place": np.arange(len(path))})
 

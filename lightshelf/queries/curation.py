@@ -173,11 +173,11 @@ def m20(spark, sf):
     return p.join(p.where("id % 29 <> 0").select("filepath"), "filepath", "left_anti").select("id")
 
 
-@add("s10_import_plan", P + "SELECT id AS file_id, CASE WHEN file_hash IN (SELECT file_hash FROM photos WHERE id < 3000) THEN 'in_library' WHEN file_hash IS NOT NULL AND row_number() OVER (PARTITION BY file_hash ORDER BY id) > 1 THEN 'repeated' ELSE 'new' END AS state FROM photos WHERE id >= 2990")
+@add("s10_import_plan", P + "SELECT id AS file_id, CASE WHEN file_hash IN (SELECT file_hash FROM photos WHERE id % 3 <> 0) THEN 'in_library' WHEN file_hash IS NOT NULL AND row_number() OVER (PARTITION BY file_hash ORDER BY id) > 1 THEN 'repeated' ELSE 'new' END AS state FROM photos WHERE id % 3 = 0 OR id % 7 = 0")
 def s10(spark, sf):
     p = photos(spark, sf)
-    incoming = p.where("id >= 2990").select(F.col("id").alias("file_id"), "file_hash", "day", "filename")
-    return files.import_plan(incoming, p.where("id < 3000")).select("file_id", "state")
+    incoming = p.where("id % 3 = 0 OR id % 7 = 0").select(F.col("id").alias("file_id"), "file_hash", "day", "filename")
+    return files.import_plan(incoming, p.where("id % 3 <> 0")).select("file_id", "state")
 
 
 @add("s11_partition_path", P + "SELECT id, CASE WHEN date_taken IS NULL OR date_taken LIKE '0000%' THEN '_undated/import' ELSE concat(substr(date_taken, 1, 4), '/', substr(date_taken, 1, 10), '_import') END AS folder FROM photos")
@@ -315,10 +315,10 @@ def n36(spark, sf):
     return upkeep.upserted(old, new, ["id"])
 
 
-@add("n37_incremental_registration", P + "SELECT filepath FROM photos WHERE filepath NOT IN (SELECT filepath FROM photos WHERE user_id < 140)")
+@add("n37_incremental_registration", P + "SELECT filepath FROM photos WHERE filepath NOT IN (SELECT filepath FROM photos WHERE user_id % 5 <> 0)")
 def n37(spark, sf):
     p = photos(spark, sf)
-    return p.join(p.where("user_id < 140").select("filepath"), "filepath", "left_anti").select("filepath")
+    return p.join(p.where("user_id % 5 <> 0").select("filepath"), "filepath", "left_anti").select("filepath")
 
 
 @add("n38_stage_work", P + "SELECT id, score IS NULL AS quality, place_name IS NULL AS place, file_hash IS NULL AS hash FROM photos WHERE score IS NULL OR place_name IS NULL OR file_hash IS NULL")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lightshelf.functions import text as T
 from lightshelf.operators import ranking
 from lightshelf.operators.lineage import shared_folder
-from lightshelf.plans import search
+from lightshelf.plans import operations, search
 from lightshelf.queries import Registry, timeline
 from lightshelf.sources.library import library, table, with_library
 from lightshelf.sources.text_index import TextIndex, containing, description_scores, excluded
@@ -172,3 +172,61 @@ def dispatch(spark, sf, mode="flat"):
 @add("r12_dispatch_chapters", timeline.REGISTRY.sql["t01_chapters"])
 def r12(spark, sf):
     return dispatch(spark, sf, "chapters")
+
+
+# --- called by name -----------------------------------------------------------
+
+
+def called(spark, sf) -> operations.Library:
+    """The library as operations see it: persons are those of a third of the ids each, colours and tags follow from ids."""
+    p = library(spark, sf, "photos")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    photos = p.withColumns({
+        "description": F.concat_ws(" ", "camera_model", "locality", "admin1"), "categories": F.array("camera_model", "locality"), "keywords": F.array("admin1", F.concat(F.lit("k"), (F.col("id") % 3).cast("string"))),
+        "colours": F.array(F.when(F.col("id") % 4 == 0, "#0000ff").otherwise("#f00a0a"), F.lit("#00ff00")),
+    }).join(vectors, "id", "left")
+    faces = p.where("id % 7 <> 0").select(F.col("id").alias("photo_id"), (F.col("id") % 3).alias("person_id"))
+    persons = spark.range(3).select(F.col("id").alias("person_id"), F.concat(F.lit("Person "), F.col("id").cast("string")).alias("name"))
+    return operations.Library(photos, faces, persons)
+
+
+_ALL_SETS = """, x AS (SELECT p.*, CAST(embedding AS DOUBLE[]) AS e FROM photos p LEFT JOIN embeddings ON vec_id = p.id),
+d AS (SELECT *, 1 - list_distance(e, (SELECT e FROM x WHERE id = 1)) AS clip, CASE WHEN camera_model = 'view' THEN 0.6 * 0.05 + 1.5 + 1.2 * 0 ELSE 0.6 * -0.02 END AS rel FROM x),
+m AS (SELECT *, camera_model = 'view' AS matched, CASE WHEN camera_model = 'view' THEN rel + coalesce(greatest(clip, 0), 0) ELSE clip + rel END AS s FROM d WHERE camera_model = 'view' OR clip IS NOT NULL),
+t AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) - 1 AS r FROM m WHERE matched OR (s >= -0.2 AND clip >= CASE WHEN (SELECT bool_or(matched) FROM m) THEN 0.15 ELSE -0.2 END)),
+f AS (SELECT id, row_number() OVER (ORDER BY date_taken NULLS LAST, id) - 1 AS r FROM photos WHERE id % 7 <> 0 AND id % 3 = 1),
+c AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN id % 4 <> 0 THEN sqrt(200.0) ELSE 0 END, id) - 1 AS r FROM photos WHERE id % 4 <> 0),
+g AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM photos WHERE locality IN ('town1') OR camera_model = 'town1'),
+k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM photos)
+SELECT id, round(rrf, 9) AS rrf FROM (SELECT p.id, (CAST(1 AS DOUBLE) / (60 + t.r) + CAST(1 AS DOUBLE) / (60 + f.r) + CAST(1 AS DOUBLE) / (60 + c.r) + CAST(1 AS DOUBLE) / (60 + k.r)) * CASE WHEN substr(date_taken, 1, 4) > '0000' THEN 1 ELSE 0.5 END AS rrf, p.file_hash FROM photos p JOIN t USING (id) JOIN f USING (id) JOIN c USING (id) JOIN k USING (id))
+QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(file_hash, ''), concat('id:', id)) ORDER BY rrf DESC, id) = 1 ORDER BY rrf DESC, id LIMIT 100"""
+
+
+@add("r01_all_sets_search", P.rstrip() + _ALL_SETS)
+def r01_all(spark, sf):
+    """Words, vector, person, colour and keyword in one search, called by name."""
+    held = called(spark, sf)
+    vector = [str(x) for x in table(spark, sf, "embeddings").where("vec_id = 1").first().embedding]
+    tools = operations.library_operations()
+    found = tools.call("search", {"query": "view", "vector": vector, "colour": "red", "keyword": "k", "limit": "100"}, {"people": ["person 1"]}, library=held)
+    return found.select("id", F.round("rrf", 9).alias("rrf"))
+
+
+@add("e02_called_summary", P + "SELECT locality AS bucket, count(*) AS n FROM photos WHERE camera_model = 'click' AND id % 7 <> 0 AND id % 3 = 2 AND coalesce(score, -1) >= 20 GROUP BY 1")
+def e02_summary(spark, sf):
+    return operations.library_operations().call("summary", {"by": "place", "camera": "click", "min_quality": "20", "people": "Person 2"}, library=called(spark, sf))
+
+
+@add("t01_chapter_picks", timeline._greedy("concat(user_id, '-', chapter)", 900, 3, "stack_id").replace("FROM photos)", "FROM ch WHERE cn >= 3)").replace(", r AS MATERIALIZED", f", ch AS (SELECT *, count(*) OVER (PARTITION BY user_id, chapter) AS cn FROM ({timeline._CHAP.format(by='user_id', gap=timeline._GAP.format(by='user_id'), us=43200000000)})), r AS MATERIALIZED", 1) + " SELECT g AS chapter, id FROM f")
+def t01_picks(spark, sf):
+    """The three best of each chapter, a quarter of an hour apart."""
+    arguments = {"gap_hours": 12, "min_photos": 3, "per_chapter": 3, "apart": 900}
+    found = operations.browse(operations.library_operations(), called(spark, sf), "chapters", arguments)
+    return found.select(F.concat_ws("-", F.col("user_id").cast("string"), F.col("chapter").cast("string")).alias("chapter"), "id")
+
+
+@add("t02_scene_picks", timeline._greedy("concat(day, '-', scene)", 60, 2, "stack_id").replace("FROM photos)", "FROM ch)").replace(", r AS MATERIALIZED", f", ch AS (SELECT *, CAST(sum(new) OVER (PARTITION BY day ORDER BY taken_ts, id) AS BIGINT) AS scene FROM (SELECT *, CASE WHEN coalesce({timeline._GAP.format(by='day')} <= 300000000, FALSE) THEN 0 ELSE 1 END AS new FROM photos)), r AS MATERIALIZED", 1) + " SELECT g AS scene, id FROM f")
+def t02_picks(spark, sf):
+    """The two best of each scene of a day, a minute apart."""
+    found = operations.browse(operations.library_operations(), called(spark, sf), "scenes", {"gap_minutes": 5, "per_scene": 2, "apart": 60})
+    return found.select(F.concat_ws("-", "day", F.col("chapter").cast("string")).alias("scene"), "id")

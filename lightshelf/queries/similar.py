@@ -131,9 +131,9 @@ def n31(spark, sf):
     return chosen.join(stacks, "id", "left").select("id", "cluster", "rank_in_cluster", "selected", "stack_id")
 
 
-@add("v10_merge_suggestions", E.rstrip() + ", c AS (SELECT label, list(x / n ORDER BY i) AS c FROM (SELECT label, i, x, sqrt(sum(x * x) OVER (PARTITION BY label)) AS n FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM v) WHERE rn <= 60)) GROUP BY 1, 2)) GROUP BY label), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM v) WHERE rn <= 60) SELECT x.label AS left_group, y.label AS right_group, round(min(list_distance(a.e, b.e)), 6) AS least, CAST(sum(CASE WHEN list_distance(a.e, b.e) < 1.1 THEN 1 ELSE 0 END) AS BIGINT) AS copies FROM c x JOIN c y ON x.label < y.label AND list_distance(x.c, y.c) <= 1.2 JOIN o a ON a.label = x.label JOIN o b ON b.label = y.label GROUP BY 1, 2 HAVING min(list_distance(a.e, b.e)) <= 1.2")
+@add("v10_merge_suggestions", E.rstrip() + ", c AS (SELECT label, list(x / n ORDER BY i) AS c FROM (SELECT label, i, x, sqrt(sum(x * x) OVER (PARTITION BY label)) AS n FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id * 37 % 101 DESC, vec_id) AS rn FROM v) WHERE rn <= 60)) GROUP BY 1, 2)) GROUP BY label), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id * 37 % 101 DESC, vec_id) AS rn FROM v) WHERE rn <= 60) SELECT x.label AS left_group, y.label AS right_group, round(min(list_distance(a.e, b.e)), 6) AS least, CAST(sum(CASE WHEN list_distance(a.e, b.e) < 1.1 THEN 1 ELSE 0 END) AS BIGINT) AS copies FROM c x JOIN c y ON x.label < y.label AND list_distance(x.c, y.c) <= 1.2 JOIN o a ON a.label = x.label JOIN o b ON b.label = y.label GROUP BY 1, 2 HAVING min(list_distance(a.e, b.e)) <= 1.2")
 def v10(spark, sf):
-    found = similar.merge_suggestions(vectors(spark, sf), "label", DIMS, 1.2, 1.2, 1.1)
+    found = similar.merge_suggestions(vectors(spark, sf).withColumn("area", F.col("vec_id") * 37 % 101), "label", DIMS, 1.2, 1.2, 1.1, area="area")
     return found.select("left_group", "right_group", F.round("least", 6).alias("least"), "copies")
 
 

@@ -223,12 +223,12 @@ def j08(spark, sf):
     return timeline.nearby_stacks(s, 600.0).withColumn("least_gap", F.round("least_gap", 6))
 
 
-_VEC = "v AS (SELECT event_id AS id, ts AS taken_ts, CAST(embedding AS DOUBLE[]) AS e FROM events JOIN embeddings ON vec_id = event_id % 500)"
+_VEC = "v AS (SELECT event_id AS id, ts AS taken_ts, CAST(embedding AS DOUBLE[]) AS e FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings))"
 
 
 def with_vectors(spark, sf):
     e = table(spark, sf, "embeddings").select((F.col("vec_id")).alias("_v"), "embedding")
-    return photos(spark, sf).select("id", "user_id", "taken_ts", "score").withColumn("_v", F.col("id") % 500).join(e, "_v").drop("_v")
+    return photos(spark, sf).select("id", "user_id", "taken_ts", "score").withColumn("_v", F.col("id") % e.count()).join(e, "_v").drop("_v")
 
 
 @add("j09_burst_pairs", f"WITH {_VEC} SELECT a.id, b.id AS o_id, round(list_distance(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.id < b.id AND abs(epoch_us(a.taken_ts) - epoch_us(b.taken_ts)) <= 300000000 WHERE list_distance(a.e, b.e) <= 1.25")
