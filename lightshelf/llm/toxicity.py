@@ -2,9 +2,10 @@
 
 Two interpolated Kneser-Ney models over the characters of words, one for toxic
 and one for ordinary labelled documents, give each word a log-likelihood ratio.
-The higher orders are counted per class; the lowest two orders are continuation
-counts shared by both classes, so that expressions that are rare in both differ
-by their known parts alone.  A document is compared as a whole and by its
+The highest order counts occurrences, all lower ones the distinct characters that
+stand before an n-gram (continuation counts): per class down to the third order, and of
+both classes together at the lowest two, so that expressions that are rare in both
+differ by their known parts alone.  A document is compared as a whole and by its
 passages: ratios are divided by the number of words, over the whole text and
 over the best window of 1, 3 and 10 words; a logistic regression on these
 length-normalised ratios gives the score.
@@ -170,6 +171,20 @@ def shared_chances(grams: DataFrame) -> DataFrame:
     return held.select("gram", F.coalesce(smoothed, "p").alias("p"))
 
 
+def counted(grams: DataFrame, k: int, sides: list[tuple[str, tuple[int, ...]]]) -> DataFrame:
+    """gram, context, shorter and what each class counts of the n-grams of k characters.
+
+    Occurrences at the highest order; below it the distinct characters that stand before the n-gram, but at the
+    beginning of a word, where none does, occurrences again.
+    """
+    total = lambda of: sum((F.col(f"n{i}") for i in of[1:]), F.col(f"n{of[0]}"))
+    own = grams.where(F.col("k") == k).select("gram", "context", "shorter", *[total(of).alias(f"n_{s}") for s, of in sides])
+    if k == ORDERS:
+        return own
+    longer = grams.where(F.col("k") == k + 1).groupBy(F.col("shorter").alias("gram")).agg(*[F.sum((total(of) > 0).cast("int")).alias(f"c_{s}") for s, of in sides])
+    return own.join(longer, "gram", "left").select("gram", "context", "shorter", *[F.coalesce(f"c_{s}", f"n_{s}").alias(f"n_{s}") for s, _ in sides])
+
+
 def entries(grams: DataFrame) -> DataFrame:
     """kind, key and for each of MODELS a value.
 
@@ -181,7 +196,7 @@ def entries(grams: DataFrame) -> DataFrame:
     lower = shared_chances(grams).select("gram", *[F.col("p").alias(f"p_{s}") for s, _ in sides])
     out = []
     for k in range(SHARED + 1, ORDERS + 1):
-        own = grams.where(F.col("k") == k).select("gram", "context", "shorter", *[sum((F.col(f"n{i}") for i in of[1:]), F.col(f"n{of[0]}")).alias(f"n_{s}") for s, of in sides])
+        own = counted(grams, k, sides)
         contexts = own.groupBy("context").agg(*[F.sum(f"n_{s}").alias(f"all_{s}") for s, _ in sides], *[F.sum((F.col(f"n_{s}") > 0).cast("int")).alias(f"kinds_{s}") for s, _ in sides])
         # a context that a class never had hands on the shorter n-gram's chance whole
         weights = contexts.select("context", *[F.col(f"all_{s}") for s, _ in sides], *[F.when(F.col(f"all_{s}") > 0, F.least(DISCOUNT * F.col(f"kinds_{s}") / F.col(f"all_{s}"), F.lit(1.0))).otherwise(1.0).alias(f"w_{s}") for s, _ in sides])

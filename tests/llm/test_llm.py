@@ -487,10 +487,14 @@ def kneser_ney_ratio(word, toxic, ordinary, everything):
             return low
         return max(sum(t[1:] == g for t in three) - 0.75, 0) / total + min(0.75 * sum(t[0] == g[0] for t in two) / total, 1) * low
 
+    def number(t, c):
+        # occurrences at the highest order and at the beginning of words, else distinct characters before
+        return c[t] if len(t) == 5 or t[0] == "\x02" else sum(len(x) == len(t) + 1 and x[1:] == t for x in list(c))
+
     def chance(g, c):
         if len(g) == 2:
             return shared(g)
-        after = {t: n for t, n in c.items() if len(t) == len(g) and t[:-1] == g[:-1]}
+        after = {t: number(t, c) for t in c if len(t) == len(g) and t[:-1] == g[:-1]}
         total = sum(after.values())
         if not total:
             return chance(g[1:], c)
