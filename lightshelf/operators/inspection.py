@@ -78,3 +78,22 @@ def sub_clusters(found: DataFrame, areas: DataFrame, by: str, id_col: str = "id"
     rows = found.join(areas.select(F.col(id_col), F.col("area")), id_col, "left")
     largest = F.max_by(id_col, F.struct(F.coalesce("area", F.lit(0.0)), -F.col(id_col)))
     return rows.groupBy(by, "sub_id").agg(F.count("*").alias("size"), largest.alias("largest_id"), F.expr("percentile(distance, 0.5)").alias("median_distance"), F.max("distance").alias("most_distance"))
+
+
+def reference_dedupe(faces: DataFrame, references: DataFrame, min_gap: float, trusted: tuple[str, ...] = ("strict", "manual"), vector: str = "embedding") -> DataFrame:
+    """For faces (face_id, photo_id, person_id, match_source and a vector) of photos that have a person twice or more: the rule, the gap and whether the face stays.
+
+    One trusted face stays and the others go (`source`).  Of faces none of which is trusted the nearest to the person's references (person_id, ref)
+    stays if the next one is more than `min_gap` further (`distance`), and all stay otherwise (`ambiguous`); with two trusted ones or more all stay (`review`).
+    """
+    group = ["photo_id", "person_id"]
+    twice = faces.where("person_id is not null").groupBy(*group).agg(F.count("*").alias("n"), F.count(F.when(F.col("match_source").isin(*trusted), 1)).alias("trusted")).where("n > 1")
+    held = faces.join(twice, group).withColumn("v", V.normalised(vector))
+    near = nearest_own_reference(held.select("person_id", "face_id", "v"), references.select("person_id", V.normalised("ref").alias("ref")), "person_id", "face_id", "v")
+    rows = written(held.join(near.withColumnRenamed("id", "face_id"), "face_id").select("face_id", *group, "trusted", F.col("match_source").isin(*trusted).alias("sure"), "distance"))
+    # the two nearest of each group, with a plain aggregate: a photo's faces of one person are few
+    best = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("distance", "face_id"))).alias("d")).select(*group, F.col("d")[0]["face_id"].alias("first"), (F.col("d")[1]["distance"] - F.col("d")[0]["distance"]).alias("between"))
+    rule = F.when(F.col("trusted") == 1, "source").when(F.col("trusted") > 1, "review").when(F.col("between") > min_gap, "distance").otherwise("ambiguous")
+    stays = F.when(F.col("rule") == "source", F.coalesce("sure", F.lit(False))).when(F.col("rule") == "distance", F.col("face_id") == F.col("first")).otherwise(True)
+    out = rows.join(best, group).withColumn("rule", rule).withColumn("keep", stays)
+    return out.select("face_id", *group, "rule", F.when(F.col("rule") == "distance", F.col("between")).alias("gap"), "keep")

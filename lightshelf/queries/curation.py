@@ -211,6 +211,12 @@ def n04(spark, sf):
     return photos(spark, sf).where(filters.contains("filepath", "/2024/2024-01-1") & (F.col("score") >= 20)).select("id", "score").orderBy(F.desc("score"), "id")
 
 
+@add("n04_quality_footer", P + "SELECT count(score) AS n, count(*) - count(score) AS n_unscored, min(score) AS least, max(score) AS most, round(avg(score), 4) AS mean FROM photos WHERE contains(filepath, '/2024/2024-01-1')")
+def n04_footer(spark, sf):
+    rows = photos(spark, sf).where(filters.contains("filepath", "/2024/2024-01-1"))
+    return rows.agg(F.count("score").alias("n"), (F.count("*") - F.count("score")).alias("n_unscored"), F.min("score").alias("least"), F.max("score").alias("most"), F.round(F.avg("score"), 4).alias("mean"))
+
+
 @add("n05_description_listing", with_library("texts") + "SELECT id, substr(description, 1, 80) AS start FROM texts WHERE camera_model = 'src2' ORDER BY id")
 def n05(spark, sf):
     return library(spark, sf, "texts").where("camera_model = 'src2'").select("id", F.substring("description", 1, 80).alias("start")).orderBy("id")
@@ -264,6 +270,27 @@ def n18(spark, sf):
     return out.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_faces", "n_texts", "n_labels")])
 
 
+_CHILDREN = {"n_faces": ("lineitem", "l_orderkey"), "n_texts": ("documents", "doc_id"), "n_labels": ("labels", "doc_id"), "n_vectors": ("embeddings", "vec_id"), "n_pages": ("pages", "page_id"), "n_turns": ("conversations", "conv_id"), "n_events": ("events", "event_id")}
+
+
+@add("n18_all_children", "SELECT o_orderkey AS id, " + ", ".join(f"coalesce({n}, 0) AS {n}" for n in _CHILDREN) + " FROM orders " + " ".join(f"LEFT JOIN (SELECT {k} AS k{i}, count(*) AS {n} FROM {t} GROUP BY 1) ON k{i} = o_orderkey" for i, (n, (t, k)) in enumerate(_CHILDREN.items())))
+def n18_all(spark, sf):
+    """Rows of seven child tables of each photo, counted before they are joined."""
+    out = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    for name, (source, key) in _CHILDREN.items():
+        out = out.join(table(spark, sf, source).groupBy(F.col(key).cast("bigint").alias("id")).agg(F.count("*").alias(name)), "id", "left")
+    return out.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in _CHILDREN])
+
+
+@add("n20_collected_groups", "SELECT l_orderkey AS photo_id, l_linenumber AS line FROM lineitem WHERE (l_partkey % 4 <> 0 AND l_suppkey IN (3, 5)) OR (l_partkey % 4 = 0 AND l_partkey % 50 IN (4, 8))")
+def n20_collect(spark, sf):
+    """Faces of persons, and of clusters that have no person."""
+    groups = spark.createDataFrame([("person", 3), ("person", 5), ("cluster", 4), ("cluster", 8)], "type string, id long")
+    f = table(spark, sf, "lineitem")
+    named = f.withColumn("type", F.when(F.col("l_partkey") % 4 == 0, "cluster").otherwise("person")).withColumn("id", F.when(F.col("l_partkey") % 4 == 0, F.col("l_partkey") % 50).otherwise(F.col("l_suppkey")))
+    return named.join(F.broadcast(groups), ["type", "id"], "left_semi").select(F.col("l_orderkey").alias("photo_id"), F.col("l_linenumber").alias("line"))
+
+
 @add("n21_bulk_tag_write", P + "SELECT id, CASE WHEN user_id = 4 AND locality <> 'trip' THEN concat(locality, ',trip') ELSE locality END AS tags FROM photos")
 def n21(spark, sf):
     return photos(spark, sf).select("id", F.concat_ws(",", F.when(F.col("user_id") == 4, upkeep.tags_added(F.array("locality"), F.array(F.lit("trip")))).otherwise(F.array("locality"))).alias("tags"))

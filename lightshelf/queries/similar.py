@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lightshelf.functions import vectors as V
 from lightshelf.operators import people, ranking, similar, upkeep
-from lightshelf.operators.inspection import inspected, sub_clusters
+from lightshelf.operators.inspection import inspected, reference_dedupe, sub_clusters
 from lightshelf.operators.timeline import burst_stacks
 from lightshelf.queries import Registry, timeline
 from lightshelf.sources.library import library, table, with_library
@@ -192,6 +192,23 @@ def v13(spark, sf):
     return f.groupBy(F.col("l_orderkey").alias("photo_id"), F.col("l_suppkey").alias("person_id")).agg(rule.alias("rule"), F.count("*").alias("n")).where("n > 1")
 
 
+_TWICE = """, f AS (SELECT vec_id AS face_id, vec_id // 6 AS photo_id, vec_id % 2 AS person_id, vec_id % 5 = 0 AS sure, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+d AS (SELECT f.face_id, f.photo_id, f.person_id, f.sure, min(list_distance(f.e, r.e)) AS d FROM f JOIN f r ON r.person_id = f.person_id AND r.face_id % 25 = 1 - r.person_id GROUP BY ALL),
+g AS (SELECT *, row_number() OVER w AS rn, lead(d) OVER w - d AS gap, count(*) OVER (PARTITION BY photo_id, person_id) AS n, sum(sure::INT) OVER (PARTITION BY photo_id, person_id) AS trusted FROM d WINDOW w AS (PARTITION BY photo_id, person_id ORDER BY d, face_id)),
+h AS (SELECT *, max(CASE WHEN rn = 1 THEN gap END) OVER (PARTITION BY photo_id, person_id) AS between_ FROM g WHERE n > 1),
+k AS (SELECT *, CASE WHEN trusted = 1 THEN 'source' WHEN trusted > 1 THEN 'review' WHEN between_ > 0.1 THEN 'distance' ELSE 'ambiguous' END AS rule FROM h)
+SELECT face_id, photo_id, person_id, rule, CASE WHEN rule = 'distance' THEN round(between_, 6) END AS gap, CASE rule WHEN 'source' THEN sure WHEN 'distance' THEN rn = 1 ELSE TRUE END AS keep FROM k"""
+
+
+@add("v13_reference_rules", E.rstrip() + _TWICE)
+def v13_rules(spark, sf):
+    """Faces of one person in a photo, six vectors a photo: which stay, by source or by distance to references."""
+    rows = vectors(spark, sf).select(F.col("vec_id").alias("face_id"), F.floor(F.col("vec_id") / 6).alias("photo_id"), (F.col("vec_id") % 2).alias("person_id"), F.when(F.col("vec_id") % 5 == 0, "strict").otherwise("temporal").alias("match_source"), "embedding")
+    refs = rows.where(F.col("face_id") % 25 == 1 - F.col("person_id")).select("person_id", F.col("embedding").alias("ref"))
+    found = reference_dedupe(rows, refs, 0.1)
+    return found.select("face_id", "photo_id", "person_id", "rule", F.round("gap", 6).alias("gap"), "keep")
+
+
 _CELLS = "c AS (SELECT vec_id * 2 AS cell_id, vec_id AS photo_id, CAST(10 + vec_id % 3 * 5 AS DOUBLE) AS w, CAST(8 + vec_id % 5 AS DOUBLE) AS h FROM embeddings WHERE vec_id % 20 = 0)"
 _NEAR = "n AS (SELECT a.vec_id AS photo_id, b.vec_id AS id, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_distance(a.e, b.e) <= 1.25)"
 _ALIKE = "SELECT 1 FROM n d WHERE d.id = n.id AND d.distance < 1.15 AND d.photo_id <> n.photo_id AND d.photo_id IN (SELECT photo_id FROM c)"

@@ -15,7 +15,7 @@ from lightshelf.queries.curation import _BAD_DATE, _BAD_GPS
 from lightshelf.queries.timeline import _FLANK
 from lightshelf.sources.library import library, table, with_library
 from lightshelf.sources.place_index import PlaceIndex
-from lightshelf.sources.tables import BucketedTable, mirror, restack, submit_results
+from lightshelf.sources.tables import BucketedTable, mirror, restack, save_selection, submit_results, toggle_selection
 from lightshelf.streaming import claims, registration
 
 REGISTRY = Registry()
@@ -97,6 +97,18 @@ def m09_restacked(spark, sf):
     return members.read().select("photo_id", "stack_id")
 
 
+@add("m18_saved_selections", P.rstrip() + ", s AS (SELECT camera_model AS scope, id AS photo_id, CASE WHEN id = 8 THEN TRUE WHEN camera_model = 'view' THEN id % 2 = 0 ELSE id % 3 = 0 END AS selected FROM photos WHERE camera_model IN ('view', 'click') UNION ALL SELECT 'all', id, CASE WHEN id = 8 THEN TRUE ELSE FALSE END FROM photos WHERE id % 8 = 0) SELECT scope, photo_id, selected, score FROM s JOIN photos ON id = photo_id")
+def m18_saved(spark, sf):
+    """Selections of three scopes, one of them saved twice, and one photo's mark set wherever it is; read back with the photos."""
+    p = library(spark, sf, "photos")
+    held = BucketedTable(spark, _folder(spark), ["scope"], "scope string, photo_id bigint, selected boolean", 16)
+    for scope, mark in (("view", F.lit(True)), ("click", F.col("id") % 3 == 0), ("view", F.col("id") % 2 == 0)):
+        save_selection(held, scope, p.where(F.col("camera_model") == scope).select(F.col("id").alias("photo_id"), mark.alias("selected")))
+    save_selection(held, "all", p.where("id % 8 = 0").select(F.col("id").alias("photo_id"), F.lit(False).alias("selected")))
+    toggle_selection(held, 8, True)
+    return held.read().select("scope", "photo_id", "selected").join(p.select(F.col("id").alias("photo_id"), "score"), "photo_id").select("scope", "photo_id", "selected", "score")
+
+
 # --- the sweep ----------------------------------------------------------------
 
 

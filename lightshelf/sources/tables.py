@@ -189,3 +189,16 @@ def restack(members: BucketedTable, new: DataFrame) -> None:
     gone = now.join(hit, "stack_id", "left_semi").select("photo_id")
     keys = gone.unionByName(new.select("photo_id")).distinct()
     members.replace(keys, new)
+
+
+def save_selection(selections: BucketedTable, scope: str, chosen: DataFrame) -> None:
+    """A scope's choice (photo_id, selected, cluster, rank_in_cluster) in place of the one it had; `selections` is keyed by `scope`."""
+    key = chosen.sparkSession.createDataFrame([(scope,)], "scope string")
+    selections.replace(key, chosen.withColumn("scope", F.lit(scope)))
+
+
+def toggle_selection(selections: BucketedTable, photo_id: int, selected: bool) -> int:
+    """A photo's mark in every scope that has it; buckets of other scopes are not touched."""
+    hit = selections.read().where(F.col("photo_id") == photo_id).select("scope").distinct()
+    mark = F.when(F.col("photo_id") == photo_id, selected).otherwise(F.col("selected"))
+    return selections.write(hit, lambda old, _: old.withColumn("selected", mark))
