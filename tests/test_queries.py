@@ -51,3 +51,16 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(duck.execute(FOUND.sql[name]).df())
     else:
         assert len(got) or name in MAY_BE_EMPTY
+
+
+@pytest.mark.parametrize("name", ["t05_burst_stacks", "t06_session_stacks", "g01_components", "v10_merge_suggestions"])
+def test_rows_at_a_larger_scale(spark, name):
+    assert FOUND.queries[name](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_every_vector_meets_a_photo(spark):
+    from lightshelf.queries.timeline import with_vectors
+
+    sf = "/root/testdata/sf0.1"
+    met = with_vectors(spark, sf).select("embedding").distinct().count()
+    assert met == spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").distinct().count()

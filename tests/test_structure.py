@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lightshelf.operators import facets, inspection, linkage, radius, ranking, scans, similar, timeline
+from lightshelf.plans import operations
 
 VECTORS = "vec_id long, g string, embedding array<float>, x int, block string"
 
@@ -162,6 +163,51 @@ def test_inspection(spark, monkeypatch, part_rows):
         assert abs(r.median_distance - np.median([q[2] for q in own])) < 1e-5 and abs(r.most_distance - max(q[2] for q in own)) < 1e-5
 
 
+def test_faces_of_one_person_in_a_photo(spark):
+    x = np.random.default_rng(3).normal(size=(90, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rng = random.Random(2)
+    rows = [(i, i // 4, i % 2, rng.choice(["strict", "temporal", "temporal", "temporal", None]), v.tolist()) for i, v in enumerate(x)]
+    refs = [(p, v.tolist()) for p in (0, 1) for v in np.random.default_rng(p + 10).normal(size=(3, 4))]
+    faces = spark.createDataFrame(rows + [(200, 3, None, "strict", [1.0] * 4)], "face_id long, photo_id long, person_id long, match_source string, embedding array<double>")
+    got = {r.face_id: (r.rule, r.keep) for r in inspection.reference_dedupe(faces, spark.createDataFrame(refs, "person_id long, ref array<double>"), 0.3).collect()}
+    want = {}
+    for key in {(r[1], r[2]) for r in rows}:
+        own = [r for r in rows if (r[1], r[2]) == key]
+        if len(own) > 1:
+            near = sorted((min(np.linalg.norm(np.array(r[4]) - np.array(v) / np.linalg.norm(v)) for p, v in refs if p == key[1]), r[0]) for r in own)
+            sure = [r[0] for r in own if r[3] == "strict"]
+            rule = "source" if len(sure) == 1 else "review" if sure else "distance" if near[1][0] - near[0][0] > 0.3 else "ambiguous"
+            want |= {r[0]: (rule, r[0] in sure if rule == "source" else r[0] == near[0][1] if rule == "distance" else True) for r in own}
+    assert got == want and {r for r, _ in want.values()} == {"source", "review", "distance", "ambiguous"}
+
+
+def test_operations_by_name(spark):
+    photos = busy(spark).withColumns({"date_taken": F.date_format("taken_ts", "yyyy-MM-dd HH:mm:ss"), "day": F.date_format("taken_ts", "yyyy-MM-dd"), "camera_model": F.when(F.col("id") % 2 == 0, "X").otherwise("Y"), "locality": F.col("place"), "admin1": F.lit("a"), "country": F.lit("FR"), "place_name": F.col("place"), "stack_id": F.lit(None).cast("long"), "keywords": F.array(F.lit("k")), "categories": F.array(F.lit("c")), "file_hash": F.col("id").cast("string"), "description": F.lit("x"), "colours": F.array(F.lit("#ff0000"))})
+    faces = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 5)], "photo_id long, person_id long")
+    persons = spark.createDataFrame([(0, "Ann"), (1, "Ben")], "person_id long, name string")
+    collection = spark.createDataFrame([(7, 3, 1), (7, 5, 2)], "collection_id long, photo_id long, sort_order long")
+    held = operations.Library(photos, faces, persons, collection)
+    tools = operations.library_operations()
+    assert {n for n, o in tools.held.items() if o.writes} == {"write_location", "write_tags", "add_to_collection"} and not {"write_tags"} & set(tools.schemas())
+    call = lambda name, arguments=None, pinned=None: tools.call(name, arguments, pinned, library=held).collect()
+    for name in tools.schemas():
+        assert call(name, {"id": 3} if name == "photo" else {}) is not None
+    assert call("overview")[0].n_photos == 400 and call("people")[0]["person_id"] in (0, 1)
+    by = {r.bucket: r.n for r in call("summary", {"by": "camera"}, {"people": ["ann"], "min_quality": 0})}
+    known = {r.id: r for r in photos.collect()}
+    assert by == {"X": sum(1 for i in range(0, 400, 10) if (known[i].score if known[i].score is not None else -1) >= 0)}
+    with pytest.raises(ValueError, match="unknown persons: zoe"):
+        call("summary", {"people": "Zoe"})
+    assert {r.id: r.keywords for r in call("write_tags", {"ids": "3,4", "tags": "new"})}[3] == ["k", "new"]
+    assert sorted((r.photo_id, r.sort_order) for r in call("add_to_collection", {"collection": "7", "ids": "9,5"})) == [(3, 1), (5, 2), (9, 3)]
+    located = {r.id: r.gps_lat for r in call("write_location", {"ids": "1,2", "lat": "5", "lon": "6", "overwrite": "true"})}
+    assert located[1] == located[2] == 5.0
+    with pytest.raises(ValueError, match="unknown mode"):
+        operations.browse(tools, held, "none", {})
+    assert operations.browse(tools, held, "daily", {"per_day": 2}).groupBy("day").count().agg(F.max("count")).first()[0] <= 2
+
+
 # --- scans in parts ---
 
 
