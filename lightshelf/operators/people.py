@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightshelf.functions import scalar as S
-from lightshelf.functions import vectors as V
 from lightshelf.operators.ranking import latest_per_key, top_per_group
-from lightshelf.operators.similar import with_references
+from lightshelf.operators.similar import reference_distances
 from lightshelf.operators.timeline import near_in_time
 
 #: Order of trust of a match, best first.
@@ -79,8 +78,7 @@ def by_prominence(photos: DataFrame, faces: DataFrame, low: float = 0.04, high:
 
 def best_reference(faces: DataFrame, references: DataFrame, id_col: str = "face_id", vector: str = "encoding") -> DataFrame:
     """Least distance of each face to each person's references, banded."""
-    d = with_references(faces.select(id_col, vector), references).select(id_col, "person_id", V.l2(vector, "ref").alias("d"))
-    least = d.groupBy(id_col, "person_id").agg(F.min("d").alias("distance"))
+    least = reference_distances(faces, references, vector, id_col)
     return least.withColumn("band", F.when(F.col("distance") <= 1.15, "match").when(F.col("distance") <= 1.30, "near").otherwise("far"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,16 +26,6 @@ def nearest(df: DataFrame, query: list[float], k: int, vector: str = "embedding"
     return df.select(id_col, V.l2(vector, target).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
-def with_references(df: DataFrame, references: DataFrame) -> DataFrame:
-    """Each row with each reference (person_id, ref), a curated table.
-
-    References are sent to all tasks if their measured size allows, and dealt in blocks otherwise.
-    """
-    refs = references.select("person_id", "ref")
-    size = refs.agg(F.coalesce(F.sum(F.size("ref") * 8 + 64), F.lit(0))).first()[0]
-    return df.crossJoin(F.broadcast(refs)) if size <= BROADCAST_BYTES else blocked(df, refs)
-
-
 def with_own_references(df: DataFrame, references: DataFrame, by: str, parts: int = 16) -> DataFrame:
     """Each row with each reference (ref) of its own group; a group that many rows have is cut into parts, unless all references are small."""
     refs = references.select(by, "ref")
@@ -45,19 +36,82 @@ def with_own_references(df: DataFrame, references: DataFrame, by: str, parts: in
     return a.join(refs.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [by, "_b"]).drop("_b")
 
 
-def nearest_reference(df: DataFrame, references: DataFrame, tolerance: float, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """For each row the person of the nearest reference within the tolerance, and the distance."""
-    pairs = with_references(df, references)
-    best = pairs.select(id_col, "person_id", V.l2(vector, "ref").alias("d")).groupBy(id_col).agg(F.min_by("person_id", F.struct("d", "person_id")).alias("person_id"), F.min("d").alias("distance"))
-    return best.where(F.col("distance") <= tolerance)
+#: Rows of a tile against references, and rows that meet a block of references in one task.
+TILE_ROWS, TASK_ROWS = 2048, 1 << 14
+
+
+def _least(x: np.ndarray, refs: np.ndarray, starts: np.ndarray, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, persons (by number) and least distances; `refs` lie person by person from `starts` on. With `best` the nearest person alone, of equal ones the first."""
+    ends = np.r_[starts[1:], len(refs)]
+    square = (refs * refs).sum(1)[None, :]
+    rows, persons, out = [], [], []
+    for i in range(0, len(x), TILE_ROWS):
+        t = x[i : i + TILE_ROWS]
+        d = square - 2 * t @ refs.T  # what orders the references of a row
+        near = np.stack([d[:, a:b].argmin(1) + a for a, b in zip(starts, ends)], axis=1)
+        exact = np.stack([np.sqrt(((t - refs[near[:, p]]) ** 2).sum(1)) for p in range(len(starts))], axis=1)
+        own = np.arange(i, i + len(t))
+        if best:
+            p = exact.argmin(1)
+            rows, persons, out = [*rows, own], [*persons, p], [*out, exact[np.arange(len(t)), p]]
+        else:
+            rows, persons, out = [*rows, np.repeat(own, len(starts))], [*persons, np.tile(np.arange(len(starts)), len(t))], [*out, exact.ravel()]
+    return tuple(np.concatenate(c) for c in (rows, persons, out))
+
+
+def reference_distances(df: DataFrame, references: DataFrame, vector: str, id_col: str, best: bool = False) -> DataFrame:
+    """id, person_id and the least distance to the person's references (person_id, ref), for every person or for the nearest alone.
 
+    References are sent to all tasks as one matrix if their measured size allows; else rows and references are dealt
+    to parts and blocks that meet in a task each, and their answers are reduced.
+    """
+    kinds, person = dict(df.dtypes), dict(references.dtypes)["person_id"]
+    refs = references.select("person_id", F.col("ref").cast("array<double>").alias("ref")).where("ref is not null and person_id is not null")
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    n, size = refs.agg(F.count("*"), F.coalesce(F.sum(F.size("ref") * 8 + 64), F.lit(0))).first()
+    schema = f"id {kinds[id_col]}, person_id {person}, distance double"
+    if not n:
+        return df.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
+
+    def packed(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        frame = frame.sort_values("person_id", kind="stable")
+        names, starts = np.unique(frame.person_id.to_numpy(), return_index=True)
+        return names, np.stack(frame.ref.to_numpy()).astype(float), starts
+
+    def answered(ids: np.ndarray, vectors: list, held: tuple) -> pd.DataFrame:
+        names, y, starts = held
+        row, p, d = _least(np.stack(vectors).astype(float), y, starts, best)
+        return pd.DataFrame({"id": np.asarray(ids)[row], "person_id": names[p], "distance": d})
+
+    if size <= BROADCAST_BYTES:
+        held = df.sparkSession.sparkContext.broadcast(packed(refs.toPandas()))  # of a measured size
+
+        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f):
+                    yield answered(f.id.to_numpy(), list(f.v), held.value)
+
+        return rows.mapInPandas(each, schema).withColumnRenamed("id", id_col)
+    blocks = max(2, -(-size // max(BROADCAST_BYTES, 1 << 20)))
+    parts = max(1, -(-rows.count() // TASK_ROWS))
+    a = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    b = refs.withColumn("block", F.pmod(F.xxhash64("ref"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
-def blocked(rows: DataFrame, references: DataFrame) -> DataFrame:
-    """Every row with every reference: rows are dealt to blocks once, and the references, the smaller side, are sent to each block."""
-    blocks = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    a = rows.withColumn("_b", F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int"))
-    b = references.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return a.join(b, "_b").drop("_b")
+    def meet(own: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(theirs):
+            return pd.DataFrame({"id": [], "person_id": [], "distance": []})
+        return answered(own.id.to_numpy(), list(own.v), packed(theirs))
+
+    met = a.groupBy("part", "block").cogroup(b.groupBy("part", "block")).applyInPandas(meet, schema)
+    if best:
+        first = F.min(F.struct("distance", "person_id")).alias("p")
+        return met.groupBy("id").agg(first).select(F.col("id").alias(id_col), "p.person_id", "p.distance")
+    return met.groupBy("id", "person_id").agg(F.min("distance").alias("distance")).withColumnRenamed("id", id_col)
+
+
+def nearest_reference(df: DataFrame, references: DataFrame, tolerance: float, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """For each row the person of the nearest reference within the tolerance, and the distance."""
+    return reference_distances(df, references, vector, id_col, best=True).where(F.col("distance") <= tolerance)
 
 
 def radius_pairs(df: DataFrame, radius: float, vector: str = "embedding", id_col: str = "vec_id", by: str | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lightshelf.functions import scalar as S
 from lightshelf.operators.filters import bad_gps
 from lightshelf.operators.ranking import latest_per_key
+from lightshelf.operators.scans import row_numbers
 
 MAX_ATTEMPTS = 3
 
@@ -136,8 +137,8 @@ def appended(collection: DataFrame, new: DataFrame) -> DataFrame:
     """Photos added to collections behind the last place, those already there left out: collection_id, photo_id, sort_order."""
     fresh = new.join(collection.select("collection_id", "photo_id"), ["collection_id", "photo_id"], "left_anti")
     last = collection.groupBy("collection_id").agg(F.max("sort_order").alias("_last"))
-    w = Window.partitionBy("collection_id").orderBy("photo_id")
-    placed = fresh.join(last, "collection_id", "left").select("collection_id", "photo_id", (F.coalesce("_last", F.lit(0)) + F.row_number().over(w)).alias("sort_order"))
+    numbered = row_numbers(fresh.select("collection_id", "photo_id"), ["collection_id"], ["photo_id"], "_rn")
+    placed = numbered.join(last, "collection_id", "left").select("collection_id", "photo_id", (F.coalesce("_last", F.lit(0)) + F.col("_rn")).alias("sort_order"))
     return collection.select("collection_id", "photo_id", "sort_order").unionByName(placed)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lightshelf.functions import scalar as S
-from lightshelf.operators import facets, filters, people, ranking, timeline, upkeep
+from lightshelf.operators import facets, filters, people, ranking, upkeep
 from lightshelf.plans import parse, search
 from lightshelf.plans.tools import Operation, Tools
 

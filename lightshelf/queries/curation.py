@@ -403,6 +403,37 @@ def h26(spark, sf):
     return rows.select("user_id", F.col("cell").cast("bigint").alias("cell"), *[F.round(F.col("r")[k], 6).alias(k) for k in "xywh"])
 
 
+_KINDS = ("hero_left", "hero_right", "verticals_left", "verticals_right", "row", "framed", "full")
+
+
+def _named_sql() -> str:
+    """Cells of 24 by 12 inches: the anchor is cell 0, the others stand in `r` rows and `k` columns of a rectangle."""
+    number = "CAST({} AS DOUBLE)".format
+    parts = []
+    for i, (share, right, columns) in enumerate(((0.64, False, False), (0.64, True, False), (0.52, False, True), (0.52, True, True))):
+        wide = 24 * share
+        x, side = (24 - wide + 0.25, 0.4) if right else (0.4, wide + 0.25)
+        w, rest = wide - 0.25 - 0.4, 24 - wide - 0.25 - 0.4
+        one = f"SELECT user_id, CAST(0 AS BIGINT) AS cell, {number(x)} AS x, {number(0.4)} AS y, {number(w)} AS w, {number(11.2)} AS h FROM s WHERE k = {i}"
+        step = f"({number(rest)} - (n - 2) * 0.5) / (n - 1)" if columns else f"({number(11.2)} - (n - 2) * 0.5) / (n - 1)"
+        place = (f"{number(side)} + (i - 1) * ({step} + 0.5)", number(0.4), step, number(11.2)) if columns else (number(side), f"{number(0.4)} + (i - 1) * ({step} + 0.5)", number(rest), step)
+        parts += [one, f"SELECT user_id, i, {', '.join(place)} FROM c WHERE k = {i} AND i > 0"]
+    row = f"({number(23.2)} - (n - 1) * 0.5) / n"
+    parts += [f"SELECT user_id, i, {number(0.4)} + i * ({row} + 0.5), {number(0.4)}, {row}, {number(11.2)} FROM c WHERE k = 4"]
+    parts += [f"SELECT user_id, 0, {number(0.4)}, {number(0.4)}, {number(23.2)}, {number(11.2)} FROM s WHERE k = 5", f"SELECT user_id, 0, {number(0)}, {number(0)}, {number(24)}, {number(12)} FROM s WHERE k = 6"]
+    every = " UNION ALL ".join(parts)
+    return f"WITH s AS (SELECT user_id, count(*) % 6 + 2 AS n, user_id % 7 AS k FROM events GROUP BY user_id), c AS (SELECT user_id, n, k, unnest(range(0, n)) AS i FROM s) SELECT user_id, cell, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM ({every})"
+
+
+@add("h26_named_cells", _named_sql())
+def h26_named(spark, sf):
+    """Pages of seven kinds with two to seven pictures."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("user_id") % 7 + 1).cast("int"))
+    spreads = table(spark, sf, "events").groupBy("user_id").agg((F.count("*") % 6 + 2).alias("n")).withColumn("kind", kind)
+    rows = spreads.select("user_id", F.posexplode(layout.named_cells("kind", "n", 24.0, 12.0)).alias("cell", "r"))
+    return rows.select("user_id", F.col("cell").cast("bigint").alias("cell"), *[F.round(F.col("r")[k], 6).alias(k) for k in "xywh"])
+
+
 @add("s08_exif_records", "SELECT event_id AS id, concat(replace(CAST(CAST(ts AS DATE) AS VARCHAR), ':', '-'), ' 10:20:30') AS date_taken, upper(event_type) AS camera_make, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(100 * (event_id % 9) AS INT) END AS iso, CASE WHEN event_id % 9 BETWEEN 5 AND 8 THEN 3000 ELSE 4000 END AS image_width, CASE WHEN event_id % 9 BETWEEN 5 AND 8 THEN 4000 ELSE 3000 END AS image_height, round((user_id % 90 + 30 / CAST(60 AS DOUBLE) + (event_id % 600) / CAST(10 AS DOUBLE) / 3600) * CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END, 7) AS gps_lat FROM events")
 def s08(spark, sf):
     day = "replace(CAST(CAST(ts AS DATE) AS STRING), '-', ':')"
