@@ -20,8 +20,14 @@ from lightshelf.llm.tokens import vocabulary_path
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Batches that go to Python hold so many bytes at most: the default of 64 MB is held several times over by each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a predicted language of at least the least score."""
+    _small_batches(spark)
     model = langid.fit(docs, ~langid.held_out())
     lang, sure = (fresh(c, docs.columns) for c in ("_lang", "_sure"))
     rated = langid.predict(docs, model, out=(lang, sure))
@@ -30,6 +36,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are not predicted to be toxic."""
+    _small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     rate, toxic = (fresh(c, docs.columns) for c in ("_rate", "_toxic"))
     return toxicity.score(docs, model, out=(rate, toxic)).where(F.col(toxic) == 0).drop(rate, toxic)
@@ -37,11 +44,13 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
+    _small_batches(spark)
     return ngram_join.one_of_each(docs, percent=80)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens."""
+    _small_batches(spark)
     return lp_packing.pack(docs, vocabulary_path("byte_bpe_50k.json"), vocabulary_path("byte_bpe_50k.tiktoken"), capacity=2048, end_id=0)
 
 
