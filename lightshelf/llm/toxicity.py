@@ -348,11 +348,11 @@ def with_features(docs: DataFrame, table: DataFrame, models: list[str], text: st
     if small is not None:
         held = docs.sparkSession.sparkContext.broadcast(small)  # of a measured size
         del small
-        return read.mapInArrow(lambda batches: (rated(b, held.value) for b in slices(batches, asked, 3 << 20)), schema)
+        return read.mapInArrow(lambda batches: (rated(b, held.value) for b in slices(batches, asked, 1 << 20)), schema)
 
     # too large to send everywhere: each batch of documents gets the entries that it needs
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, asked, 3 << 20):
+        for batch in slices(batches, asked, 1 << 20):
             whole = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.columns], schema=batch.schema)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, whole.schema) as stream:
