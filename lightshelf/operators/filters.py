@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lightshelf.functions import scalar as S
-from lightshelf.functions import text as T
 
 
 def contains(c, part: str) -> Column:
