@@ -8,7 +8,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 pytest.importorskip("lightshelf.llm")
