@@ -71,6 +71,11 @@ def bad_gps(lat="gps_lat", lon="gps_lon") -> Column:
     return F.coalesce(((lat == 0) & (lon == 0)) | ~lat.between(-90, 90) | ~lon.between(-180, 180), F.lit(False))
 
 
+def at_zero(lat="gps_lat", lon="gps_lon") -> Column:
+    """Coordinates of 0, 0, which stand for none; what lies out of range is not looked at."""
+    return F.coalesce((S.col(lat) == 0) & (S.col(lon) == 0), F.lit(False))
+
+
 def usable_face(det="det_score", least: float = 0.65, edge: int = 60) -> Column:
     """Detection score unknown or good, and the short side of the box long enough (unknown sides fail)."""
     short = S.min_or_null(F.col("bbox_bottom") - F.col("bbox_top"), F.col("bbox_right") - F.col("bbox_left"))

@@ -19,10 +19,10 @@ MAX_ATTEMPTS = 3
 # --- quality ---------------------------------------------------------------
 
 
-def quality_report(photos: DataFrame, faces: DataFrame | None = None) -> DataFrame:
-    """Counts of faulty rows by kind, in one pass (orphan faces by an anti join)."""
+def quality_report(photos: DataFrame, faces: DataFrame | None = None, bad: Column | None = None) -> DataFrame:
+    """Counts of faulty rows by kind, in one pass (orphan faces by an anti join); `bad` says which coordinates are faulty, by default those at 0, 0 and out of range."""
     kinds = {
-        "corrupt_date": F.col("date_taken").isNotNull() & ~S.valid_date("date_taken"), "missing_date": F.col("date_taken").isNull(), "bad_gps": bad_gps(), "half_gps": F.col("gps_lat").isNull() != F.col("gps_lon").isNull(),
+        "corrupt_date": F.col("date_taken").isNotNull() & ~S.valid_date("date_taken"), "missing_date": F.col("date_taken").isNull(), "bad_gps": bad_gps() if bad is None else bad, "half_gps": F.col("gps_lat").isNull() != F.col("gps_lon").isNull(),
         "missing_hash": F.col("file_hash").isNull() | (F.col("file_hash") == ""), "missing_place": F.col("place_name").isNull(), "bad_score": ~F.coalesce(F.col("score").between(0, 100), F.lit(True)),
     }
     counted = photos.agg(*[F.count(F.when(c, 1)).alias(k) for k, c in kinds.items()])
@@ -34,9 +34,9 @@ def quality_report(photos: DataFrame, faces: DataFrame | None = None) -> DataFra
     return out.unionByName(orphans)
 
 
-def repaired(photos: DataFrame) -> DataFrame:
-    """Corrupt dates replaced by the folder's date, impossible coordinates taken away."""
-    bad = bad_gps()
+def repaired(photos: DataFrame, bad: Column | None = None) -> DataFrame:
+    """Corrupt dates replaced by the folder's date, impossible coordinates (or those that `bad` names) taken away."""
+    bad = bad_gps() if bad is None else bad
     date = F.when(S.valid_date("date_taken"), F.col("date_taken")).otherwise(F.concat(S.folder_date("filepath"), F.lit(" 00:00:00")))
     return photos.withColumn("date_taken", date).withColumn("_bad", bad).withColumn("gps_lat", F.when(~F.col("_bad"), F.col("gps_lat"))).withColumn("gps_lon", F.when(~F.col("_bad"), F.col("gps_lon"))).drop("_bad")
 
