@@ -114,3 +114,13 @@ def test_nearby_stacks_once(crowd, row):
     found = nearby_stacks(df, 3.0, row)
     assert {(r.stack_id, r.o_stack_id): (r.n_members, r.least_gap) for r in found.collect()} == {k: (len(m), g) for k, (m, g) in wanted.items()}
     assert found.count() == len(wanted)
+
+
+def test_greedy_choice_holds_one_group(spark):
+    """F32: groups are gone through as sorted rows, with no call for each; times are compared in microseconds."""
+    from lightshelf.operators.ranking import keep_best_apart
+
+    df = spark.sql("SELECT id, id % 500 AS g, timestamp_micros(1700000000000000 + (id DIV 500) * 1000000 - IF(id DIV 500 = 2, 1, 0)) AS taken_ts, CASE id DIV 500 WHEN 0 THEN 9D WHEN 1 THEN double('NaN') WHEN 2 THEN 5D END AS score FROM range(2000)")
+    kept = keep_best_apart(df, ["g"], 1.999999)
+    assert "FlatMapGroupsInPandas" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in kept.collect()) == list(range(500)) + list(range(1000, 1500))
