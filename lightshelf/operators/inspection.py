@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from lightshelf.functions import vectors as V
 from lightshelf.operators.lineage import written
 from lightshelf.operators.scans import row_numbers
-from lightshelf.operators.similar import density_clusters
+from lightshelf.operators.similar import density_clusters, nearest_rows
 
-#: Rows of a group that are held against its references in one task.
-TASK_ROWS = 1 << 14
+#: Rows of a group, and references of it, that are held against each other in one task.
+TASK_ROWS, BLOCK_REFS = 1 << 14, 1 << 14
 
 
 def core_references(faces: DataFrame, clusters: DataFrame, by: str, id_col: str, vector: str, trusted: str, least_trusted: int, most: int, part_rows: int | None = None) -> DataFrame:
@@ -34,27 +34,42 @@ def core_references(faces: DataFrame, clusters: DataFrame, by: str, id_col: str,
     return few.unionByName(numbered.join(places, [by, "rn"], "left_semi")).select(by, F.col("v").alias("ref"))
 
 
-def nearest_own_reference(rows: DataFrame, references: DataFrame, by: str, id_col: str, vector: str) -> DataFrame:
-    """id and the least distance to a reference of the row's group; groups meet their references in parts of some `TASK_ROWS` rows."""
+def _own_least(rows: DataFrame, references: DataFrame, by: str, id_col: str, vector: str) -> DataFrame:
+    """The group (by), id and the least distance to a reference of the group; rows in parts of some `TASK_ROWS` meet references in blocks of some `BLOCK_REFS`."""
     held = written(rows.select(by, F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null"))
-    sizes = held.groupBy(by).agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("parts"))
-    large = sizes.where("parts > 1")
-    dealt = held.join(F.broadcast(large) if large.count() <= 100_000 else large, by, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    sent = references.join(sizes, by).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = written(references.select(by, "ref").where("ref is not null"))
+    parts = held.groupBy(by).agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("parts"))
+    sizes = written(parts.join(own.groupBy(by).agg(F.ceil(F.count("*") / BLOCK_REFS).cast("int").alias("blocks")), by))
+    large = sizes.where("parts > 1 or blocks > 1")
+    several = not sizes.where("blocks > 1").isEmpty()
+    large = F.broadcast(large) if large.count() <= 100_000 else large
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(n, F.lit(1))).cast("int")
+    dealt = held.join(large, by, "left").select(by, "id", "v", at("id", "parts").alias("part"), upto("blocks").alias("block"))
+    sent = own.join(large, by, "left").select(by, "ref", at("ref", "blocks").alias("block"), upto("parts").alias("part"))
 
     def least(own: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(refs):
-            return pd.DataFrame({"id": [], "distance": []})
-        y = np.stack(refs.ref.to_numpy()).astype(float)
-        out = np.empty(len(own))
-        for i in range(0, len(own), 2048):
-            x = np.stack(own.v.iloc[i : i + 2048].to_numpy()).astype(float)
-            near = ((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T).argmin(1)
-            out[i : i + 2048] = np.sqrt(((x - y[near]) ** 2).sum(1))
-        return pd.DataFrame({"id": own.id, "distance": out})
-
-    kind = dict(held.dtypes)["id"]
-    return dealt.select(by, "part", "id", "v").groupBy(by, "part").cogroup(sent.select(by, "part", "ref").groupBy(by, "part")).applyInPandas(least, f"id {kind}, distance double")
+            return pd.DataFrame({by: [], "id": [], "distance": []})
+        _, out = nearest_rows(np.stack(own.v.to_numpy()).astype(float), np.stack(refs.ref.to_numpy()).astype(float))
+        return pd.DataFrame({by: own[by], "id": own.id, "distance": out})
+
+    kinds = dict(held.dtypes)
+    met = dealt.groupBy(by, "part", "block").cogroup(sent.groupBy(by, "part", "block")).applyInPandas(least, f"`{by}` {kinds[by]}, id {kinds['id']}, distance double")
+    return met.groupBy(by, "id").agg(F.min("distance").alias("distance")) if several else met
+
+
+def nearest_own_reference(rows: DataFrame, references: DataFrame, by: str, id_col: str, vector: str) -> DataFrame:
+    """id and the least distance to a reference of the row's group."""
+    return _own_least(rows, references, by, id_col, vector).select("id", "distance")
+
+
+def own_distances(rows: DataFrame, references: DataFrame, by: str, id_col: str, vector: str) -> DataFrame:
+    """The group (by), id and the least distance to a reference of the group, NULL where rows and references of a group have no vectors."""
+    known = references.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("ref").alias("_n"))
+    own = rows.where(F.col(by).isNotNull()).select(by, F.col(id_col).alias("id"), F.col(vector).alias("v")).join(known, by)
+    without = own.where("v is null or _n = 0").select(by, "id", F.lit(None).cast("double").alias("distance"))
+    return _own_least(own.where("_n > 0"), references, by, "id", "v").unionByName(without)
 
 
 def inspected(faces: DataFrame, by: str, radius: float = 0.5, min_samples: int = 3, id_col: str = "id", vector: str = "embedding", trusted: str = "trusted", least_trusted: int = 3, most_references: int = 500, part_rows: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lightshelf.functions import vectors as V
 from lightshelf.operators import people, ranking, similar, upkeep
-from lightshelf.operators.inspection import inspected, reference_dedupe, sub_clusters
+from lightshelf.operators.inspection import inspected, own_distances, reference_dedupe, sub_clusters
 from lightshelf.operators.timeline import burst_stacks
 from lightshelf.queries import Registry, timeline
 from lightshelf.sources.library import library, table, with_library
@@ -62,7 +62,7 @@ def n01(spark, sf):
 def v12(spark, sf):
     own = vectors(spark, sf)
     refs = own.where("vec_id % 10 = 0").select("label", F.col("embedding").alias("ref"))
-    d = similar.with_own_references(own.where("vec_id % 10 <> 0"), refs, "label").groupBy("vec_id").agg(F.min(V.l2("embedding", "ref")).alias("distance"))
+    d = own_distances(own.where("vec_id % 10 <> 0"), refs, "label", "vec_id", "embedding").groupBy(F.col("id").alias("vec_id")).agg(F.min("distance").alias("distance"))
     return d.where("distance > 1.3D").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
@@ -144,7 +144,7 @@ REGISTRY.queries["j13_two_stage_similarity_join"], REGISTRY.sql["j13_two_stage_s
 def v11(spark, sf):
     own = vectors(spark, sf)
     refs = own.where("vec_id % 10 = 0").select("label", F.col("embedding").alias("ref"))
-    d = similar.with_own_references(own.where("vec_id % 10 <> 0"), refs, "label").groupBy("label", "vec_id").agg(F.min(V.l2("embedding", "ref")).alias("d"))
+    d = own_distances(own.where("vec_id % 10 <> 0"), refs, "label", "vec_id", "embedding").groupBy("label", "id").agg(F.min("distance").alias("d"))
     return d.groupBy("label").agg(F.round(F.expr("percentile(d, 0.5)"), 6).alias("median"), F.round(F.max("d"), 6).alias("most"))
 
 
