@@ -218,7 +218,7 @@ _ALIKE = "SELECT 1 FROM n d WHERE d.id = n.id AND d.distance < 1.15 AND d.photo_
 def v14(spark, sf):
     own = vectors(spark, sf)
     cells = own.where("vec_id % 20 = 0").select((F.col("vec_id") * 2).alias("cell_id"), F.col("vec_id").alias("photo_id"), (10 + F.col("vec_id") % 3 * 5).cast("double").alias("w"), (8 + F.col("vec_id") % 5).cast("double").alias("h"))
-    found = similar.sharper_alternatives(cells, library(spark, sf, "photos"), similar.radius_pairs(own, 1.25), 260.0, 3.0, 1.15, 3)
+    found = similar.sharper_alternatives(cells, library(spark, sf, "photos"), own, 1.25, 260.0, 3.0, 1.15, 3)
     return found.select("cell_id", "id", F.round("distance", 6).alias("distance"), F.round("ppi", 3).alias("ppi"), "place")
 
 
