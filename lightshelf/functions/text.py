@@ -56,18 +56,33 @@ def words_of(c) -> Column:
     return F.filter(F.split(F.trim(col(c)), r"\s+"), lambda w: w != "")
 
 
+def _with(value: Column, use) -> Column:
+    """`use` of a value that is computed once; named in lambda functions, an expression is computed again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _thrice(words: Column) -> Column:
+    """Whether six words follow each other three times somewhere; only texts with repeated runs are sorted."""
+    grams = F.transform(F.sequence(F.lit(1), F.size(words) - 5), lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(6))))
+    most = lambda g: F.aggregate(
+        F.array_sort(g), F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most")),
+        lambda s, x: F.struct(x.alias("last"), F.when(x == s["last"], s["run"] + 1).otherwise(F.lit(1)).alias("run"), F.greatest(s["most"], F.when(x == s["last"], s["run"] + 1).otherwise(F.lit(1))).alias("most")),
+    )["most"]
+    return _with(grams, lambda g: F.when(F.size(F.array_distinct(g)) > F.size(g) - 2, F.lit(False)).otherwise(most(g) >= 3))
+
+
 def is_degenerate(c) -> Column:
     """Runaway text: over 350 words, few distinct ones among many, a run of six words three times, or many ellipses."""
-    words = F.transform(words_of(c), lambda w: F.lower(w))
-    n = F.size(words)
-    grams = F.when(n.between(6, 350), F.transform(F.sequence(F.lit(1), n - 5), lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(6))))).otherwise(F.array().cast("array<string>"))
-    thrice = F.aggregate(
-        F.array_sort(grams), F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most")),
-        lambda s, g: F.struct(g.alias("last"), F.when(g == s["last"], s["run"] + 1).otherwise(F.lit(1)).alias("run"), F.greatest(s["most"], F.when(g == s["last"], s["run"] + 1).otherwise(F.lit(1))).alias("most")),
-    )["most"] >= 3
-    few = (n > 60) & (F.size(F.array_distinct(words)) / n < 0.45)
     dots = (F.length(col(c)) - F.length(F.replace(col(c), F.lit("..."), F.lit("")))) / 3 > 8
-    return F.coalesce((n > 350) | few | thrice | dots, F.lit(False))
+
+    def judged(words: Column, n: Column) -> Column:
+        # three equal runs leave at most n - 2 distinct words
+        distinct = F.size(F.array_distinct(words))
+        return F.when(n < 6, F.lit(False)).otherwise(_with(distinct, lambda k: ((n > 60) & (k / n < 0.45)) | (F.when(k > n - 2, F.lit(False)).otherwise(_thrice(words)))))
+
+    words = F.filter(F.split(F.trim(F.lower(col(c))), r"\s+"), lambda w: w != "")
+    long = _with(words, lambda w: _with(F.size(w), lambda n: F.when(n > 350, F.lit(True)).otherwise(judged(w, n))))
+    return F.coalesce(dots | long, F.lit(False))
 
 
 def is_description(c) -> Column:
