@@ -28,7 +28,7 @@ def group_key(person: str = "person_id", cluster: str = "cluster_id"):
 def face_groups(faces: DataFrame, least: int = 1, ignored: DataFrame | None = None) -> DataFrame:
     """Persons and clusters: faces, photos, the largest face, and whether the cluster is ignored."""
     keyed = faces.withColumn("group_key", group_key()).where("group_key is not null")
-    out = keyed.groupBy("group_key").agg(F.count("*").alias("n_faces"), F.countDistinct("photo_id").alias("n_photos"), F.max_by("face_id", F.struct("area", (-F.col("face_id")).alias("i"))).alias("top_face")).where(F.col("n_faces") >= least)
+    out = keyed.groupBy("group_key").agg(F.count("*").alias("n_faces"), F.countDistinct("photo_id").alias("n_photos"), F.max_by("face_id", F.struct("area", F.bitwise_not("face_id").alias("i"))).alias("top_face")).where(F.col("n_faces") >= least)
     if ignored is None:
         return out
     marks = ignored.select(F.concat(F.lit("c:"), F.col("cluster_id").cast("string")).alias("group_key"), F.lit(True).alias("ignored")).distinct()
