@@ -13,7 +13,7 @@ its country and area codes; other places a square by population.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightshelf.functions import scalar as S
@@ -23,6 +23,8 @@ from lightshelf.plans import parse
 
 #: Signs of a gram, and the least share of common grams.
 GRAM, LEAST = 3, 0.6
+#: Names that are put in order in one task.
+TASK_NAMES = 1 << 17
 #: Kinds of place in the order in which they count.
 KINDS = ("P", "A")
 #: What may stand behind a name that alone is found as a point only.
@@ -40,8 +42,13 @@ def grams(name) -> Column:
     return F.array_distinct(F.when(n <= GRAM, F.array(marked)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - (GRAM - 1), F.lit(1))), lambda i: F.substring(marked, i, F.lit(GRAM)))))
 
 
+def _kind() -> Column:
+    """The place of a feature class among the kinds, others last."""
+    return F.coalesce(*[F.when(F.col("feature_class") == k, i) for i, k in enumerate(KINDS)], F.lit(len(KINDS)))
+
+
 def place_names(places: DataFrame) -> DataFrame:
-    """name_key, place and its columns, a row for each distinct name of a place (geonameid, name, asciiname, alternatenames, lat, lon, feature_class, population, country, admin1_code)."""
+    """name_key, place and its columns, a row for each distinct name of a place (geonameid, which is its alone, name, asciiname, alternatenames, lat, lon, feature_class, population, country, admin1_code)."""
     every = F.array_union(F.array("name", "asciiname"), F.split(F.coalesce("alternatenames", F.lit("")), ","))
     rows = places.where("lat is not null and lon is not null").withColumn("key", F.explode(F.array_distinct(F.transform(every, plain))))
     return rows.where("key <> ''").select("key", "geonameid", "name", "lat", "lon", "feature_class", F.coalesce("population", F.lit(0)).cast("bigint").alias("population"), "country", "admin1_code")
@@ -68,12 +75,20 @@ class PlaceIndex:
         common = F.size(F.array_intersect("grams", grams("key")))
         return candidates.withColumn("likeness", F.when(F.col("q") == F.col("key"), 2.0).otherwise(2.0 * common / (F.col("a") + F.col("n")))).where(F.col("likeness") >= LEAST).select("query", "key", "likeness")
 
+    def best_of_keys(self, keys: DataFrame, limit: int) -> DataFrame:
+        """Names of the first `limit` places of each key, in parts first: who comes after that many of an equal name comes after them in any query."""
+        parts = max(1, -(-self.names.count() // TASK_NAMES))
+        own = self.names.join(keys, "key", "left_semi")
+        order = Window.partitionBy("key").orderBy(_kind(), F.desc("population"), "geonameid")
+        dealt = own.repartition(parts, "geonameid") if parts > 1 else own
+        return dealt.withColumn("_rn", F.dense_rank().over(order)).where(F.col("_rn") <= limit).drop("_rn")
+
     def lookup(self, queries: DataFrame, limit: int = 5) -> DataFrame:
         """query, place (1, 2, ...), geonameid, name, country, likeness (2 for equal names), south, north, west and east of the best places of each query."""
-        found = self.keys_like(queries).join(self.names, "key")
+        keys = written(self.keys_like(queries))
+        found = keys.join(self.best_of_keys(keys.select("key").distinct(), limit), "key")
         best = found.groupBy("query", "geonameid").agg(F.max(F.struct("likeness", "name", "lat", "lon", "feature_class", "population", "country", "admin1_code")).alias("p")).select("query", "geonameid", "p.*")
-        kind = F.coalesce(*[F.when(F.col("feature_class") == k, i) for i, k in enumerate(KINDS)], F.lit(len(KINDS)))
-        top = top_per_group(best, ["query"], [F.desc("likeness"), kind, F.desc("population"), F.col("geonameid")], limit, "place")
+        top = written(top_per_group(best, ["query"], [F.desc("likeness"), _kind(), F.desc("population"), F.col("geonameid")], limit, "place"))
         return self.boxed(top).select("query", "place", "geonameid", "name", "country", "likeness", "south", "north", "west", "east")
 
     def boxed(self, rows: DataFrame) -> DataFrame:
